@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verisieve.llm import chat, licenses, quality
+from verisieve.llm import capjoin, chat, licenses, pii, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_cap_join": capjoin.op2_cap_join,
         "op5_license_scan": licenses.op5_license_scan,
+        "op6_pii_surrogates": pii.op6_pii_surrogates,
         "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_quality_ranking": quality.op9_quality_ranking,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_formatting": chat.OP8_SQL}
+    return {"op2_cap_join": capjoin.OP2_SQL, "op8_chat_formatting": chat.OP8_SQL}
