@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verisieve.llm import capjoin, chat, licenses, pii, quality
+from verisieve.llm import capjoin, chat, dartminhash, licenses, pii, quality, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_cap_join": capjoin.op2_cap_join,
+        "op3_suffix_repeats": suffixes.op3_suffix_repeats,
         "op5_license_scan": licenses.op5_license_scan,
         "op6_pii_surrogates": pii.op6_pii_surrogates,
+        "op7_dart_minhash": dartminhash.op7_dart_minhash,
         "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_quality_ranking": quality.op9_quality_ranking,
     }
