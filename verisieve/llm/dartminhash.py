@@ -207,25 +207,28 @@ def shingles_of(docs: DataFrame, ids: DataFrame, width: int, weighted: bool) ->
     return marked.mapInArrow(run, "doc_id long, shingles array<int>").join(ids, "doc_id", "left_semi")
 
 
+def numbered(x: np.ndarray) -> np.ndarray:
+    """Distinct numbers for a list of hashes, the copies of a hash told apart."""
+    x = np.sort(x).astype(np.int64)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    if new.all():
+        return x << 20
+    first = np.flatnonzero(new)
+    return (x << 20) + (np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x)))))
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Similarity of two sorted arrays of distinct numbers."""
+    at = np.minimum(np.searchsorted(x, y), max(0, len(x) - 1))
+    both = int((x[at] == y).sum()) if len(x) else 0
+    return both / max(1, len(x) + len(y) - both)
+
+
 def similarity(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Jaccard similarities of two columns of hash lists, row by row (of multisets, if hashes repeat)."""
     ao, av, bo, bv = a.offsets.to_numpy(), a.values.to_numpy(), b.offsets.to_numpy(), b.values.to_numpy()
-
-    def numbered(x: np.ndarray) -> np.ndarray:
-        x = np.sort(x).astype(np.int64)
-        new = np.ones(len(x), bool)
-        new[1:] = x[1:] != x[:-1]
-        if new.all():
-            return x << 20
-        first = np.flatnonzero(new)
-        return (x << 20) + (np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x)))))
-
-    out = np.empty(len(ao) - 1)
-    for i in range(len(out)):
-        x, y = numbered(av[ao[i] : ao[i + 1]]), numbered(bv[bo[i] : bo[i + 1]])
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out[i] = both / max(1, len(x) + len(y) - both)
-    return out
+    return np.array([jaccard(numbered(av[ao[i] : ao[i + 1]]), numbered(bv[bo[i] : bo[i + 1]])) for i in range(len(ao) - 1)])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -266,33 +269,44 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 20, rows:
     placed = buckets.join(first, F.col("doc_id") == F.col("node"), "left").select("band", "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     open_ = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
     rest = stash(placed.join(open_, ["band", "key"], "left_semi"))
-    tasks = deal(rest, ["band", "key"], "doc_id", block).join(sketched.select("doc_id", "signature").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "doc_id")
-    tasks = spread(tasks, ["band", "key"]).select("band", "key", "block_i", "block_j", "side", "doc_id", "component", "signature")
+    marks = sketched.select("doc_id", "signature").join(rest.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    tasks = deal(rest, ["band", "key"], "doc_id", block).join(marks.join(sets, "doc_id"), "doc_id")
+    tasks = spread(tasks, ["band", "key"]).select("band", "key", "block_i", "block_j", "side", "doc_id", "component", "signature", "shingles")
     k = bands * rows
     slack = 4 * (least * (1 - least) / k) ** 0.5
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in groups(batches, 4):
             ids_, comp = t.column("doc_id").to_numpy(), t.column("component").to_numpy()
-            side, bi, bj = (t.column(c).to_numpy() for c in ("side", "block_i", "block_j"))
+            band, side, bi, bj = (t.column(c).to_numpy() for c in ("band", "side", "block_i", "block_j"))
             sig = t.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, k)
+            sets_ = t.column("shingles").combine_chunks()
+            so, sv = sets_.offsets.to_numpy(), sets_.values.to_numpy()
             found = []
             for a, b in zip(at[:-1], at[1:], strict=True):
-                for i in range(a, b):
-                    other = comp[a:b] != comp[i]
-                    other &= ids_[a:b] > ids_[i]
+                now = comp[a:b].copy()  # components as this task joins them
+                mine = [numbered(sv[so[i] : so[i + 1]]) for i in range(a, b)]
+                for i in range(b - a):
+                    other = (now != now[i]) & (np.arange(b - a) > i)
                     if bi[a] != bj[a]:
-                        other &= side[a:b] != side[i]
-                    j = a + np.flatnonzero(other)
-                    j = j[(sig[j] == sig[i]).mean(axis=1) >= least - slack] if len(j) else j
-                    if len(j):
-                        found.append(np.column_stack([ids_[j], np.full(len(j), ids_[i])]))
+                        other &= side[a:b] != side[a + i]
+                    j = np.flatnonzero(other)
+                    if not len(j):
+                        continue
+                    equal = sig[a + j] == sig[a + i]
+                    alike = equal.mean(axis=1)
+                    # a pair belongs to the first of its bands
+                    own = equal.reshape(len(j), bands, rows).all(axis=2).argmax(axis=1) == band[a]
+                    ok = own & (alike >= least - slack)
+                    j = j[ok][np.argsort(-alike[ok], kind="stable")]
+                    for c in j:
+                        if now[c] != now[i] and jaccard(mine[i], mine[c]) >= least:
+                            found.append((ids_[a + i], ids_[a + c]))
+                            now[now == now[c]] = now[i]
             if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.array(found).T.copy()], ["a", "b"])
 
-    more = tasks.mapInArrow(compare, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    late = stash(verified(more, sets, least))
+    late = stash(tasks.mapInArrow(compare, "a long, b long"))
     joined = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
     classes = joined if late.isEmpty() else components(joined.unionByName(late)).select(F.col("node").alias("a"), F.col("component").alias("b"))
     out = known.join(classes, F.col("rep") == F.col("a"), "left").select("doc_id", F.coalesce("b", "rep").alias("class_id"))

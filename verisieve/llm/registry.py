@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verisieve.llm import capjoin, chat, dartminhash, licenses, pii, quality, suffixes
+from verisieve.llm import capjoin, chat, dartminhash, decontam, licenses, pii, quality, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": decontam.op1_decontamination,
         "op2_cap_join": capjoin.op2_cap_join,
         "op3_suffix_repeats": suffixes.op3_suffix_repeats,
         "op5_license_scan": licenses.op5_license_scan,

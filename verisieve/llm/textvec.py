@@ -82,13 +82,15 @@ def span_hash(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((code[end] - code[start]) * powers(INVERSE, len(code))[start])
 
 
-def words(buf: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word starts, ends and hashes, and where each row's words begin (rows + 1 places)."""
+def words(buf: np.ndarray, off: np.ndarray, lower: bool = True, apart: np.ndarray = WS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word starts, ends and hashes, and where each row's words begin (rows + 1 places).
+
+    ``apart`` marks the bytes that stand between words."""
     n = len(buf)
     if n == 0:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    blank = WS[buf]
+    blank = apart[buf]
     before = np.empty(n + 1, bool)
     before[0] = True
     before[1:] = blank
