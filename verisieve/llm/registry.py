@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verisieve.llm import capjoin, chat, dartminhash, decontam, licenses, pii, quality, suffixes
+from verisieve.llm import capjoin, chat, dartminhash, decontam, licenses, mixing_lm, pii, quality, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": decontam.op1_decontamination,
         "op2_cap_join": capjoin.op2_cap_join,
         "op3_suffix_repeats": suffixes.op3_suffix_repeats,
+        "op4_context_mixing": mixing_lm.op4_context_mixing,
         "op5_license_scan": licenses.op5_license_scan,
         "op6_pii_surrogates": pii.op6_pii_surrogates,
         "op7_dart_minhash": dartminhash.op7_dart_minhash,
