@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verisieve.llm import capjoin, chat, dartminhash, decontam, licenses, mixing_lm, pii, quality, suffixes
+from verisieve.llm import capjoin, chat, dartminhash, decontam, domainmix, licenses, mixing_lm, pii, quality, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_dart_minhash": dartminhash.op7_dart_minhash,
         "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_quality_ranking": quality.op9_quality_ranking,
+        "op10_domain_mixing": domainmix.op10_domain_mixing,
     }
 
 
