@@ -28,3 +28,58 @@ def auroc(df: DataFrame, by: list[str], score: str = "score", y: str = "y") -> D
     won = steps.withColumn("_w", F.col("_p") * (below + (F.col("_n") - F.col("_p")) / 2.0))
     pos, neg = F.sum("_p"), F.sum(F.col("_n") - F.col("_p"))
     return won.groupBy(*by).agg(F.sum("_n").alias("n"), pos.alias("n_pos"), F.when((pos > 0) & (neg > 0), F.sum("_w") / (pos * neg)).alias("auroc"))
+
+
+def contrasts(df: DataFrame, dim: DataFrame, by: list[str], category: str = "category", score: str = "score") -> DataFrame:
+    """AUROC of every contrast in one pass. ``dim`` has contrast, category, role (1: positive), flip
+    (report 1 - AUROC); it is a small fixed table."""
+    rows = df.join(F.broadcast(dim), category)
+    out = auroc(rows.withColumn("_y", F.col("role")), [*by, "contrast", "flip"], score, "_y")
+    return out.withColumn("auroc", F.when(F.col("flip") == 1, 1 - F.col("auroc")).otherwise(F.col("auroc"))).drop("flip")
+
+
+def guarded(df: DataFrame, least: int, value: str = "auroc") -> DataFrame:
+    """``value`` only where both classes have at least ``least`` rows (columns n, n_pos)."""
+    return df.withColumn(value, F.when(F.least(F.col("n_pos"), F.col("n") - F.col("n_pos")) >= least, F.col(value)))
+
+
+def confusion(df: DataFrame, by: list[str], p: str = "p", y: str = "y", cut: float = 0.5) -> DataFrame:
+    """n, n_wrong, accuracy, precision, recall, f1 of class 1; empty ratios are 0."""
+    hat = (F.col(p) >= cut).cast("long")
+    tp, fp, fn = F.sum(hat * F.col(y)), F.sum(hat * (1 - F.col(y))), F.sum((1 - hat) * F.col(y))
+    ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(y).cast("long").alias("n_wrong"), F.avg((hat == F.col(y)).cast("double")).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
+def auarc(df: DataFrame, by: list[str], uncertainty: str, correct: str, tie: str) -> DataFrame:
+    """Area under the accuracy-rejection curve: the mean of the accuracies of the least uncertain k."""
+    w = Window.partitionBy(*by).orderBy(uncertainty, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn("_a", F.avg(F.col(correct).cast("double")).over(w)).groupBy(*by).agg(F.avg("_a").alias("auarc"))
+
+
+def average_precision(df: DataFrame, by: list[str], score: str, y: str) -> DataFrame:
+    """Mean precision at the positives, scores descending, ties together."""
+    steps = scored(df, score, y).groupBy(*by, score).agg(F.sum(y).alias("_p"), F.count("*").alias("_n"))
+    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return steps.withColumn("_t", F.col("_p") * F.sum("_p").over(w) / F.sum("_n").over(w)).groupBy(*by).agg((F.sum("_t") / F.nullif(F.sum("_p"), F.lit(0))).alias("average_precision"))
+
+
+def mann_whitney(df: DataFrame, by: list[str], score: str = "score", y: str = "y") -> DataFrame:
+    """u, z (normal, with tie and continuity correction), n, n_pos of each cell; z is null where all are equal."""
+    steps = scored(df, score, y).groupBy(*by, score).agg(F.sum(y).alias("_p"), F.count("*").alias("_n"))
+    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    neg = F.col("_n") - F.col("_p")
+    won = steps.withColumn("_u", F.col("_p") * (F.sum(neg).over(w) - neg / 2.0))
+    out = won.groupBy(*by).agg(F.sum("_u").alias("u"), F.sum("_n").alias("n"), F.sum("_p").cast("long").alias("n_pos"), F.sum(F.pow("_n", F.lit(3)) - F.col("_n")).alias("_t"))
+    a, n = F.col("n_pos"), F.col("n")
+    b = n - a
+    var = a * b / 12.0 * ((n + 1) - F.col("_t") / (n * (n - 1)))
+    return out.withColumn("z", F.when(var > 0, (F.greatest(F.abs(F.col("u") - a * b / 2.0) - 0.5, F.lit(0.0))) / F.sqrt(var))).drop("_t")
+
+
+def benjamini_hochberg(df: DataFrame, by: list[str], p: str, tie: str) -> DataFrame:
+    """Column q: false-discovery-adjusted p."""
+    part = Window.partitionBy(*by)
+    up = part.orderBy(p, tie)
+    ranked = df.withColumn("_q", F.col(p) * F.count("*").over(part) / F.row_number().over(up))
+    return ranked.withColumn("q", F.least(F.lit(1.0), F.min("_q").over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing)))).drop("_q")
