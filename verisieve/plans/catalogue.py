@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from verisieve.plans import rank_queries  # noqa: F401
+from verisieve.plans import rank_queries, vector_queries  # noqa: F401
