@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from verisieve.plans import matching_queries, rank_queries, vector_queries  # noqa: F401
+from verisieve.plans import feature_queries, matching_queries, model_queries, rank_queries, source_queries, vector_queries  # noqa: F401
