@@ -89,9 +89,14 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample: int = 10_000, sure:
                 counted = [np.bincount(np.searchsorted(s, (h[a:b] >> np.uint64(44)).astype(np.int32)), minlength=len(s)).astype(np.int32) for s, a, b in zip(sets, to[:-1], to[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(list(describe(buf, off)), pa.list_(pa.float64())), pa.array(sets, pa.list_(pa.int32())), pa.array(counted, pa.list_(pa.int32()))], ["quality", "toxic", "x", "w", "c"])
 
-    got = base.mapInArrow(run, "quality int, toxic int, x array<double>, w array<int>, c array<int>").limit(2 * sample).toArrow()
+    held = stash(base.mapInArrow(run, "quality int, toxic int, x array<double>, w array<int>, c array<int>"))
+    marked = telling_words(held, sure)
+    told = F.filter(F.arrays_zip("w", "c"), lambda e: F.array_contains(F.lit(marked.tolist()).cast("array<int>"), e["w"]))
+    times = F.aggregate(told, F.lit(0), lambda n, e: n + e["c"])
+    got = held.select("quality", "toxic", "x", times.alias("times")).limit(2 * sample).toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(got.num_rows, len(NAMES))
     quality, toxic = (np.array([-1 if v is None else v for v in got.column(c).to_pylist()], int) for c in ("quality", "toxic"))
+    c = got.column("times").to_numpy().astype(float)
     mean, scale = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(len(NAMES)), np.ones(len(NAMES)))
     z = np.column_stack([np.clip((x - mean) / scale, -6, 6), np.ones(len(x))])
 
@@ -103,23 +108,28 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample: int = 10_000, sure:
             return w
         return newton(m[use], y[use])
 
-    lists = got.column("w").combine_chunks() if got.num_rows else None
-    marked, t = np.zeros(0, np.int64), np.column_stack([np.zeros((len(x), 2)), np.ones(len(x))])
-    if lists is not None and len(set(toxic[toxic >= 0])) == 2:
-        off, vals = lists.offsets.to_numpy(), lists.values.to_numpy()
-        owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
-        a, b = (np.bincount(vals[toxic[owner] == k], minlength=SPACE) for k in (1, 0))
-        na, nb = max(1, (toxic == 1).sum()), max(1, (toxic == 0).sum())
-        p = (a + b) / (na + nb)
-        far = (a / na - b / nb) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / na + 1 / nb))
-        marked = np.flatnonzero((far >= sure) & (a / na >= 4 * b / nb) & (a >= 3)).astype(np.int64)
-        hit = np.isin(vals, marked)
-        times = got.column("c").combine_chunks().values.to_numpy()
-        c = np.bincount(owner[hit], times[hit], len(x))
-        t = np.column_stack([c > 0, np.log1p(c), np.ones(len(c))]).astype(float)
+    t = np.column_stack([c > 0, np.log1p(c), np.ones(len(c))]).astype(float)
     return DomainModel(mean, scale, fitted(z, quality), marked, fitted(t, toxic))
 
 
+def telling_words(held: DataFrame, sure: float) -> np.ndarray:
+    """Sorted places of the words far more frequent in documents marked toxic.
+
+    ``held`` has one row a labelled document (toxic, w: its distinct places). The shares
+    are summed in the cluster; what comes back is at most ``SPACE`` integers.
+    """
+    labelled = held.where(F.col("toxic").isin(0, 1))
+    size = labelled.agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("a"), F.count(F.when(F.col("toxic") == 0, 1)).alias("b")).first()
+    if not size["a"] or not size["b"]:
+        return np.zeros(0, np.int64)
+    na, nb = float(size["a"]), float(size["b"])
+    seen = labelled.select("toxic", F.explode("w").alias("w")).groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    p = (F.col("a") + F.col("b")) / (na + nb)
+    far = (F.col("a") / na - F.col("b") / nb) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / na + 1 / nb))
+    found = seen.where((far >= sure) & (F.col("a") / na >= 4 * F.col("b") / nb) & (F.col("a") >= 3)).select("w").toArrow()
+    return np.sort(found.column("w").to_numpy().astype(np.int64))
+
+
 def with_posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     """``docs`` with _n (words) and _p (posteriors)."""
     tune(docs.sparkSession)
@@ -149,18 +159,41 @@ def fit_rates(facts: DataFrame, keep: tuple[float, ...] = KEEP, targets: dict[st
     target = np.array([targets[d] for d in DOMAINS]) if targets else np.array(keep) * total
     scale = max(total.sum(), 1.0)
     inverse = np.linalg.inv(moment / scale + 1e-4 * np.eye(k)) / scale
-    rate, now, best = F.lit(1.0), total, None
+    rate, now, taken = F.lit(1.0), total, []
     for _ in range(steps):
         step = inverse @ (now - target)
         rate = F.greatest(F.lit(0.0), rate - sum(float(step[i]) * p[i] for i in range(k)))
-        got = facts.agg(*[F.sum(n * p[i] * rate).alias(f"t{i}") for i in range(k)]).first()
-        then = np.array([got[f"t{i}"] or 0.0 for i in range(k)])
+        taken.append(step)
+        then = totals(facts, taken)
         moved, now = np.abs(then - now).max(), then
         if moved <= close * scale * 0.1:
             break
     return rate, {d: (float(t), float(f)) for d, t, f in zip(DOMAINS, target, now, strict=True)}
 
 
+def totals(facts: DataFrame, steps: list[np.ndarray]) -> np.ndarray:
+    """Expected token totals by domain at the rates that the steps lead to.
+
+    The steps are data, not a plan: every call has the same plan, and a task sends one row.
+    """
+    k = len(DOMAINS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k)
+        for batch in batches:
+            posteriors = batch.column(1)
+            p = posteriors.flatten().to_numpy(zero_copy_only=False).reshape(len(posteriors), k)
+            rate = np.ones(len(p))
+            for step in steps:
+                rate = np.maximum(0.0, rate - p @ step)
+            total += (batch.column(0).to_numpy(zero_copy_only=False) * rate) @ p
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], [f"t{i}" for i in range(k)])
+
+    parts = facts.select("_n", "_p").mapInArrow(run, ", ".join(f"t{i} double" for i in range(k)))
+    got = parts.agg(*[F.sum(f"t{i}").alias(f"t{i}") for i in range(k)]).first()
+    return np.array([got[f"t{i}"] or 0.0 for i in range(k)])
+
+
 def mix_documents(docs: DataFrame, labels: DataFrame, keep: tuple[float, ...] = KEEP, targets: dict[str, float] | None = None) -> DataFrame:
     """``docs`` (doc_id, text) with posteriors and rates: doc_id, n_tokens, one column for each domain, rate."""
     model = fit_domains(docs, labels)
