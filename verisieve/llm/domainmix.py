@@ -91,9 +91,16 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample: int = 10_000, sure:
 
     held = stash(base.mapInArrow(run, "quality int, toxic int, x array<double>, w array<int>, c array<int>"))
     marked = telling_words(held, sure)
-    told = F.filter(F.arrays_zip("w", "c"), lambda e: F.array_contains(F.lit(marked.tolist()).cast("array<int>"), e["w"]))
-    times = F.aggregate(told, F.lit(0), lambda n, e: n + e["c"])
-    got = held.select("quality", "toxic", "x", times.alias("times")).limit(2 * sample).toArrow()
+
+    def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, c = batch.column(3), batch.column(4)
+            hit = np.isin(w.flatten().to_numpy(), marked)
+            owner = np.repeat(np.arange(len(w)), np.diff(w.offsets.to_numpy()))
+            n = np.bincount(owner[hit], c.flatten().to_numpy()[hit], len(w)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n)], ["quality", "toxic", "x", "times"])
+
+    got = held.mapInArrow(times, "quality int, toxic int, x array<double>, times long").limit(2 * sample).toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(got.num_rows, len(NAMES))
     quality, toxic = (np.array([-1 if v is None else v for v in got.column(c).to_pylist()], int) for c in ("quality", "toxic"))
     c = got.column("times").to_numpy().astype(float)
@@ -115,18 +122,26 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample: int = 10_000, sure:
 def telling_words(held: DataFrame, sure: float) -> np.ndarray:
     """Sorted places of the words far more frequent in documents marked toxic.
 
-    ``held`` has one row a labelled document (toxic, w: its distinct places). The shares
-    are summed in the cluster; what comes back is at most ``SPACE`` integers.
+    ``held`` has one row a labelled document (toxic, w: its distinct places), a bounded
+    sample. One task streams it into two counters of ``SPACE`` places, so nothing is
+    shuffled and only the places found come back.
     """
-    labelled = held.where(F.col("toxic").isin(0, 1))
-    size = labelled.agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("a"), F.count(F.when(F.col("toxic") == 0, 1)).alias("b")).first()
-    if not size["a"] or not size["b"]:
-        return np.zeros(0, np.int64)
-    na, nb = float(size["a"]), float(size["b"])
-    seen = labelled.select("toxic", F.explode("w").alias("w")).groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    p = (F.col("a") + F.col("b")) / (na + nb)
-    far = (F.col("a") / na - F.col("b") / nb) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / na + 1 / nb))
-    found = seen.where((far >= sure) & (F.col("a") / na >= 4 * F.col("b") / nb) & (F.col("a") >= 3)).select("w").toArrow()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows = np.zeros((2, SPACE), np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            toxic = batch.column(0).fill_null(-1).to_numpy()
+            vals, owner = batch.column(1).flatten().to_numpy(), np.repeat(toxic, np.diff(batch.column(1).offsets.to_numpy()))
+            for k in (0, 1):
+                seen[k] += np.bincount(vals[owner == k], minlength=SPACE)
+                rows[k] += (toxic == k).sum()
+        if rows.all():
+            (nb, na), (b, a) = rows, seen
+            p = (a + b) / (na + nb)
+            far = (a / na - b / nb) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / na + 1 / nb))
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero((far >= sure) & (a / na >= 4 * b / nb) & (a >= 3)).astype(np.int32))], ["w"])
+
+    found = held.select("toxic", "w").coalesce(1).mapInArrow(run, "w int").toArrow()
     return np.sort(found.column("w").to_numpy().astype(np.int64))
 
 
