@@ -157,6 +157,23 @@ def test_quality_and_mixture(spark):
     assert all((rate[i] < 0.5) == (i % 8 < 2) for i in range(200))
 
 
+def test_rate_totals(spark):
+    r = np.random.default_rng(2)
+    p, n = r.dirichlet(np.ones(4), 50), r.integers(0, 40, 50)
+    facts = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "_n long, _p array<double>").repartition(3)
+    steps = [r.standard_normal(4), r.standard_normal(4)]
+    rate = np.ones(50)
+    for s in steps:
+        rate = np.maximum(0, rate - p @ s)
+    assert np.allclose(domainmix.totals(facts, steps), (n * rate) @ p)
+
+
+def test_telling_words(spark):
+    rows = [(int(i < 20), [5, i + 100] if i < 20 else [9, i + 100]) for i in range(60)] + [(None, [5]), (0, []), (0, [5])]
+    got = domainmix.telling_words(spark.createDataFrame(rows, "toxic int, w array<int>").repartition(4), 4.0)
+    assert got.tolist() == [5]
+
+
 def test_empty_tables(spark, nothing):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
