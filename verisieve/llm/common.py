@@ -15,7 +15,7 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def tune(spark: SparkSession, rows: int = 2000) -> None:
     """Bound the Arrow batches that Python workers hold at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
