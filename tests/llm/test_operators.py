@@ -88,6 +88,21 @@ def test_vectors(spark):
         assert got[i] == (len(near.get(i, ())), min(reach), i == min(reach)), i
 
 
+def test_no_pair_of_vectors_is_lost(spark):
+    r = np.random.default_rng(8)
+    x = r.standard_normal((10_000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = r.standard_normal(x.shape)
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    both = np.concatenate([x, 0.9801 * x + math.sqrt(1 - 0.9801**2) * y])
+    unit = both / np.linalg.norm(both, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(both)], "vec_id long, embedding array<double>, label int")
+    got = {v.vec_id: v.n_links for v in capjoin.link_vectors(rows).collect()}
+    assert want.min() >= 1 and [got[i] for i in range(len(both))] == want.tolist()
+
+
 def test_scores(docs):
     got = mixing_lm.score_corpus(docs).collect()
     toks = [(i, re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) + [None]) for i, t, *_ in corpus()]

@@ -1,17 +1,19 @@
-"""Cosine self-join of vectors by spherical-cap filters.
-
-Filter directions are a random product code: after a random rotation the space is cut
-in two halves with a random codebook each, and a direction is a pair of codewords. A
-vector is list-decoded to every direction that it exceeds ``threshold`` on, by adding
-the two halves' inner products and pruning codewords that no partner can lift over it;
-a vector with fewer than ``least`` such directions also takes its best ones. Vectors of
-one label that share a direction are compared exactly in double precision.
-
-Equal vectors of a label are compared once, with their number. A pair that shares
-several directions counts at the smallest of them. A direction that many vectors share
-is dealt into blocks of bounded size, and each task gives one row for each vector: its
-number of links there and a link to the first vector that it is linked with, never the
-pairs.
+"""Exact cosine self-join of vectors.
+
+The vectors of a label and length are dealt to the cells of pivots, which are a sample of
+them: each is at home in the cell of the pivot ``p`` with the largest inner product, and
+visits every cell where a partner may be at home. Two unit vectors of at least the wanted
+similarity are at most ``r = sqrt(2 - 2 similarity)`` apart, so a partner at home at ``q``
+means ``y.p - y.q <= r |p - q|`` for the visitor ``y`` that is at home at ``p``. The bound
+holds for any pivots: no pair is lost, whatever the data, the pivots and their number.
+Home vectors are compared with their cell's visitors exactly in double precision.
+
+Equal vectors of a label are compared once, with their number. A vector's links are all
+found in its home cell, so each pair counts once for each of the two. Cells are dealt into
+blocks of bounded size, and each task gives one row for each vector: its number of links
+there and a link to the first vector that it is joined with, never the pairs. For vectors
+without any structure most cells are visited, and the comparisons grow with the square of
+a label's vectors.
 
 A vector that is null, empty, zero, or holds null or non-finite components, and one of
 null label, links with nothing. Vectors of different lengths do not link. Rows of equal
@@ -22,60 +24,58 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import ceil, sqrt
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verisieve.llm.blocks import deal, groups, least_labels, spread
+from verisieve.llm.blocks import groups
 from verisieve.llm.common import stash, table, tune
 from verisieve.llm.components import components
 
 
-class CapFilters:
-    """Rotation, codebooks and threshold for one vector length."""
-
-    def __init__(self, width: int, per_half: int, wanted: float, seed: int = 5):
-        rng = np.random.default_rng([seed, width, per_half])
-        self.rotation = np.linalg.qr(rng.standard_normal((width, width)))[0]
-        self.cut = max(1, width // 2)
-        self.books = []
-        for w in (self.cut, max(1, width - self.cut)):
-            book = rng.standard_normal((w, per_half))
-            self.books.append(book / np.linalg.norm(book, axis=0))
-        share = min(0.5, wanted / per_half**2)
-        self.per_half, self.threshold = per_half, NormalDist().inv_cdf(1 - share) / sqrt(width) * sqrt(2)
-
-    def decode(self, unit: np.ndarray, least: int) -> list[np.ndarray]:
-        """Sorted direction numbers of each row."""
-        turned = unit @ self.rotation
-        left = turned[:, : self.cut] @ self.books[0]
-        right = turned[:, self.cut :] @ self.books[1] if unit.shape[1] > self.cut else np.zeros((len(unit), self.per_half))
-        order = np.argsort(-right, axis=1)
-        out = []
-        for u, v, by in zip(left, right, order, strict=True):
-            best = v[by]
-            able = np.flatnonzero(u + best[0] >= self.threshold)
-            reach = np.searchsorted(-best, u[able] - self.threshold, "right")
-            codes = [i * self.per_half + by[:r] for i, r in zip(able, reach, strict=True)]
-            found = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-            if len(found) < least:
-                top = np.argsort(-u)[:least]
-                sums = u[top][:, None] + best[None, :least]
-                pick = np.argsort(-sums, axis=None)[:least]
-                found = np.union1d(found, top[pick // sums.shape[1]] * self.per_half + by[pick % sums.shape[1]])
-            out.append(np.sort(found))
-        return out
-
-
 def _units(column: pa.Array) -> np.ndarray:
     x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def link_vectors(vectors: DataFrame, similarity: float = 0.98, wanted: float = 12.0, least: int = 8, block: int = 1024) -> DataFrame:
+class Cells:
+    """Cells of the pivots (unit rows) of one label and length; without pivots there is one cell."""
+
+    def __init__(self, pivots: np.ndarray, similarity: float):
+        self.pivots = pivots
+        apart = np.sqrt(np.maximum(0, 2 - 2 * np.clip(pivots @ pivots.T, -1, 1)))
+        self.reach = sqrt(max(0.0, 2 - 2 * similarity)) * apart + 1e-6
+
+    def visits(self, unit: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Each row's home cell, and the cells it visits, its home among them."""
+        if not len(self.pivots):
+            return np.zeros(len(unit), np.int64), [np.zeros(1, np.int64)] * len(unit)
+        to = unit @ self.pivots.T
+        home = to.argmax(axis=1)
+        able = to[np.arange(len(unit)), home][:, None] - to <= self.reach[home]
+        return home, [np.flatnonzero(x) for x in able]
+
+
+def join_homes(home: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """``home`` (the smallest row that each row is joined with) after the rows that share a column of ``hit``."""
+    rows = np.flatnonzero(hit.any(axis=1))
+    hit = hit[rows]
+    while True:
+        column = np.where(hit, home[rows][:, None], len(home)).min(axis=0)
+        least = np.where(hit, column[None, :], len(home)).min(axis=1)
+        parent = np.arange(len(home))
+        np.minimum.at(parent, home[rows], least)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        new = parent[home]
+        if (new == home).all():
+            return home
+        home = new
+
+
+def link_vectors(vectors: DataFrame, similarity: float = 0.98, block: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label)."""
     spark = vectors.sparkSession
     tune(spark)
@@ -89,59 +89,78 @@ def link_vectors(vectors: DataFrame, similarity: float = 0.98, wanted: float = 1
         .withColumn("width", F.size("v"))
     )
     most = reps.groupBy("label", "width").count().agg(F.max("count")).first()[0] or 1
-    per_half = ceil(sqrt(max(64, most / 8)))
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, CapFilters] = {}
+    # a pivot for every 4 blocks of vectors, and about 1,024 for a label at most
+    every = max(4 * block, ceil(most / 1024))
+    pivots: dict[tuple[str, int], list] = {}
+    for r in reps.where(F.pmod(F.xxhash64("gid"), F.lit(every)) == 0).select("label", "width", "v").collect():
+        pivots.setdefault((r.label, r.width), []).append(r.v)
+    sent = spark.sparkContext.broadcast({k: np.array(v) / np.linalg.norm(v, axis=1, keepdims=True) for k, v in pivots.items()})
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[tuple[str, int], Cells] = {}
         for batch in batches:
-            widths = batch.column(1).value_lengths().to_numpy()
-            for w in np.unique(widths):
-                part = batch.filter(pa.array(widths == w))
-                caps = made.setdefault(int(w), CapFilters(int(w), per_half, wanted))
+            keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            for key in sorted(set(keys)):
+                part = batch.filter(pa.array([k == key for k in keys]))
+                if key not in made:
+                    made[key] = Cells(sent.value.get(key, np.zeros((0, key[1]))), similarity)
                 for a in range(0, part.num_rows, 256):
                     some = part.slice(a, 256)
-                    found = caps.decode(_units(some.column(1)), least)
-                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found, pa.list_(pa.int64()))], ["gid", "directions"])
-
-    found = reps.select("gid", "v").mapInArrow(decode, "gid long, directions array<long>")
-    members = reps.join(found, "gid").withColumn("direction", F.explode("directions"))
-    members = stash(members.select("label", "width", "direction", "gid", "rep", "m", "directions", F.col("v")))
-    keys = ["label", "width", "direction"]
-    tasks = spread(deal(members.withColumn("label", F.xxhash64("label")), keys, "gid", block), keys)
-    tasks = tasks.select(*keys, "block_i", "block_j", "side", "gid", "rep", "m", "directions", "v")
+                    home, visits = made[key].visits(_units(some.column(3)))
+                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array(home), pa.array(visits, pa.list_(pa.int64()))], ["gid", "home", "visits"])
+
+    placed = reps.select("gid", "label", "width", "v").mapInArrow(place, "gid long, home long, visits array<long>")
+    members = stash(reps.join(placed, "gid").select(F.xxhash64("label").alias("label"), "width", "gid", "rep", "m", "home", "visits", F.col("v")))
+    # tasks: a block of a cell's homes (kind 0) with a block of its visitors (kind 1)
+    cell = ["label", "width", "cell"]
+    homes = members.withColumn("cell", F.col("home"))
+    visitors = members.withColumn("cell", F.explode("visits"))
+    blocks = (
+        homes.groupBy(*cell).agg(F.ceil(F.count("*") / (4 * block)).cast("int").alias("h"))
+        .join(visitors.groupBy(*cell).agg(F.ceil(F.count("*") / (16 * block)).cast("int").alias("w")), cell)
+    )
+    dealt = lambda n: F.pmod(F.xxhash64("gid", F.lit(7)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sides = [
+        homes.join(blocks, cell).withColumn("block_i", dealt("h")).withColumn("block_j", each("w")).withColumn("kind", F.lit(0)),
+        visitors.join(blocks, cell).withColumn("block_j", dealt("w")).withColumn("block_i", each("h")).withColumn("kind", F.lit(1)),
+    ]
+    task = [*cell, "block_i", "block_j"]
+    tasks = sides[0].select(*task, "kind", "gid", "rep", "m", "v").unionByName(sides[1].select(*task, "kind", "gid", "rep", "m", "v"))
+    tasks = tasks.repartition(*task).sortWithinPartitions(*task, "kind", "gid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in groups(batches, 5):
             gids, links, reps_, firsts = [], [], [], []
-            col = {n: t.column(n).to_numpy() for n in ("direction", "block_i", "block_j", "side", "gid", "rep", "m")}
-            units = _units(t.column("v").combine_chunks()) if len(np.unique(t.column("width").to_numpy())) == 1 else None
-            lists = t.column("directions").combine_chunks()
-            loff, lval = lists.offsets.to_numpy(), lists.values.to_numpy()
+            gid, rep, m, kind = (t.column(n).to_numpy() for n in ("gid", "rep", "m", "kind"))
             for a, b in zip(at[:-1], at[1:], strict=True):
-                x = units[a:b] if units is not None else _units(t.column("v").slice(a, b - a).combine_chunks())
-                hit = x @ x.T >= similarity
-                np.fill_diagonal(hit, False)
-                if col["block_i"][a] != col["block_j"][a]:
-                    side = col["side"][a:b]
-                    hit &= side[:, None] != side[None, :]
-                touched = np.flatnonzero(hit.any(axis=1))
-                if not len(touched):
+                c = a + int(np.searchsorted(kind[a:b], 1))  # homes to here, then visitors
+                if c == a or c == b:
                     continue
-                hit = hit[np.ix_(touched, touched)]
-                # a pair counts where no smaller direction is shared
-                own = np.repeat(np.arange(len(touched)), loff[a + touched + 1] - loff[a + touched])
-                vals = np.concatenate([lval[loff[a + i] : loff[a + i + 1]] for i in touched])
-                earlier = vals < col["direction"][a]
-                once = hit
-                if earlier.any():
-                    names, index = np.unique(vals[earlier], return_inverse=True)
-                    has = np.zeros((len(touched), len(names)), np.float32)
-                    has[own[earlier], index] = 1
-                    once = hit & ~(has @ has.T > 0)
-                gids.append(col["gid"][a + touched])
-                reps_.append(col["rep"][a + touched])
-                links.append((once @ col["m"][a + touched].astype(np.float64)).astype(np.int64))
-                firsts.append(col["rep"][a + touched][least_labels(hit)])
+                x = _units(t.column("v").slice(a, c - a).combine_chunks())
+                home, found = np.arange(c - a), np.zeros(c - a, np.int64)
+                for lo in range(c, b, 256):
+                    hi = min(b, lo + 256)
+                    hit = x @ _units(t.column("v").slice(lo, hi - lo).combine_chunks()).T >= similarity
+                    # both sides are sorted by gid
+                    own = np.searchsorted(gid[a:c], gid[lo:hi])
+                    same = np.flatnonzero(gid[a + np.minimum(own, c - a - 1)] == gid[lo:hi])
+                    hit[own[same], same] = False
+                    met = np.flatnonzero(hit.any(axis=0))
+                    if not len(met):
+                        continue
+                    hit = hit[:, met]
+                    found += (hit @ m[lo + met].astype(np.float64)).astype(np.int64)
+                    home = join_homes(home, hit)
+                    gids.append(gid[lo + met])
+                    reps_.append(rep[lo + met])
+                    links.append(np.zeros(len(met), np.int64))
+                    firsts.append(rep[a + hit.argmax(axis=0)])
+                some = np.flatnonzero(found)
+                gids.append(gid[a + some])
+                reps_.append(rep[a + some])
+                links.append(found[some])
+                firsts.append(rep[a + home[some]])
             if gids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (gids, reps_, links, firsts)], ["gid", "rep", "links", "first"])
 
