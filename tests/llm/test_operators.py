@@ -131,6 +131,18 @@ def test_rewriting_template_is_detected():
     assert f.rewritten == 0
 
 
+def test_long_conversations_are_rendered_whole(spark):
+    last = lambda turns: "".join(t for _, t in turns[-40:])
+    numbered = lambda turns: "".join(f"<{i}>{t}" for i, (_, t) in enumerate(turns))
+    rows = [(1, i, "user", f"t{i};") for i in range(60)]
+    f, g = chat.Formatter(last), chat.Formatter(numbered)
+    added = [(f.add(r, t), g.add(r, t))[1][0] for _, _, r, t in rows]
+    assert f.rewritten == 40 and g.rewritten is None and "".join(added) == numbered([(r, t) for _, _, r, t in rows])
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert chat.format_digest(df, render=last).first().rewritten_from == 40
+    assert chat.format_digest(df).first().formatted_chars == len(chat.instruct_template([(r, t) for _, _, r, t in rows]))
+
+
 def test_surrogates(spark, docs):
     text = 'Mary Jones, mary.j.3@mail7.example.com, +1 (017) 555-7713, 97.51.17.173, 4417744280351547, 9807915762804490, token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
     rows = spark.createDataFrame([(1, text, "en", 0.0, 1, True), (2, "again " + text, "en", 0.0, 1, True), (3, None, "en", 0.0, 1, True), (4, "nothing", "en", 0.0, 1, True)], DOCS)
