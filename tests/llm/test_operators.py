@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -160,6 +161,18 @@ def test_licenses(spark):
     assert got == {1: ("MIT", True), 2: ("GPL-2.0", True)}
 
 
+def test_wrapped_and_adjacent_licenses(spark):
+    wording = {}
+    for name, text in licenses.TEMPLATES:
+        wording[name] = max(wording.get(name, ""), text, key=len)
+    rows = [(i, "before it\n\n" + "\n".join(textwrap.wrap(wording[n], w)) + "\n\nand after it") for i, (n, w) in enumerate([("MIT", 80), ("BSD-3-Clause", 80), ("MIT", 40), ("GPL-3.0", 60)])]
+    rows.append((9, "Licensed under CC BY 4.0.\nThis work is licensed under the GNU General Public License, version 2."))
+    got = collections.defaultdict(list)
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].append((r.license, r.exact))
+    assert got == {0: [("MIT", True)], 1: [("BSD-3-Clause", True)], 2: [("MIT", True)], 3: [("GPL-3.0", True)], 9: [("CC-BY-4.0", True), ("GPL-2.0", True)]}
+
+
 def test_leaks(spark, docs):
     item = prose(40, 99)
     changed = " ".join(w if i % 9 else "qqqq" for i, w in enumerate(item.split()))

@@ -1,10 +1,13 @@
 """License scan by conditional compression.
 
-Candidate blocks are runs of adjacent lines that name license vocabulary. Each is
-compressed alone and with every template as a zstandard raw dictionary; templates
-are ranked by the bytes saved, and the leading ones are compared word by word with
-the block. The one with the fewest differing words is reported, with the exact
-words that the block lacks or adds, if at least ``least_share`` of the words agree.
+Candidate blocks are the surroundings of license vocabulary, wide enough to hold every
+template around its own vocabulary however its lines are wrapped; surroundings that touch
+are one block. A block is compared word by word with every template that shares enough
+words with it. The best notice is the stretch of the block with the most agreeing words
+over differing ones, if at least ``least_share`` of the template's words and of the
+stretch's agree; what stands before and after it is searched again, so every notice of a
+block is reported, with the exact words that it lacks or adds. A notice must also
+compress better with its template as a zstandard raw dictionary than alone.
 
 Whole texts are searched. Null and empty texts have no blocks; an empty table
 gives no rows; repeated rows give repeated results; ties go to the template that
@@ -14,6 +17,7 @@ comes first. Columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verisieve.llm.common import table, tune
-from verisieve.llm.textvec import LOWER, pieces
+from verisieve.llm.textvec import LOWER, WS, pieces
 
 _WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
 
@@ -71,78 +75,136 @@ def vocabulary(text: str) -> list[str]:
 class Scanner:
     """Compressors for each template; one per Python worker task."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...], leading: int, least_share: float, level: int = 12):
-        self.templates, self.leading, self.least_share = templates, leading, least_share
+    def __init__(self, templates: tuple[tuple[str, str], ...], least_share: float, level: int = 12):
+        self.templates, self.least_share = templates, least_share
         params = zstandard.ZstdCompressionParameters.from_level(level, window_log=17, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
         self.plain = zstandard.ZstdCompressor(compression_params=params)
         self.given = [zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
         self.words = [vocabulary(t) for _, t in templates]
-        self.known: dict[str, tuple | None] = {}
+        self.counts = [Counter(w) for w in self.words]
+        self.known: dict[str, list[tuple]] = {}
 
-    def best(self, block: str) -> tuple | None:
-        """(license, template, plain, conditional, saving, lacking, added, difference, exact)."""
+    def notices(self, block: str) -> list[tuple]:
+        """(license, template, plain, conditional, saving, lacking, added, difference, exact) of each notice, in order."""
         if block not in self.known:
             if len(self.known) > 10_000:
                 self.known.clear()
-            self.known[block] = self._best(block)
+            places = [(m.start(), m.end()) for m in _word.finditer(block)]
+            mine = [block[a:b].lower() for a, b in places]
+            out, todo = [], [(0, len(mine))]
+            while todo:
+                lo, hi = todo.pop()
+                got = self._best(block, places[lo:hi], mine[lo:hi])
+                if got:
+                    first, last, row = got
+                    out.append((lo + first, row))
+                    todo += [(lo, lo + first), (lo + last, hi)]
+            self.known[block] = [row for _, row in sorted(out)]
         return self.known[block]
 
-    def _best(self, block: str) -> tuple | None:
-        raw = " ".join(block.split()).encode()
-        plain = len(self.plain.compress(raw))
-        sizes = [len(c.compress(raw)) for c in self.given]
-        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))[: self.leading]
-        mine, found = vocabulary(block), []
-        for rank, i in enumerate(order):
-            if sizes[i] >= plain:
+    def _best(self, block: str, places: list[tuple[int, int]], mine: list[str]) -> tuple[int, int, tuple] | None:
+        """First and end word of the best notice, and its row."""
+        have, found = Counter(mine), []
+        match = SequenceMatcher(None, autojunk=False)
+        match.set_seq2(mine)
+        for i, theirs in enumerate(self.words):
+            need = self.least_share * max(len(theirs), 1)
+            if sum(min(n, have[w]) for w, n in self.counts[i].items()) < need:
                 continue
-            theirs = self.words[i]
-            steps = [s for s in SequenceMatcher(None, theirs, mine, autojunk=False).get_opcodes() if s[0] != "equal"]
-            lacking, added = sum(b - a for _, a, b, _, _ in steps), sum(d - c for *_, c, d in steps)
-            agreed = len(mine) - added
-            if agreed >= self.least_share * max(len(theirs), 1):
-                said = "; ".join(f"-[{' '.join(theirs[a:b])}] +[{' '.join(mine[c:d])}]" for _, a, b, c, d in steps)
-                found.append((lacking + added, rank, self.templates[i][0], i, plain, sizes[i], (plain - sizes[i]) / plain, lacking, added, said[:2000], lacking + added == 0))
-        return min(found)[2:] if found else None
-
-
-def candidate_blocks(buf: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int]]:
-    """(row, start, end) of the runs of adjacent lines that hold a stem, as byte places."""
-    low = LOWER[buf].tobytes()
+            match.set_seq1(theirs)
+            run = best_run([m for m in match.get_matching_blocks() if m.size])
+            agreed = sum(m.size for m in run)
+            if not run or agreed < need:
+                continue
+            first, last = run[0].b, run[-1].b + run[-1].size
+            lacking, added = len(theirs) - agreed, last - first - agreed
+            if agreed < self.least_share * (last - first):
+                continue
+            raw = " ".join(block[places[first][0] : places[last - 1][1]].split()).encode()
+            plain, size = len(self.plain.compress(raw)), len(self.given[i].compress(raw))
+            if size < plain:
+                found.append((lacking + added - agreed, size, i, first, last, run, plain, lacking, added))
+        if not found:
+            return None
+        _, size, i, first, last, run, plain, lacking, added = min(found, key=lambda f: f[:3])
+        theirs, said, a, b = self.words[i], [], 0, first
+        for m in run:
+            said.append((theirs[a : m.a], mine[b : m.b]))
+            a, b = m.a + m.size, m.b + m.size
+        said.append((theirs[a:], []))
+        difference = "; ".join(f"-[{' '.join(x)}] +[{' '.join(y)}]" for x, y in said if x or y)
+        return first, last, (self.templates[i][0], i, plain, size, (plain - size) / plain, lacking, added, difference, lacking + added == 0)
+
+
+def best_run(matches: list) -> list:
+    """The run of adjacent matches with the most words less half of the block's words between them."""
+    best, best_gain, start, gain = [], 0.0, 0, 0.0
+    for k, m in enumerate(matches):
+        gap = (m.b - matches[k - 1].b - matches[k - 1].size) / 2 if k else 0.0
+        if gain - gap > 0:
+            gain += m.size - gap
+        else:
+            start, gain = k, float(m.size)
+        if gain > best_gain:
+            best, best_gain = matches[start : k + 1], gain
+    return best
+
+
+def stem_hits(low: bytes) -> list[int]:
+    """Places where a stem begins, in order."""
     hits = []
     for stem in STEMS:
         at = low.find(stem)
         while at >= 0:
             hits.append(at)
             at = low.find(stem, at + 1)
-    if not hits:
+    return sorted(hits)
+
+
+def reach_of(templates: tuple[tuple[str, str], ...]) -> int:
+    """Bytes around a stem that hold each template's words up to its next stem or its end,
+    twice over for what wrapping, indents and changed words add."""
+    most = 0
+    for _, text in templates:
+        low = text.lower().encode()
+        at = [0, *stem_hits(low), len(low)]
+        most = max(most, *(b - a for a, b in zip(at[:-1], at[1:], strict=True)))
+    return 2 * most + 100
+
+
+def candidate_blocks(buf: np.ndarray, off: np.ndarray, reach: int) -> list[tuple[int, int, int]]:
+    """(row, start, end) of the surroundings of stems, as byte places between words; those that touch are joined."""
+    hits = np.array(stem_hits(LOWER[buf].tobytes()), np.int64)
+    if not len(hits):
         return []
-    hits = np.unique(hits)
-    edges = np.unique(np.concatenate([[0], np.flatnonzero(buf == 10) + 1, off]))
-    line = np.unique(np.searchsorted(edges, hits, "right") - 1)
-    row = np.searchsorted(off, edges[line], "right") - 1
-    fresh = np.ones(len(line), bool)
-    fresh[1:] = (np.diff(line) > 1) | (np.diff(row) > 0)
+    row = np.searchsorted(off, hits, "right") - 1
+    fresh = np.ones(len(hits), bool)
+    fresh[1:] = (np.diff(hits) > 2 * reach) | (np.diff(row) > 0)
     first = np.flatnonzero(fresh)
-    last = np.append(first[1:], len(line)) - 1
-    return [(int(row[a]), int(edges[line[a]]), int(min(edges[line[b] + 1], off[row[a] + 1]))) for a, b in zip(first, last, strict=True)]
+    last = np.append(first[1:], len(hits)) - 1
+    edges = np.unique(np.concatenate([np.flatnonzero(WS[buf]), off]))
+    out = []
+    for a, b in zip(first, last, strict=True):
+        lo, hi = max(off[row[a]], hits[a] - reach), min(off[row[a] + 1], hits[b] + reach)
+        out.append((int(row[a]), int(edges[np.searchsorted(edges, lo, "right") - 1]), int(edges[np.searchsorted(edges, hi)])))
+    return out
 
 
-def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, leading: int = 5, least_share: float = 0.6) -> DataFrame:
-    """One row for each confirmed block. ``block_start`` and ``block_end`` count bytes of the text."""
+def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least_share: float = 0.6) -> DataFrame:
+    """One row for each notice of a block. ``block_start`` and ``block_end`` count bytes of the text."""
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner, names = Scanner(templates, leading, least_share), [c.split()[0] for c in SCHEMA.split(", ")]
+        reach = reach_of(templates)
+        scanner, names = Scanner(templates, least_share), [c.split()[0] for c in SCHEMA.split(", ")]
         for batch in batches:
             rows = []
             for lo, _, buf, off in pieces(batch.column(1)):
                 seen, number = -1, 0
-                for row, a, b in candidate_blocks(buf, off):
+                for row, a, b in candidate_blocks(buf, off, reach):
                     number = number + 1 if row == seen else 0
                     seen = row
-                    got = scanner.best(buf[a:b].tobytes().decode("utf-8", "replace").strip())
-                    if got:
+                    for got in scanner.notices(buf[a:b].tobytes().decode("utf-8", "replace").strip()):
                         rows.append((batch.column(0)[lo + row].as_py(), number, int(a - off[row]), int(b - off[row]), *got))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 3 + [pa.float64()] + [pa.int64()] * 2 + [pa.string(), pa.bool_()]
