@@ -65,6 +65,13 @@ def test_near_duplicates(docs):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect() if r.doc_id > 22) == [23, 24, 25, 28, 29, 30]
 
 
+def test_near_duplicates_decide_by_row(spark):
+    near = prose(200, 2)
+    rows = [(None, prose(60, 71)), (None, prose(60, 72)), (None, near), (7, near), (9, prose(60, 73)), (9, near), (9, prose(60, 74)), (9, prose(60, 74))]
+    kept = [(r.doc_id, r.text) for r in dartminhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=str) == sorted([rows[i] for i in (0, 1, 3, 4, 6)], key=str)
+
+
 def test_dart_signatures_estimate_similarity():
     a = np.random.default_rng(0).integers(0, 2**63, 100, dtype=np.uint64)
     w = np.concatenate([np.ones(100), np.full(100, 3.0)])

@@ -315,11 +315,15 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 20, rows:
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = 0.8, **how) -> DataFrame:
-    """``docs`` with one document of each class, all columns kept; repeated rows of a kept
-    doc_id are one document, of which one row stays."""
-    kept = near_duplicates(docs, least, **how).where("kept").select(F.col("doc_id").alias("_kept"))
-    key = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept"))
-    return docs.join(kept, key, "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one row of each class of near-duplicate texts, all columns kept. Rows count
+    by their texts alone: those of one doc_id or of a null one are separate documents."""
+    rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()))
+    classes = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), least, **how).select(F.col("doc_id").alias("_row"), "class_id")
+    # of each class the row of the smallest doc_id stays, a null one last
+    ids = rows.select("_row", F.col("doc_id").cast("long").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("first")
+    kept = classes.join(ids, "_row").groupBy("class_id").agg(first).select(F.col("first._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
