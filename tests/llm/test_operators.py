@@ -168,6 +168,16 @@ def test_licenses(spark):
     assert got == {1: ("MIT", True), 2: ("GPL-2.0", True)}
 
 
+def test_search_passes_over_nothing_that_it_finds(spark):
+    iban = next(v for d in range(100) if pii.iban_rest(v := f"NL{d:02d}ABCDEFGHJKLMNOPQ") == 1)
+    texts = ["(Mary Jones)", '"Mary Jones said', "\u201cMary Jones\u201d", "\u00d7Mary Jones", "/Анна Петрова/", "-José Silva", iban, "\u0661.\u0662.\u0663.\u0664 is an address"]
+    texts = [t for t in texts if pii.entities(t)]
+    assert len(texts) >= 6
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace_entities(rows, count="n").collect()}
+    assert all(got[i].n == 1 and pii.entities(t)[0][3] not in got[i].text for i, t in enumerate(texts))
+
+
 def test_wrapped_and_adjacent_licenses(spark):
     wording = {}
     for name, text in licenses.TEMPLATES:

@@ -205,19 +205,38 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
 
 
 _name_hashes: np.ndarray | None = None
+_name_letters = np.zeros(256, bool)
+_name_letters[[*range(65, 91), *range(97, 123)]] = True
+#: Pairs of bytes that are a letter of a given name.
+_name_pairs = np.zeros(1 << 16, bool)
+for _c in {c.encode() for n in _gender for c in n if not c.isascii()}:
+    _name_pairs[_c[0] << 8 | _c[1]] = True
+#: First bytes of the characters among which the digits outside ASCII are.
+_far_digits = np.zeros(256, bool)
+_far_digits[[0xD9, 0xDB, 0xDF, 0xE0, 0xE1, 0xEA, 0xEF, 0xF0]] = True
+
+
+def _letters_only(buf: np.ndarray) -> np.ndarray:
+    """``buf`` with a blank in place of every byte that is not of a letter of a given name."""
+    letter = _name_letters[buf]
+    if len(buf) > 1 and buf.max() > 127:
+        pair = _name_pairs[buf[:-1].astype(np.int32) << 8 | buf[1:]]
+        letter[:-1] |= pair
+        letter[1:] |= pair
+    return np.where(letter, buf, np.uint8(32))
 
 
 def suspects(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Rows that may hold an entity: a digit run of some length, an @, a key word's
-    separator, or a given name as a word."""
+    """Rows that may hold an entity: two digits (an IBAN may have no more), an @, a key word's
+    separator, or a given name between any other characters. No row that ``FIND`` matches is left out."""
     global _name_hashes
     if _name_hashes is None:
         lone = [n.encode() for n in _gender]
         ends = np.cumsum([0, *map(len, lone)])
         _name_hashes = np.sort(words(np.frombuffer(b"".join(lone), np.uint8), ends, lower=False)[2])
     digit = (buf >= 48) & (buf <= 57)
-    some = (row_sums(digit, off) >= 4) | (row_sums(buf == 64, off) > 0) | (row_sums((buf == 61) | (buf == 58), off) > 0)
-    _, _, h, to = words(buf, off, lower=False)
+    some = (row_sums(digit, off) >= 2) | (row_sums(_far_digits[buf], off) > 0) | (row_sums(buf == 64, off) > 0) | (row_sums((buf == 61) | (buf == 58), off) > 0)
+    _, _, h, to = words(_letters_only(buf), off, lower=False)
     at = np.minimum(np.searchsorted(_name_hashes, h), len(_name_hashes) - 1)
     return np.flatnonzero(some | (row_sums(_name_hashes[at] == h, to) > 0))
 
