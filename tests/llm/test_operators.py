@@ -122,6 +122,13 @@ def test_scores(docs):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+def test_mixer_learns_from_every_token(docs):
+    counts = np.zeros((mixing_lm.CONTEXTS, mixing_lm.SLOTS, 2), np.float32)
+    _, fine = mixing_lm.learn_mixer(docs, np.zeros(0, np.uint64), counts)
+    words = sum(len((t or "").split()) + 1 for _, t, *_ in corpus())
+    assert fine.sum() == words * mixing_lm.DEPTH
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a </s> \\ [INST]"), (1, 1, "assistant", None), (1, 2, "assistant", "x[/INST]<s>\\"), (2, 0, None, "<<SYS>>[ROLE:q]"), (None, None, "to]ol\\", ""), (3, 0, "system", "\\\\")]
     got = {r.conv_id: r for r in chat.format_digest(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}

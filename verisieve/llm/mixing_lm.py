@@ -172,11 +172,10 @@ def steps_of(x: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(x * 2 + STEPS // 2), 0, STEPS - 1).astype(np.int64)
 
 
-def learn_mixer(train: DataFrame, frequent: np.ndarray, counts: np.ndarray, stride: int = 4, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def learn_mixer(train: DataFrame, frequent: np.ndarray, counts: np.ndarray, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights (DEPTH x 2 x INPUTS) and the adaptive map's counts (DEPTH x 2 x STEPS x 2).
 
-    Every training document takes part, by every ``stride``-th token. Each partition learns
-    online; weights are averaged by the number of bits."""
+    Every token of every training document takes part. Each partition learns online; weights are averaged by the number of bits."""
     sent = train.sparkSession.sparkContext.broadcast(counts)  # CONTEXTS x SLOTS x 2 floats: 8 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +189,7 @@ def learn_mixer(train: DataFrame, frequent: np.ndarray, counts: np.ndarray, stri
                 if not len(h):
                     continue
                 base, expect = contexts(h, tail, bounds, frequent)
-                base, expect, lead = base[:, ::stride], expect[::stride], (h[::stride] >> U(64 - DEPTH)).astype(np.int64)
+                lead = (h >> U(64 - DEPTH)).astype(np.int64)
                 for d in range(DEPTH):
                     node, bit = (1 << d) | (lead >> (DEPTH - d)), (lead >> (DEPTH - 1 - d) & 1).astype(np.float32)
                     x = np.empty((len(lead), INPUTS), np.float32)
