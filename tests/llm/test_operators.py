@@ -56,6 +56,76 @@ def test_repeats(docs, most):
     assert sorted((r.doc_id or -1 if r.doc_id != 0 else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((-1 if i == 0 else i, *r) for i, *r in want)
 
 
+def marks_apart(n):
+    """Two rows of n marks that a polynomial hash modulo 2**64 takes for one another."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return ["ab"[b] for b in bits], ["ba"[b] for b in bits]
+
+
+def test_regular_texts_are_told_apart(spark):
+    fill = "".join(chr(0x4E00 + i) for i in range(4096))
+    x, y = ("".join(m + fill[3 * i % 4000 : 3 * i % 4000 + 3] if i % 4 == 0 else m for i, m in enumerate(row)) for row in marks_apart(4096))
+    x, y = x.replace("a", "q1").replace("b", "q2"), y.replace("a", "q1").replace("b", "q2")
+    rows = [(1, x), (2, y)]
+    raw = [t.encode() for _, t in rows]
+    seen = collections.Counter(b[k : k + 200] for b in raw for k in range(len(b) - 199))
+    got = {r.doc_id: r for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, _), b in zip(rows, raw):
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        assert got[i].n_removed == gone.sum()
+    words_ = [" ".join(m if i % 2 else f"w{i}" for i, m in enumerate(row)) for row in marks_apart(4096)]
+    long_words = ["".join(row) for row in marks_apart(4096)]
+    rows = spark.createDataFrame(list(enumerate([*words_, *long_words])), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in dartminhash.near_duplicates(rows).collect()} == {0: 0, 1: 1, 2: 2, 3: 3}
+
+
+def test_passages_of_one_hash_are_settled_by_bytes(monkeypatch):
+    monkeypatch.setattr(suffixes, "span_hash", lambda code, a, b: np.zeros(len(a), np.uint64))
+    buf = np.frombuffer(b"abcdabcdefgh", np.uint8)
+    got = suffixes.equal_passages(buf, np.array([0, 4, 8, 1, 4]), np.array([0, 0, 0, 0, 1]), 4)
+    assert got.tolist() == [True, True, False, False, False]
+
+
+def shingle_counts(text):
+    w = (text or "").lower().split()
+    return collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_near_duplicates_against_all_pairs(spark, block):
+    r = np.random.default_rng(12)
+    texts = []
+    for k in range(60):
+        base = prose(int(r.integers(60, 160)), 3000 + k).split()
+        for _ in range(int(r.integers(1, 6))):
+            w = list(base)
+            for _ in range(int(r.integers(0, 3))):
+                w[r.integers(len(w))] = VOCAB[r.integers(300)]
+            texts.append(" ".join(w + w[-int(r.integers(1, 9)) :] * int(r.integers(0, 3))))
+    texts += [" ".join(prose(40, 77).split()[:20] + prose(60, 4000 + i).split()) for i in range(40)]  # one passage in all
+    sets = [shingle_counts(t) for t in texts]
+    label = list(range(len(texts)))
+    least = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = sum((sets[i] & sets[j]).values())
+            least += both >= 0.8 * (sets[i].total() + sets[j].total() - both)
+            if both >= 0.8 * (sets[i].total() + sets[j].total() - both) and label[i] != label[j]:
+                a, b = max(label[i], label[j]), min(label[i], label[j])
+                label = [b if x == a else x for x in label]
+    got = {x.doc_id: x.class_id for x in dartminhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), block=block).collect()}
+    assert least > 60 and [got[i] for i in range(len(texts))] == label
+
+
+def test_near_duplicates_of_null_ids(spark):
+    rows = [(None, prose(60, 71)), (None, prose(60, 72)), (None, prose(60, 73)), (4, prose(60, 73)), (4, prose(60, 74)), (9, prose(60, 74)), (None, None), (3, "")]
+    got = dartminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 0, True), (0, 3, False), (0, 4, False), (3, 3, True), (4, 4, True), (4, 4, True), (9, 4, False)]
+
+
 def test_near_duplicates(docs):
     got = {r.doc_id: r.class_id for r in dartminhash.near_duplicates(docs).collect()}
     assert got[26] == got[25] == got[27] == 25

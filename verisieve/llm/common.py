@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores before it until ``df`` has no such column."""
+    held = {c.lower() for c in df.columns}
+    while wanted.lower() in held:
+        wanted = "_" + wanted
+    return wanted
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 

@@ -8,16 +8,18 @@ falls to one of ``k`` coordinates, and the earliest of each coordinate is kept.
 with an empty coordinate throw on up to twice the rank, until none is empty. Two sets
 agree in a coordinate with the probability of their weighted Jaccard similarity.
 
-Documents are sets of five-word shingles (all of a shorter document's words are one
-shingle; weight 1, or the count with ``weighted``). Documents of equal words are one
-text. Texts that share a band are candidates. Each is first compared, exactly, with the
-smallest of its band; bands that then still span several components are compared
-throughout in blocks of bounded size, where pairs of one component are passed over, so
-no link between different texts is lost and no group is expanded into all its pairs.
-
-Null and empty texts have no words and are copies of each other. Rows of one doc_id
-count as one document with the first's class; extra columns are ignored; an empty
-table gives no rows.
+Documents are sets of five-word shingles weighted by their counts (without ``weighted``
+all weigh 1); all of a shorter document's words are one shingle. Documents of equal words
+(equal SHA-256) are one text. Texts that share a band are candidates. Each is first
+compared, by its exact weighted Jaccard similarity, with the first of its band; bands that
+then still span several components are compared throughout in blocks of bounded size,
+where only pairs of one component, and pairs whose sizes rule the similarity out, are
+passed over. So no candidate that links different texts is lost and no group is expanded
+into all its pairs. A pair at exactly 0.8 meets in a band with probability 0.998.
+
+Null and empty texts have no words and are copies of each other. Rows of one doc_id, or of
+a null one, are separate documents; a class of null ids alone has a null class_id. Extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,13 +29,14 @@ from math import exp, log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verisieve.llm.blocks import deal, groups, spread
-from verisieve.llm.common import stash, table, tune
+from verisieve.llm.common import fresh_name, stash, table, tune
 from verisieve.llm.components import components
-from verisieve.llm.textvec import mix, pieces, words
+from verisieve.llm.textvec import BASE, digests, mix, pieces, plain_words, powers, span_hash, words
 
 U = np.uint64
 #: Rank cells: [0, 2**LOW), then doubling.
@@ -88,12 +91,12 @@ def signatures(elements: np.ndarray, weights: np.ndarray | None, bounds: np.ndar
         reach = float(theta[live].max())
         for v in range(top):
             w_lo, w_hi = (0.0, 1.0) if v == 0 else (2.0 ** (v - 1), 2.0**v)
+            able = live[owner] if weights is None or not v else live[owner] & (weights > w_lo)
+            able = np.flatnonzero(able)
+            until, since = theta[owner[able]], done[owner[able]]
             for j in range(_cells(reach)):
                 r_lo, r_hi = _rank_cell(j)
-                use = live[owner] & (theta[owner] > r_lo) & (done[owner] < r_hi)
-                if weights is not None:
-                    use &= weights > w_lo
-                at = np.flatnonzero(use)
+                at = able[(until > r_lo) & (since < r_hi)]
                 if not len(at):
                     continue
                 seed = mix(elements[at] ^ U((v * 64 + j + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
@@ -122,107 +125,115 @@ def signatures(elements: np.ndarray, weights: np.ndarray | None, bounds: np.ndar
     return best.astype(np.uint32).reshape(n, k)
 
 
-def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, counts, bounds, text keys (rows x 2)): sorted distinct shingles of each row."""
+def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, counts, bounds): sorted distinct shingles of each row."""
     n = len(off) - 1
     _, _, h, to = words(buf, off)
     size = np.diff(to)
     code = np.zeros(len(h) + 1, U)
-    steps = np.cumprod(np.full(max(1, len(h)), 0x9E3779B97F4A7C15, U)) if len(h) else np.zeros(0, U)
-    back = np.cumprod(np.full(max(1, len(h) + 1), pow(0x9E3779B97F4A7C15, -1, 1 << 64), U))
-    np.cumsum(h * steps, out=code[1:])
-    key1 = mix((code[to[1:]] - code[to[:-1]]) * back[to[:-1]] + size.astype(U))
-    np.cumsum(mix(h + U(77)) * steps, out=code[1:])
-    key2 = mix((code[to[1:]] - code[to[:-1]]) * back[to[:-1]] + size.astype(U))
+    np.cumsum(h * powers(BASE, len(h)), out=code[1:])
     count = np.where(size >= width, size - width + 1, np.minimum(size, 1))
     first = np.repeat(to[:-1], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     owner = np.repeat(np.arange(n), count)
-    end = np.minimum(first + width, to[owner + 1])
-    s = mix((code[end] - code[first]) * back[first])
+    s = span_hash(code, first, np.minimum(first + width, to[owner + 1]))
     order = np.lexsort((s, owner))
     s, owner = s[order], owner[order]
     fresh = np.ones(len(s), bool)
     fresh[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
     at = np.flatnonzero(fresh)
-    counts = np.diff(np.append(at, len(s)))
-    return s[at], counts, np.searchsorted(owner[at], np.arange(n + 1)), np.column_stack([key1, key2])
+    return s[at], np.diff(np.append(at, len(s))), np.searchsorted(owner[at], np.arange(n + 1))
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind))
 
 
+def text_keys(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """128 bits of the SHA-256 of each row's words."""
+    plain, at = plain_words(buf, off)
+    return digests(plain, at[:-1], at[1:])
+
+
 def sketch(docs: DataFrame, bands: int, rows: int, width: int, weighted: bool) -> DataFrame:
-    """doc_id, t1, t2 (key of the words), n (shingles), bands, signature."""
+    """row (a number), doc_id, t1, t2 (key of the words), n (shingles), bands, signature.
+
+    The row numbers hold only in one run: stash the result."""
     k = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo, hi, buf, off in pieces(batch.column(1)):
-                s, c, bounds, key = shingle_sets(buf, off, width)
+                s, c, bounds = shingle_sets(buf, off, width)
+                key = text_keys(buf, off)
                 sig = signatures(s, c.astype(np.float64) if weighted else None, bounds, k)
                 band = np.full((hi - lo, bands), 0x2545F4914F6CDD1D, U) + np.arange(bands, dtype=U)
                 for r in range(rows):
                     band = mix(band ^ sig[:, r::rows].astype(U)) if r else mix(band + sig[:, r::rows].astype(U))
                 ends = np.arange(hi - lo + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(key[:, 0].view(np.int64)), pa.array(key[:, 1].view(np.int64)), pa.array(np.diff(bounds)), _lists(band.view(np.int64).ravel(), ends * bands, pa.int64()), _lists(sig.view(np.int32).ravel(), ends * k, pa.int32())],
-                    ["doc_id", "t1", "t2", "n", "bands", "signature"],
+                    [pa.array(number + ends[:-1]), batch.column(0).slice(lo, hi - lo), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(np.diff(bounds)), _lists(band.view(np.int64).ravel(), ends * bands, pa.int64()), _lists(sig.view(np.int32).ravel(), ends * k, pa.int32())],
+                    ["row", "doc_id", "t1", "t2", "n", "bands", "signature"],
                 )
+                number += hi - lo
 
-    return docs.mapInArrow(run, "doc_id long, t1 long, t2 long, n long, bands array<long>, signature array<int>")
+    return docs.mapInArrow(run, "row long, doc_id long, t1 long, t2 long, n long, bands array<long>, signature array<int>")
 
 
 BITS = 1 << 23
 
 
-def _marked(ids: DataFrame) -> np.ndarray:
-    """A bit array of ``BITS`` bits (1 MB whatever the corpus) with the hashes of the ids set."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
-    got = ids.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("b")).toPandas()
+def marked(keys: DataFrame) -> np.ndarray:
+    """A bit array of ``BITS`` bits (1 MB whatever the corpus) with those of the text keys set."""
+    got = keys.select(F.pmod("t1", F.lit(BITS)).alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("b")).toPandas()
     out = np.zeros(BITS // 64, np.int64)
     out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
     return out
 
 
-def shingles_of(docs: DataFrame, ids: DataFrame, width: int, weighted: bool) -> DataFrame:
-    """doc_id, shingles (sorted 32-bit hashes; repeated for their counts if ``weighted``) of
-    the documents in ``ids``. A bit array leaves most others out before their texts are read."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_marked(ids))  # 1 MB
+def is_marked(bits: np.ndarray, t1: np.ndarray) -> np.ndarray:
+    p = np.mod(t1, BITS)
+    return (bits[p >> 6] >> (p & 63)) & 1 == 1
+
+
+def shingles_of(docs: DataFrame, wanted: DataFrame, width: int, weighted: bool) -> DataFrame:
+    """row, shingles (sorted; repeated for their counts if ``weighted``) of the texts in
+    ``wanted`` (row, t1, t2). A bit array leaves most others out before they are cut."""
+    bits = docs.sparkSession.sparkContext.broadcast(marked(wanted))  # 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((bits.value[p >> 6] >> (p & 63)) & 1 == 1))
-            for lo, hi, buf, off in pieces(batch.column(1)):
-                s, c, bounds, _ = shingle_sets(buf, off, width)
-                s = (s >> U(32)).astype(np.uint32)
+            for _, _, buf, off in pieces(batch.column(1)):
+                key = text_keys(buf, off)
+                use = np.flatnonzero(is_marked(bits.value, key[:, 0]))
+                use = use[np.unique(key[use], axis=0, return_index=True)[1]]
+                if not len(use):
+                    continue
+                buf = np.concatenate([buf[off[i] : off[i + 1]] for i in use])
+                off = np.append(0, np.cumsum(off[use + 1] - off[use]))
+                s, c, bounds = shingle_sets(buf, off, width)
                 if weighted:
                     bounds = np.append(0, np.cumsum(c))[bounds]
                     s = np.repeat(s, c)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _lists(s.view(np.int32), bounds, pa.int32())], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[use, 0]), pa.array(key[use, 1]), _lists(s.view(np.int64), bounds, pa.int64())], ["t1", "t2", "shingles"])
 
-    marked = docs.withColumn("p", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)))
-    return marked.mapInArrow(run, "doc_id long, shingles array<int>").join(ids, "doc_id", "left_semi")
+    return docs.mapInArrow(run, "t1 long, t2 long, shingles array<long>").join(wanted, ["t1", "t2"]).dropDuplicates(["row"]).select("row", "shingles")
 
 
-def numbered(x: np.ndarray) -> np.ndarray:
-    """Distinct numbers for a list of hashes, the copies of a hash told apart."""
-    x = np.sort(x).astype(np.int64)
-    new = np.ones(len(x), bool)
-    new[1:] = x[1:] != x[:-1]
-    if new.all():
-        return x << 20
-    first = np.flatnonzero(new)
-    return (x << 20) + (np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x)))))
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of a list and how often each occurs."""
+    return np.unique(x, return_counts=True)
 
 
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """Similarity of two sorted arrays of distinct numbers."""
-    at = np.minimum(np.searchsorted(x, y), max(0, len(x) - 1))
-    both = int((x[at] == y).sum()) if len(x) else 0
-    return both / max(1, len(x) + len(y) - both)
+def jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two of ``numbered``'s results: least over largest counts."""
+    if len(x[0]) > len(y[0]):
+        x, y = y, x
+    if not len(x[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(y[0], x[0]), len(y[0]) - 1)
+    both = int(np.where(y[0][at] == x[0], np.minimum(y[1][at], x[1]), 0).sum())
+    return both / (int(x[1].sum()) + int(y[1].sum()) - both)
 
 
 def similarity(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -241,64 +252,65 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 keep = similarity(some.column(2), some.column(3)) >= least
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("row").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("row").alias("b"), F.col("shingles").alias("sb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 20, rows: int = 6, width: int = 5, weighted: bool = False, block: int = 512) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class) and kept, one row for each doc_id."""
+def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 20, rows: int = 6, width: int = 5, weighted: bool = True, block: int = 512) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its class) and kept, for each row of ``docs``.
+
+    One row of each class is kept: that of the smallest doc_id, the first of several."""
     spark = docs.sparkSession
     tune(spark, 1000)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = stash(sketch(docs, bands, rows, width, weighted))
-    texts = sketched.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"))
-    known = stash(sketched.select("doc_id", "t1", "t2").join(texts, ["t1", "t2"]).select("doc_id", "rep"))
-    reps = known.where("doc_id = rep").select("doc_id").distinct()
-    members = sketched.where("n > 0").select("doc_id", F.posexplode("bands").alias("band", "key")).join(reps, "doc_id", "left_semi").distinct()
-    shared = members.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("doc_id").alias("least"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("mark")).where("size > 1")
+    texts = stash(sketched.groupBy("t1", "t2").agg(F.min("row").alias("rep"), F.count("*").alias("copies")))
+    reps = texts.select(F.col("rep").alias("row"))
+    members = sketched.where("n > 0").select("row", F.posexplode("bands").alias("band", "key")).join(reps, "row", "left_semi")
+    shared = members.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("row").alias("least"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("mark")).where("size > 1")
     # bands with the same members are one group
-    shared = shared.groupBy("size", "least", "mark").agg(F.min(F.struct("band", "key")).alias("g")).select(F.col("g.band").alias("band"), F.col("g.key").alias("key"), "least")
-    buckets = stash(members.join(shared, ["band", "key"]).select("band", "key", "doc_id", "least"))
-    ids = stash(buckets.select("doc_id").distinct())
-    sets = stash(shingles_of(docs, ids, width, weighted))
-    stars = buckets.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
+    shared = stash(shared.groupBy("size", "least", "mark").agg(F.min(F.struct("band", "key")).alias("g")).select(F.col("g.band").alias("band"), F.col("g.key").alias("key"), "least"))
+    buckets = stash(members.join(shared, ["band", "key"]).select("band", "key", "row", "least"))
+    ids = buckets.select("row").distinct()
+    sets = stash(shingles_of(docs, stash(sketched.select("row", "t1", "t2").join(ids, "row", "left_semi")), width, weighted))
+    stars = buckets.where("row <> least").select(F.col("row").alias("a"), F.col("least").alias("b")).distinct()
     links = stash(verified(stars, sets, least))
     first = stash(components(links))
     # bands that still span several components
-    placed = buckets.join(first, F.col("doc_id") == F.col("node"), "left").select("band", "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    open_ = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
+    placed = buckets.join(first, F.col("row") == F.col("node"), "left").select("band", "key", "row", F.coalesce("component", "row").alias("component"))
+    open_ = stash(placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key"))
     rest = stash(placed.join(open_, ["band", "key"], "left_semi"))
-    marks = sketched.select("doc_id", "signature").join(rest.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    tasks = deal(rest, ["band", "key"], "doc_id", block).join(marks.join(sets, "doc_id"), "doc_id")
-    tasks = spread(tasks, ["band", "key"]).select("band", "key", "block_i", "block_j", "side", "doc_id", "component", "signature", "shingles")
+    marks = sketched.select("row", "signature").join(rest.select("row").distinct(), "row", "left_semi")
+    tasks = deal(rest, ["band", "key"], "row", block).join(marks.join(sets, "row"), "row")
+    tasks = spread(tasks, ["band", "key"]).select("band", "key", "block_i", "block_j", "side", "row", "component", "signature", "shingles")
     k = bands * rows
-    slack = 4 * (least * (1 - least) / k) ** 0.5
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in groups(batches, 4):
-            ids_, comp = t.column("doc_id").to_numpy(), t.column("component").to_numpy()
+            ids_, comp = t.column("row").to_numpy(), t.column("component").to_numpy()
             band, side, bi, bj = (t.column(c).to_numpy() for c in ("band", "side", "block_i", "block_j"))
             sig = t.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, k)
             sets_ = t.column("shingles").combine_chunks()
             so, sv = sets_.offsets.to_numpy(), sets_.values.to_numpy()
+            size = np.diff(so)
             found = []
             for a, b in zip(at[:-1], at[1:], strict=True):
                 now = comp[a:b].copy()  # components as this task joins them
                 mine = [numbered(sv[so[i] : so[i + 1]]) for i in range(a, b)]
+                n = size[a:b]
                 for i in range(b - a):
-                    other = (now != now[i]) & (np.arange(b - a) > i)
+                    # sets of too different sizes cannot be alike
+                    other = (now != now[i]) & (np.arange(b - a) > i) & (np.minimum(n, n[i]) >= least * np.maximum(n, n[i]) - 1e-9)
                     if bi[a] != bj[a]:
                         other &= side[a:b] != side[a + i]
                     j = np.flatnonzero(other)
                     if not len(j):
                         continue
                     equal = sig[a + j] == sig[a + i]
-                    alike = equal.mean(axis=1)
-                    # a pair belongs to the first of its bands
+                    # a pair belongs to the first of its bands; the likeliest partners come first
                     own = equal.reshape(len(j), bands, rows).all(axis=2).argmax(axis=1) == band[a]
-                    ok = own & (alike >= least - slack)
-                    j = j[ok][np.argsort(-alike[ok], kind="stable")]
+                    j = j[own][np.argsort(-equal[own].sum(axis=1), kind="stable")]
                     for c in j:
                         if now[c] != now[i] and jaccard(mine[i], mine[c]) >= least:
                             found.append((ids_[a + i], ids_[a + c]))
@@ -309,21 +321,24 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 20, rows:
     late = stash(tasks.mapInArrow(compare, "a long, b long"))
     joined = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
     classes = joined if late.isEmpty() else components(joined.unionByName(late)).select(F.col("node").alias("a"), F.col("component").alias("b"))
-    out = known.join(classes, F.col("rep") == F.col("a"), "left").select("doc_id", F.coalesce("b", "rep").alias("class_id"))
-    out = out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    placed = stash(texts.join(classes, F.col("rep") == F.col("a"), "left").select("t1", "t2", F.coalesce("b", "rep").alias("root")))
+    known = stash(sketched.select("row", "doc_id", "t1", "t2").join(placed, ["t1", "t2"]).select("row", "doc_id", "root"))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head")
+    heads = stash(known.groupBy("root").agg(head).select("root", F.col("head.doc_id").alias("class_id"), F.col("head.row").alias("first")))
+    return known.join(heads, "root").select("doc_id", "class_id", (F.col("row") == F.col("first")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = 0.8, **how) -> DataFrame:
     """``docs`` with one row of each class of near-duplicate texts, all columns kept. Rows count
-    by their texts alone: those of one doc_id or of a null one are separate documents."""
-    rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()))
-    classes = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), least, **how).select(F.col("doc_id").alias("_row"), "class_id")
-    # of each class the row of the smallest doc_id stays, a null one last
-    ids = rows.select("_row", F.col("doc_id").cast("long").alias("id"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("first")
-    kept = classes.join(ids, "_row").groupBy("class_id").agg(first).select(F.col("first._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    by their texts alone: those of one doc_id or of a null one are separate documents. Of a
+    class the row of the smallest doc_id stays, a null one last."""
+    row = fresh_name(docs, "row")
+    rows = stash(docs.withColumn(row, F.monotonically_increasing_id()))
+    classes = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), least, **how).select(F.col("doc_id").alias("n"), "class_id")
+    ids = rows.select(F.col(row).alias("n"), F.col("doc_id").cast("long").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("first")
+    kept = classes.join(ids, "n").groupBy("class_id").agg(first).select(F.col("first.n").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

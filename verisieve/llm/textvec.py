@@ -8,6 +8,7 @@ A-Z lower-cased.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,6 +83,17 @@ def span_hash(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((code[end] - code[start]) * powers(INVERSE, len(code))[start])
 
 
+def digests(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first 128 bits of the SHA-256 of each byte run [start, end), as two int64 columns."""
+    raw = buf.tobytes()
+    got = b"".join([hashlib.sha256(raw[a:b]).digest()[:16] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(got, np.int64).reshape(-1, 2)
+
+
+#: Longer words are hashed by BLAKE2: polynomials modulo 2**64 collide on long regular strings.
+LONG_WORD = 64
+
+
 def words(buf: np.ndarray, off: np.ndarray, lower: bool = True, apart: np.ndarray = WS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word starts, ends and hashes, and where each row's words begin (rows + 1 places).
 
@@ -101,8 +113,32 @@ def words(buf: np.ndarray, off: np.ndarray, lower: bool = True, apart: np.ndarra
     after[off] = True
     start = np.flatnonzero(before[:n] & ~blank)
     end = np.flatnonzero(after[1:] & ~blank) + 1
-    code = prefix_code(LOWER[buf] if lower else buf)
-    return start, end, span_hash(code, start, end), np.searchsorted(start, off)
+    text = LOWER[buf] if lower else buf
+    h = span_hash(prefix_code(text), start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(text[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return start, end, h, np.searchsorted(start, off)
+
+
+def plain_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's words, lower-cased, with one space between them: bytes and offsets."""
+    n = len(buf)
+    blank = WS[buf]
+    keep = ~blank
+    if n:
+        before = np.empty(n, bool)  # a blank, or the start of the row, stands before
+        before[1:] = blank[:-1]
+        before[0] = True
+        at = np.flatnonzero(keep & before)  # word starts after a blank
+        inner = at[at > off[np.searchsorted(off, at, "right") - 1]]
+        first = np.full(len(off), n)
+        filled = np.flatnonzero(keep)
+        place = np.searchsorted(filled, off)
+        first[place < len(filled)] = filled[place[place < len(filled)]]
+        inner = inner[inner != first[np.searchsorted(off, inner, "right") - 1]]
+        keep[inner - 1] = True
+    out = np.where(blank, np.uint8(32), LOWER[buf])[keep]
+    return out, np.append(0, np.cumsum(keep))[off]
 
 
 def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
