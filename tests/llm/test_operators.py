@@ -288,24 +288,80 @@ def test_quality_and_mixture(spark):
     assert all((got[i] >= 0.3) == bool(i % 2) for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0)
     assert quality.filter_documents(d, model).columns == d.columns
     rate = {r.doc_id: r.rate for r in domainmix.mix_documents(d, l).collect()}
-    assert all((rate[i] < 0.5) == (i % 8 < 2) for i in range(200))
+    assert all((rate[i] < 0.1) == (i % 8 < 2) for i in range(200))
 
 
-def test_rate_totals(spark):
+def test_rates_meet_the_optimality_conditions():
     r = np.random.default_rng(2)
-    p, n = r.dirichlet(np.ones(4), 50), r.integers(0, 40, 50)
-    facts = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "_n long, _p array<double>").repartition(3)
-    steps = [r.standard_normal(4), r.standard_normal(4)]
-    rate = np.ones(50)
-    for s in steps:
-        rate = np.maximum(0, rate - p @ s)
-    assert np.allclose(domainmix.totals(facts, steps), (n * rate) @ p)
+    n, p = r.integers(0, 400, 60).astype(float), r.dirichlet(np.ones(4) * 0.3, 60)
+    for keep in ((1, 0, 1, 0), (0.3, 0.3, 0.3, 0.3), (2.5, 0, 0, 0.1)):
+        rate, totals = domainmix.fit_rates(n, p, keep)
+        target = np.array(keep) * (n @ p)
+        metric = np.linalg.inv((n[:, None] * p).T @ p / n.sum() + 1e-4 * np.eye(4))
+        slope = n * (p @ (metric @ (((n * rate) @ p - target) / n.sum())) + 0.01 * (rate - 1))
+        assert (rate >= 0).all() and np.abs(slope[rate > 0]).max() < 1e-2 and slope[rate == 0].min(initial=0) > -1e-2
+        assert np.allclose([t for t, _ in totals.values()], target) and np.allclose([f for _, f in totals.values()], (n * rate) @ p)
+    with pytest.raises(domainmix.FitError):
+        domainmix.fit_rates(n, p, (2.5, 0, 0, 0.1), steps=2)
+
+
+def labelled_corpus(n=400):
+    rows, labels = [], []
+    for i in range(n):
+        t = prose(80, i) if i % 2 else " ".join(w + "###" for w in prose(80, i).split())
+        rows.append((i, t + (" idiot moron" if i % 8 < 2 else "")))
+        labels.append((i, i % 2, int(i % 8 < 2)))
+    return rows, labels
+
+
+def test_mixture_samples_by_rate(spark):
+    rows, labels = labelled_corpus()
+    d = spark.createDataFrame([(*r, 1, 2.0, 3, "n") for r in rows + rows[:3] + [(None, None), (None, "")]], "doc_id long, text string, _n long, rate double, copies int, n_tokens string")
+    l = spark.createDataFrame([*labels, (0, 0, 1), (1, 1, 0), (5, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    mix = domainmix.fit_mixture(d, l, (0.3, 0.0, 0.3, 0.0))
+    tot = {r.domain: r for r in domainmix.domain_totals(mix).collect()}
+    whole = sum(r.target for r in tot.values()) / 0.3
+    assert abs(sum(r.sampled for r in tot.values()) / whole - 0.3) < 0.05 and abs(sum(r.fitted for r in tot.values()) / whole - 0.3) < 0.02
+    out = domainmix.sample_mixture(d, l)
+    assert out.columns == [*d.columns, "_rate", "_copies"]
+    kept = out.collect()
+    assert {r.rate for r in kept} == {2.0} and {r.copies for r in kept} == {3}
+    assert {r.doc_id for r in kept if r.doc_id is not None} == {i for i in range(400) if i % 8 >= 2}
+    more = {r.doc_id: r.copies for r in domainmix.mix_documents(d.select("doc_id", "text"), l, (2.5, 0.0, 2.5, 0.0)).collect()}
+    assert set(more[i] for i in range(400) if i % 8 >= 2) == {2, 3}
+    one = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    assert domainmix.mix_documents(d.select("doc_id", "text"), one).where("rate < 0.9").count() == 0
 
 
 def test_telling_words(spark):
     rows = [(int(i < 20), [5, i + 100] if i < 20 else [9, i + 100]) for i in range(60)] + [(None, [5]), (0, []), (0, [5])]
-    got = domainmix.telling_words(spark.createDataFrame(rows, "toxic int, w array<int>").repartition(4), 4.0)
-    assert got.tolist() == [5]
+    places, more = domainmix.telling_words(spark.createDataFrame(rows, "toxic int, w array<int>").repartition(4), 4.0)
+    assert places.tolist() == [5] and np.allclose(more, math.log(20.5 / 21) - math.log(1.5 / 43))
+
+
+def test_pairwise_fit_against_plain_descent(spark):
+    r = np.random.default_rng(5)
+    x = r.standard_normal((120, 3)) * [1, 4, 0.2]
+    y = (x @ [1.0, -0.5, 3.0] + r.standard_normal(120) > 0.8).astype(int)
+    model = quality.fit_pairwise(x, y, pairs=400_000)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-9), -6, 6)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 3)  # every pair, where the fit draws some
+    w = np.zeros(3)
+    for _ in range(3000):
+        w -= 0.5 * (d.T @ (1 / (1 + np.exp(-d @ w)) - 1) / len(d) + 1e-3 * w)
+    assert np.allclose(model.weights, w, rtol=0.05, atol=0.05)
+    s = model.scores(x)
+    assert abs((s < 0.3).mean() - (y == 0).mean()) < 0.02 and (model.raw(x)[y == 1][:, None] > model.raw(x)[y == 0]).mean() > 0.85
+
+
+def test_quality_edges(spark):
+    rows, labels = labelled_corpus(100)
+    d = spark.createDataFrame([(i, t, 1.0) for i, t in rows + [(7, "other text of the same id"), (None, "x"), (500, None), (501, "word " * 300_000)]], "doc_id long, text string, score double")
+    l = spark.createDataFrame([(i, q) for i, q, _ in labels] + [(3, 0), (3, 7), (None, 1)], "doc_id long, quality int")
+    got = quality.score_documents(d, quality.fit_quality(d, l, holdout=False)).collect()
+    assert len(got) == 104 and all(0 <= r.score <= 1 for r in got)
+    flat = quality.score_documents(d, quality.fit_quality(d, l.where("quality = 1"))).select("score").distinct().collect()
+    assert [r.score for r in flat] == [0.5]
 
 
 def test_empty_tables(spark, nothing):

@@ -6,7 +6,8 @@ score quantile that the share of label 0 among the training rows names. Scores a
 moved and scaled so that this cut is 0.3.
 
 The fit takes at most ``sample`` labelled rows (those with the smallest hashes of
-doc_id) and ``pairs`` pairs; every document is scored over its whole text. Null
+doc_id; of an id that several rows have the one with the least features) and ``pairs``
+pairs; every document is scored over its whole text. Null
 text is empty text and gets a score like any other. Labels other than 0 and 1 are
 not used; of several labels of a document the smaller counts. With no labels of
 one of the two classes every score is 0.5. Repeated documents get equal scores;
@@ -91,15 +92,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
     """Fit on documents whose crc32(doc_id) mod 5 is not 0 (all, without ``holdout``)."""
     tune(docs.sparkSession)
     chosen = F.broadcast(training_rows(labels, label, holdout, sample))  # at most `sample` rows of two numbers
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("label", "text")
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("label", "text", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [describe(buf, off) for _, _, buf, off in pieces(batch.column(1))]
             if x:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(np.vstack(x)), pa.list_(pa.float64()))], ["label", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(np.vstack(x)), pa.list_(pa.float64())), batch.column(2)], ["label", "x", "doc_id"])
 
-    got = rows.mapInArrow(run, "label int, x array<double>").limit(2 * sample).toPandas()
+    each = rows.mapInArrow(run, "label int, x array<double>, doc_id long")
+    # one row for each id, so at most `sample`
+    got = each.groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("r")).select("r.label", "r.x").toPandas()
     x = np.array(got["x"].tolist()).reshape(len(got), len(NAMES))
     order = np.lexsort([*x.T, got["label"].to_numpy()])  # the pairs drawn do not depend on the order of arrival
     return fit_pairwise(x[order], got["label"].to_numpy()[order])
