@@ -1,6 +1,7 @@
 """Corpus operators against plain code on small tables with nulls, empties, ties, repeats and clashing columns."""
 
 import collections
+import difflib
 import hashlib
 import math
 import re
@@ -239,6 +240,116 @@ def test_surrogates(spark, docs):
     assert len({tuple(pii.permute(b"k", "x", [a, b, c], 10, 0)) for a in range(10) for b in range(10) for c in range(10)}) == 1000
 
 
+def test_parts_of_names_corefer(spark):
+    rows = [(1, "Mary Jones met John Jones. Jones laughed and Mary left. Dr. Strange came.", "u", 1), (2, "Jones alone. The strange case of Strange.", "u", 1), (3, "Анна Петрова и Иван Петрова; ΣOΦIA. Σοφία Παππά", "u", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, text_hash string, tweaks int")
+    out = {r.doc_id: r for r in pii.replace_entities(df, key=b"k", count="n", most_sent=0).collect()}
+    new = out[1].text
+    mary, jones = re.match(r"(\w+) (\w+) met", new).groups()
+    assert new == f"{mary} {jones} met {pii.given_name(b'k', 'John')} {jones}. {jones} laughed and {mary} left. Dr. {re.search(r'Dr. (.*) came', new)[1]} came."
+    assert "Jones" not in new and "Strange" not in new and pii._gender[mary] == ("latin", "f") and out[1].n == 5
+    assert out[2].text == rows[1][1] and out[1].text_hash == "u" and out[1].tweaks == 1
+    a, b = re.match(r"(\w+ \w+) и (\w+ \w+);", out[3].text).groups()
+    assert a.split()[1] == b.split()[1] != "Петрова" and pii.script_of(a.split()[1]) == "cyrillic" and pii._gender[b.split()[0]] == ("cyrillic", "m")
+    again = {r.doc_id: r.text for r in pii.replace_entities(df, key=b"k").collect()}
+    other = {r.doc_id: r.text for r in pii.replace_entities(df).collect()}
+    assert again[1] == new and other[1] != new
+
+
+@pytest.mark.parametrize("most_sent", [10_000, 0])
+def test_replacements_that_collide_are_drawn_again(spark, monkeypatch, most_sent):
+    plain = pii.surrogate
+    same = lambda key, kind, value, tweak=0: plain(key, kind, value, tweak) if kind != "ip" else f"10.0.0.{tweak}"
+    monkeypatch.setattr(pii, "surrogate", same)
+    rows = spark.createDataFrame([(1, "from 1.2.3.4 to 1.2.3.5"), (2, "1.2.3.6 or 10.0.0.1"), (3, "1.2.3.4")], "doc_id long, text string").coalesce(1)
+    taken = pii.collisions(rows, b"k").collect()
+    assert len(taken) == len({r.tweak for r in taken}) == 3 and 1 not in {r.tweak for r in taken}
+    got = {r.doc_id: re.findall(r"[\d.]+", r.text) for r in pii.replace_entities(rows, key=b"k", most_sent=most_sent).collect()}
+    assert len({*got[1], *got[2]}) == 4 and got[3] == got[1][:1] and "10.0.0.1" not in sum(got.values(), [])
+
+
+def test_surrogates_keep_formats():
+    iban = next(v for d in range(100) if pii.iban_rest(v := f"DE{d:02d}500105175407324931") == 1)
+    for kind, value in (("ssn", "123456789"), ("iban", iban), ("card", "4417744280351547"), ("phone", "10175557713"), ("ip", "10.2.3.4"), ("email", "a.b7@x.org"), ("secret", "AKIA1234abcd"), ("word", "JONES")):
+        new = pii.surrogate(b"k", kind, value)
+        assert new != value and new == pii.surrogate(b"k", kind, value) != pii.surrogate(b"q", kind, value)
+        assert pii.normal(kind, new) == new or kind in ("secret", "word")
+        if kind not in ("email", "word", "ip"):
+            assert [c.isdigit() for c in new] == [c.isdigit() for c in value] and len(new) == len(value)
+    assert pii.spell("ssn", "123-45-6789", "987654321") == "987-65-4321" and pii.surrogate(b"k", "word", "JONES").isupper()
+    texts = {f"{i:09d}" for i in range(3000)}
+    assert len({pii.surrogate(b"k", "ssn", t) for t in texts}) == 3000
+    for names in pii.GIVEN.values():
+        assert {pii.given_name(b"k", n) for n in names} == set(names) and all(pii.given_name(b"k", n) != n for n in names)
+
+
+def test_licenses_against_plain_comparison(spark):
+    r = np.random.default_rng(6)
+    rows = []
+    for i in range(80):
+        name, text = licenses.TEMPLATES[int(r.integers(len(licenses.TEMPLATES)))]
+        w = text.split()
+        for _ in range(int(r.integers(0, 1 + len(w) // 12))):
+            w[int(r.integers(len(w)))] = "changed"
+        rows.append((i, prose(20, i) + ". " + " ".join(w) + " " + prose(20, 100 + i)))
+    rows += [(90, ""), (91, None), (92, "copyright: all rights to vote are a public domain matter"), (93, "as is " * 30_000), (94, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.")]
+    got = collections.defaultdict(set)
+    for x in licenses.scan_licenses(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, block int, license string")).collect():
+        got[x.doc_id].add(x.license)
+    assert got[94] == {"MIT", "Apache-2.0"} and not got[92] and not got[93]
+    unique = {}
+    for name, t in licenses.TEMPLATES:
+        others = {w for n, o in licenses.TEMPLATES if n != name for w in licenses.vocabulary(o)}
+        unique[t] = set(licenses.vocabulary(t)) - others if len(licenses.vocabulary(t)) < licenses.SHORT else set()
+    for i, t in rows[:80]:
+        said = licenses.vocabulary(t)
+        found = []
+        for name, wording in licenses.TEMPLATES:  # the most agreeing words of the stretch from the first to the last
+            w = licenses.vocabulary(wording)
+            m = [b for b in difflib.SequenceMatcher(None, w, said, autojunk=False).get_matching_blocks() if b.size > 1]
+            agreed = sum(b.size for b in m)
+            if m and agreed >= 0.8 * len(w) and agreed >= 0.8 * (m[-1].b + m[-1].size - m[0].b) and unique[wording] <= set(said):
+                miss = len(w) + m[-1].b + m[-1].size - m[0].b - 3 * agreed
+                found.append((miss, name))
+        best = {n for m, n in found if m == min(found)[0]}
+        assert not best or best & got[i], (i, t, best, got[i])
+
+
+def test_leaks_against_all_windows(spark):
+    r = np.random.default_rng(3)
+    items = [(k, prose(int(r.integers(15, 60)), 9000 + k)) for k in range(12)] + [(12, None), (13, "")]
+    items.append((20, items[0][1]))
+    rows = []
+    for i in range(90):
+        w = items[int(r.integers(12))][1].split()
+        for _ in range(int(r.integers(0, len(w) // 4))):
+            w[int(r.integers(len(w)))] = VOCAB[r.integers(300)]
+        w = w if i % 3 else w[: len(w) // 2]
+        rows.append((i, prose(int(r.integers(0, 120)), 7000 + i) + " " + " ".join(w) + " " + prose(int(r.integers(0, 120)), 8000 + i)))
+    rows += [(None, None), (200, ""), (201, prose(20_000, 77) + " " + items[3][1]), (0, rows[0][1])]
+    own = {k: (t or "").split() for k, t in items if t}
+    df = collections.Counter(w for _, t in rows if t for w in set(t.split()))
+    want, clear = set(), set()
+    for i, t in rows:
+        said = (t or "").split()
+        for k, w in own.items():
+            at = [j for j, x in enumerate(said) if x in set(w)]
+            n = len(w)
+            best = max((decontam.longest_common(w, said[a : a + 2 * n]) / n for a in at[:: max(1, n // 8)]), default=0) if len(said) < 5000 or i == 201 and k in (3, 5) else 0
+            if best >= 0.8:
+                want.add((i, k))
+            if best >= 0.45:
+                clear.add((i, k))
+    got = {(x.doc_id, x.item_id) for x in decontam.find_leaks(spark.createDataFrame([(*x, 0.5) for x in rows], "doc_id long, text string, cosine double"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 40 and len(want & got) >= 0.95 * len(want) and len(got - clear) <= 0.02 * len(got), (sorted(want - got), sorted(got - clear))
+    assert {(0, 0), (0, 20)} <= got or (0, 0) not in got
+
+
+def test_matched_span_is_tight():
+    assert decontam.shortest_prefix(list("abc"), list("xaybzcabc"), 3) == 6
+    assert decontam.shortest_prefix(list("abc"), list("aabbcc"), 2) == 3
+
+
 def test_licenses(spark):
     rows = [(1, "words\nReleased under the MIT License.\nmore"), (2, "This work is licensed under the GNU General Public License, version 2."), (3, None), (4, "the licence plate as is")]
     got = {r.doc_id: (r.license, r.exact) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

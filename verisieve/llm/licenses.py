@@ -5,7 +5,8 @@ template around its own vocabulary however its lines are wrapped; surroundings t
 are one block. A block is compared word by word with every template that shares enough
 words with it. The best notice is the stretch of the block with the most agreeing words
 over differing ones, if at least ``least_share`` of the template's words and of the
-stretch's agree; what stands before and after it is searched again, so every notice of a
+stretch's agree and, of a wording of fewer than ``SHORT`` words, none is lacking that only
+this license's wordings use; what stands before and after it is searched again, so every notice of a
 block is reported, with the exact words that it lacks or adds. A notice must also
 compress better with its template as a zstandard raw dictionary than alone.
 
@@ -32,6 +33,8 @@ from verisieve.llm.textvec import LOWER, WS, pieces
 
 _WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
 
+_BSD_WARRANTY = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+
 #: (SPDX identifier, wording): short notices and the opening terms of the common licenses.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -59,11 +62,17 @@ TEMPLATES = (
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ' + _BSD_WARRANTY),
+    ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. ' + _BSD_WARRANTY),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("Proprietary", "All rights reserved."),
 )
 
 STEMS = (b"licen", b"copyright", b"warrant", b"spdx", b"redistribut", b"hereby granted", b"public domain", b"rights reserved", b"creative commons", b"merchantab", b"free software", b"permission notice", b"without restriction", b"as is")
 
+#: Wordings of fewer words must hold what sets their license apart.
+SHORT = 12
+
 SCHEMA = "doc_id long, block long, block_start long, block_end long, license string, template long, plain_bytes long, conditional_bytes long, saving double, words_lacking long, words_added long, difference string, exact boolean"
 _word = re.compile(r"[\w.+-]*\w")
 
@@ -82,6 +91,8 @@ class Scanner:
         self.given = [zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
         self.words = [vocabulary(t) for _, t in templates]
         self.counts = [Counter(w) for w in self.words]
+        others = [set().union(*(w for w, (name, _) in zip(self.counts, templates, strict=True) if name != mine)) for mine, _ in templates]
+        self.needed = [set(w) - o if len(w) < SHORT else set() for w, o in zip(self.words, others, strict=True)]
         self.known: dict[str, list[tuple]] = {}
 
     def notices(self, block: str) -> list[tuple]:
@@ -118,7 +129,7 @@ class Scanner:
                 continue
             first, last = run[0].b, run[-1].b + run[-1].size
             lacking, added = len(theirs) - agreed, last - first - agreed
-            if agreed < self.least_share * (last - first):
+            if agreed < self.least_share * (last - first) or not self.needed[i] <= {w for m in run for w in theirs[m.a : m.a + m.size]}:
                 continue
             raw = " ".join(block[places[first][0] : places[last - 1][1]].split()).encode()
             plain, size = len(self.plain.compress(raw)), len(self.given[i].compress(raw))

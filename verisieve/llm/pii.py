@@ -2,14 +2,21 @@
 
 Found: e-mail addresses, IPv4 addresses, telephone numbers, payment cards (with a
 right Luhn digit), US social security numbers, IBANs (with right check digits),
-secrets after a key word, and person names that start with a known given name.
+secrets after a key word, and person names: a known given name or a title with the
+capitalised words after it, and in the same document each of these words alone (if
+it never stands there in lower case).
+
 Every entity gets a replacement that depends on the key and on the entity's
 normalised value alone, so it is the same wherever the entity stands. Digit
 strings are permuted within their length by a keyed Feistel network, which keeps
 distinct entities distinct by itself; cards and IBANs keep their issuer or country
 and get right check digits; each mention keeps its own punctuation. E-mail
-addresses go to the reserved domain ``.example``. Names keep script, gender and
-number of words.
+addresses go to the reserved domain ``.example``. A name is replaced word by word, so
+parts of names corefer: given names by others of their script and gender (a keyed cycle
+over the list, which keeps them distinct), other words by invented ones of their script.
+
+The key is the session's ``spark.verisieve.pii.key``; without one it is drawn anew for
+every call, and surrogates differ between calls. It is in no source file.
 
 A replacement that equals another entity's replacement, or any real entity of the
 corpus, is drawn again with the next tweak until none does. That check is a join
@@ -26,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +42,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verisieve.llm.common import stash, table, tune
+from verisieve.llm.common import fresh_name, stash, table, tune
 from verisieve.llm.textvec import mix, pieces, row_sums, words
 
-KEY = b"verisieve surrogate key"
+KEY_SETTING = "spark.verisieve.pii.key"
+
+
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The session's key, or one drawn at random."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return named.encode() if named else secrets.token_bytes(32)
+
 
 #: Given names by script and gender, for finding and for replacing.
 GIVEN = {
@@ -53,6 +68,7 @@ SYLLABLES = {
     "cyrillic": "ба бе бо ва ве да де до ка ко ла ле ло ма ме мо на не но ра ре ро са се со та те то".split(),
     "greek": "βα βε βο γα δα δε κα κε κο λα λε λο μα με μο να νε νο ρα ρε ρο σα σε σο τα τε το".split(),
 }
+TITLES = "Mr Mrs Ms Miss Mister Dr Prof Professor Herr Frau Monsieur Madame Mme Señor Señora Sr Sra Господин Госпожа Κύριος Κυρία".split()
 _gender = {name: key for key, names in GIVEN.items() for name in names}
 _names = "|".join(sorted(_gender, key=lambda n: (-len(n), n)))
 FIND = re.compile(
@@ -63,7 +79,8 @@ FIND = re.compile(
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w))"
     r"|(?P<card>(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\w)|(?<![\w.-])\d{4}[ -]?\d{6}[ -]?\d{5}(?!\w))"
     r"|(?i:(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9_/+-]{8,})"
-    r"|(?P<name>(?<!\w)(?:" + _names + r")(?: [A-ZÀ-ÞА-ЯΑ-Ω]\w+)+)",
+    r"|(?P<name>(?<!\w)(?:" + _names + r")(?: [A-ZÀ-ÞА-ЯΑ-Ω]\w+)+)"
+    r"|(?:(?<!\w)(?:" + "|".join(TITLES) + r")\.? )(?P<titled>[A-ZÀ-ÞА-ЯΑ-Ω]\w+(?: [A-ZÀ-ÞА-ЯΑ-Ω]\w+)*)",
 )
 
 
@@ -167,17 +184,30 @@ def surrogate(key: bytes, kind: str, value: str, tweak: int = 0) -> str:
             word += SYLLABLES["latin"][i]
         host = f"{prf(key, 'domain', value.rpartition('@')[2]) % 36**6:x}"
         return f"{word}{'.' + ''.join(map(str, permute(key, 'email', [int(c) for c in number], 10, tweak))) if number else ''}@mail-{host}.example"
-    script, gender = _gender[value.split(" ")[0]]
-    given, parts = GIVEN[script, gender], value.split(" ")
-    draw, i = divmod(draw, len(given))
-    out = [given[i]]
-    for _ in parts[1:]:
-        word = ""
-        for _ in range(4):
-            draw, i = divmod(draw, len(SYLLABLES[script]))
-            word += SYLLABLES[script][i]
-        out.append(word.capitalize())
-    return " ".join(out)
+    # a word of a name
+    script = script_of(value)
+    word = ""
+    for _ in range(4):
+        draw, i = divmod(draw, len(SYLLABLES[script]))
+        word += SYLLABLES[script][i]
+    return word.upper() if len(value) > 1 and value.isupper() else word.capitalize()
+
+
+def script_of(word: str) -> str:
+    c = ord(word[0])
+    return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 else "latin"
+
+
+_next_given: dict[bytes, dict[str, str]] = {}
+
+
+def given_name(key: bytes, name: str) -> str:
+    """The given name after ``name`` in a cycle, drawn from the key, of those of its script and gender."""
+    if key not in _next_given:
+        _next_given.clear()
+        cycles = [sorted(names, key=lambda n: prf(key, "given", n)) for names in GIVEN.values()]
+        _next_given[key] = {a: b for c in cycles for a, b in zip(c, c[1:] + c[:1], strict=True)}
+    return _next_given[key][name]
 
 
 def spell(kind: str, said: str, value: str) -> str:
@@ -191,17 +221,41 @@ def spell(kind: str, said: str, value: str) -> str:
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normalised value) in order; mentions do not overlap."""
     out, at = [], 0
-    while True:
-        m = FIND.search(text, at)
-        if not m:
-            return out
+    while m := FIND.search(text, at):
         kind = m.lastgroup
         value = normal(kind, m[kind])
         if value is None:
             at = max(m.start() + 1, m.end(kind) if kind in ("ip", "card") else m.start() + 1)
             continue
-        out.append((*m.span(kind), kind, value))
+        out.append((*m.span(kind), "name" if kind == "titled" else kind, value))
         at = m.end()
+    parts = {w for *_, kind, value in out if kind == "name" for w in value.split(" ") if len(w) > 2}
+    if parts:
+        out += alone(text, parts, out)
+        out.sort()
+    return out
+
+
+def alone(text: str, parts: set[str], taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Words of names that stand by themselves, outside the mentions ``taken``; a word that also
+    stands in lower case is none."""
+    find = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(parts))) + r")(?!\w)", re.I)
+    hits = [(*m.span(), m[0]) for m in find.finditer(text)]
+    plain = {w for *_, w in hits if w[0].islower()}
+    ends = sorted((a, b) for a, b, *_ in taken)
+    out, k = [], 0
+    for a, b, w in hits:
+        while k < len(ends) and ends[k][1] <= a:
+            k += 1
+        if w in parts and w.lower() not in plain and not (k < len(ends) and ends[k][0] < b):
+            out.append((a, b, "name", w))
+    return out
+
+
+def drawn_parts(kind: str, value: str) -> list[tuple[str, str]]:
+    """The (kind, value) whose replacements are drawn for this entity: of a name, its words
+    that are no known given names."""
+    return [("word", w) for w in value.split(" ") if w not in _gender] if kind == "name" else [(kind, value)]
 
 
 _name_hashes: np.ndarray | None = None
@@ -209,7 +263,7 @@ _name_letters = np.zeros(256, bool)
 _name_letters[[*range(65, 91), *range(97, 123)]] = True
 #: Pairs of bytes that are a letter of a given name.
 _name_pairs = np.zeros(1 << 16, bool)
-for _c in {c.encode() for n in _gender for c in n if not c.isascii()}:
+for _c in {c.encode() for n in (*_gender, *TITLES) for c in n if not c.isascii()}:
     _name_pairs[_c[0] << 8 | _c[1]] = True
 #: First bytes of the characters among which the digits outside ASCII are.
 _far_digits = np.zeros(256, bool)
@@ -228,10 +282,10 @@ def _letters_only(buf: np.ndarray) -> np.ndarray:
 
 def suspects(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Rows that may hold an entity: two digits (an IBAN may have no more), an @, a key word's
-    separator, or a given name between any other characters. No row that ``FIND`` matches is left out."""
+    separator, or a given name or title between any other characters. No row that ``FIND`` matches is left out."""
     global _name_hashes
     if _name_hashes is None:
-        lone = [n.encode() for n in _gender]
+        lone = [n.encode() for n in (*_gender, *TITLES)]
         ends = np.cumsum([0, *map(len, lone)])
         _name_hashes = np.sort(words(np.frombuffer(b"".join(lone), np.uint8), ends, lower=False)[2])
     digit = (buf >= 48) & (buf <= 57)
@@ -248,18 +302,18 @@ def _each(column: pa.Array) -> Iterator[tuple[int, str]]:
 
 
 def distinct_entities(docs: DataFrame) -> DataFrame:
-    """kind, value of every entity of the corpus, once each."""
+    """kind, value of every entity of the corpus that replacements are drawn for, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {(kind, value) for _, text in _each(batch.column(0)) for _, _, kind, value in entities(text)}
+            found = {part for _, text in _each(batch.column(0)) for _, _, kind, value in entities(text) for part in drawn_parts(kind, value)}
             kinds, values = zip(*sorted(found), strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["kind", "value"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, value string").distinct()
 
 
-def collisions(docs: DataFrame, key: bytes = KEY, rounds: int = 20) -> DataFrame:
+def collisions(docs: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
     """kind, value, tweak of the entities whose first replacement is taken.
 
     A replacement is taken if another entity has it or if it is itself an entity of
@@ -292,23 +346,33 @@ def collisions(docs: DataFrame, key: bytes = KEY, rounds: int = 20) -> DataFrame
     raise RuntimeError(f"replacements still collide after {rounds} draws")
 
 
-def replace_entities(docs: DataFrame, key: bytes = KEY, count: str | None = None) -> DataFrame:
+def replace_entities(docs: DataFrame, key: bytes | None = None, count: str | None = None, most_sent: int = 10_000) -> DataFrame:
     """``docs`` with its text rewritten; with ``count``, a column of that name holds the
-    number of mentions replaced."""
+    number of mentions replaced. Up to ``most_sent`` exceptions are sent with the code."""
     tune(docs.sparkSession)
+    key = key or surrogate_key(docs.sparkSession)
     taken = collisions(docs, key)
     columns, at = docs.columns, docs.columns.index("text")
-    few = taken.limit(10_001).collect()
+    few = taken.limit(most_sent + 1).collect()
     base = docs
-    extra: str | None = None
-    known = {(r.kind, r.value): r.tweak for r in few}
-    if len(few) > 10_000:  # too many to send with the code: each document gets those that it mentions
-        known = {}
-        extra = "_tweaks"
+    extra = len(few) > most_sent  # too many: each document gets those that it mentions
+    known = {} if extra else {(r.kind, r.value): r.tweak for r in few}
+    if extra:
         base = _with_tweaks(docs, taken)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[tuple[str, str, int], str] = {}
+
+        def new_value(kind: str, value: str, tweaks: dict) -> str:
+            if kind == "name":
+                return " ".join(given_name(key, w) if w in _gender else new_value("word", w, tweaks) for w in value.split(" "))
+            what = (kind, value, tweaks.get((kind, value), 0))
+            if what not in memo:
+                if len(memo) > 50_000:
+                    memo.clear()
+                memo[what] = surrogate(key, *what)
+            return memo[what]
+
         for batch in batches:
             texts = batch.column(at)
             numbers, rows, new = np.zeros(batch.num_rows, np.int64), [], []
@@ -321,12 +385,7 @@ def replace_entities(docs: DataFrame, key: bytes = KEY, count: str | None = None
                     tweaks = {(t["kind"], t["value"]): t["tweak"] for t in batch.column(batch.num_columns - 1)[row].as_py() or []}
                 parts, end = [], 0
                 for a, b, kind, value in found:
-                    what = (kind, value, tweaks.get((kind, value), 0))
-                    if what not in memo:
-                        if len(memo) > 50_000:
-                            memo.clear()
-                        memo[what] = surrogate(key, *what)
-                    parts += [text[end:a], spell(kind, text[a:b], memo[what])]
+                    parts += [text[end:a], spell(kind, text[a:b], new_value(kind, value, tweaks))]
                     end = b
                 rows.append(row)
                 new.append("".join(parts) + text[end:])
@@ -347,16 +406,19 @@ def replace_entities(docs: DataFrame, key: bytes = KEY, count: str | None = None
 
 
 def _with_tweaks(docs: DataFrame, taken: DataFrame) -> DataFrame:
+    """``docs`` with a last column of the exceptions that each text mentions."""
+    h, tweaks = fresh_name(docs, "text_hash"), fresh_name(docs, "tweaks")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = sorted({(batch.column(0)[row].as_py(), kind, value) for row, text in _each(batch.column(1)) for _, _, kind, value in entities(text)})
+            rows = sorted({(batch.column(0)[row].as_py(), *part) for row, text in _each(batch.column(1)) for _, _, kind, value in entities(text) for part in drawn_parts(kind, value)})
             cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["_h", "kind", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], [h, "kind", "value"])
 
     hashed = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    mentions = docs.select(hashed.alias("_h"), "text").mapInArrow(run, "_h string, kind string, value string").distinct()
-    lists = mentions.join(taken, ["kind", "value"]).groupBy("_h").agg(F.collect_list(F.struct("kind", "value", "tweak")).alias("_tweaks"))
-    return docs.withColumn("_h", hashed).join(lists, "_h", "left").select(*docs.columns, "_tweaks")
+    mentions = docs.select(hashed.alias(h), "text").mapInArrow(run, f"{h} string, kind string, value string").distinct()
+    lists = mentions.join(taken, ["kind", "value"]).groupBy(h).agg(F.collect_list(F.struct("kind", "value", "tweak")).alias(tweaks))
+    return docs.withColumn(h, hashed).join(lists, h, "left").select(*docs.columns, tweaks)
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
