@@ -193,11 +193,79 @@ def test_scores(docs):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+def plain_tokens(text):
+    """(hash, ending bytes) of each word and of the end, one word at a time."""
+    out = []
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode()):
+        buf = np.frombuffer(w, np.uint8)
+        low = w.lower()
+        out.append((int(mixing_lm.words(buf, np.array([0, len(w)]))[2][0]), low[-1] * 31 + low[max(-2, -len(low))]))
+    return [*out, (int(mixing_lm.END), 0)]
+
+
+def plain_contexts(toks, i, frequent):
+    """Table places of the token's contexts, and the word that the match model expects."""
+    u = lambda x: np.array([x & (2**64 - 1)], np.uint64)
+    one = toks[i - 1][0] if i else 0
+    two = toks[i - 2][0] if i > 1 else 0
+    known = [j for j in range(i) if toks[j][0] in frequent]
+    topic = frequent.index(toks[known[-1]][0]) + 1 if known else 0
+    fold = lambda x: int(mixing_lm.mix(x)[0]) >> 52
+    ending = toks[i - 1][1] if i else 0
+    numbers = [0, fold(u(one)), fold(u(int(mixing_lm.mix(u(one))[0]) + two)), (ending * 2654435761 % 2**32) >> 24, topic]
+    seen = [j for j in range(1, i) if toks[j - 1][0] == one] if i else []
+    return [int(s) + (n << mixing_lm.DEPTH) for s, n in zip(mixing_lm.STARTS, numbers)], toks[seen[-1]][0] if seen else None
+
+
+def test_score_against_a_plain_mixer(spark):
+    texts = [prose(int(n), 50 + i) + " " + " ".join(prose(12, 5).split() * 2) for i, n in enumerate(np.random.default_rng(1).integers(5, 60, 40))] + ["", None, "Ünï cöde ünï cöde"]
+    docs = spark.createDataFrame([(i, t, i % 5 == 1) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean").repartition(3)
+    model = mixing_lm.fit_mixer(docs.where("not held_out"))
+    frequent, depth = model.frequent.tolist(), mixing_lm.DEPTH
+    train = [plain_tokens(t) for i, t in enumerate(texts) if i % 5 != 1]
+    leaves = collections.Counter()
+    for toks in train:
+        for i, (h, _) in enumerate(toks):
+            for at in plain_contexts(toks, i, frequent)[0]:
+                leaves[at | h >> 64 - depth] += 1
+    nodes = collections.Counter()
+    for leaf, c in leaves.items():
+        for d in range(depth):
+            lead = leaf & (1 << depth) - 1
+            nodes[leaf - lead | 1 << d | lead >> depth - d, lead >> depth - 1 - d & 1] += c
+    c = collections.Counter(h for toks in train for h, _ in toks)
+    n, v = sum(c.values()), len(c)
+    buckets = collections.Counter()
+    for h, k in c.items():
+        buckets[h >> 64 - depth] += k + 0.5
+    got = {r.doc_id: r for r in mixing_lm.score_documents(docs, model).collect()}
+    assert len(got) == len(texts)
+    for row, t in enumerate(texts):
+        toks, want = plain_tokens(t), 0.0
+        for i, (h, _) in enumerate(toks):
+            places, expected = plain_contexts(toks, i, frequent)
+            for d in range(depth):
+                prefix, bit = h >> 64 - d if d else 0, h >> 63 - d & 1
+                x = [round(1024 * math.log((nodes[p | 1 << d | prefix, 1] + 0.4) / (nodes[p | 1 << d | prefix, 0] + 0.4))) / 1024 for p in places]
+                match = 0 if expected is None or (expected >> 64 - d if d else 0) != prefix else 1 if expected >> 63 - d & 1 else -1
+                w = model.weights[d, int(match != 0)]
+                z = float(np.dot([*x, match, 1], w))
+                p = (1 / (1 + math.exp(-max(-12, min(12, z)))) + model.map[d, int(match != 0), int(min(32, max(0, round(z * 2 + 16))))]) / 2
+                want += math.log10(p if bit else 1 - p)
+            want += math.log10(c[h] + 0.5) - math.log10(buckets[h >> 64 - depth] + 0.5)
+        assert abs(got[row].score - want) < 0.02 * (1 + len(toks) ** 0.5), (row, got[row].score, want)
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) * 0.95  # the model knows the texts better
+
+
 def test_mixer_learns_from_every_token(docs):
-    counts = np.zeros((mixing_lm.CONTEXTS, mixing_lm.SLOTS, 2), np.float32)
-    _, fine = mixing_lm.learn_mixer(docs, np.zeros(0, np.uint64), counts)
+    tables = np.zeros((mixing_lm.STARTS[-1], 3), np.int16)
+    _, fine = mixing_lm.learn_mixer(docs, np.zeros(0, np.uint64), tables)
     words = sum(len((t or "").split()) + 1 for _, t, *_ in corpus())
     assert fine.sum() == words * mixing_lm.DEPTH
+    for fan in (256, 2):
+        leaves = mixing_lm.context_counts(docs.repartition(5), np.zeros(0, np.uint64), fan)
+        assert leaves.sum() == words * mixing_lm.CONTEXTS and leaves[: 1 << mixing_lm.DEPTH].sum() == words
 
 
 def test_chat_round_trip(spark):

@@ -5,16 +5,19 @@ A token's 64-bit hash begins with ``DEPTH`` bits that are predicted one after an
 which word it is among those of its leading bits follows from the counts of all training
 words there, with the same 0.5 for a word and for the unknown as the base model has.
 
-A bit is predicted from counts in hashed contexts (none, the word before, the ending of
-the word before, the last very frequent word) and by a match model (what followed the
-last occurrence of the word before in this document). The stretched predictions are mixed
-by weights that a gate selects (bit depth, match or none); the weights are learned online
-by logistic loss, with the coded bit itself left out of its counts. An adaptive map of
-(gate, mixed prediction) refines the result. Total bits over bytes is in bits_per_byte.
+A bit is predicted from counts in hashed contexts (none, the word before, the two words
+before, the ending of the word before, the last very frequent word) and by a match model
+(what followed the last occurrence of the word before in this document). The stretched
+predictions are mixed by weights that a gate selects (bit depth, match or none); the
+weights are learned online by logistic loss, with the coded bit itself left out of its
+counts. An adaptive map of (gate, mixed prediction) refines the result. Total bits over
+bytes is in bits_per_byte.
 
 Counts, weights and maps come from all training documents (crc32(doc_id) mod 5 is not 1).
-The context tables and the ``TOP`` most frequent words have fixed sizes and go to every
-task; all other words are looked up by a join with the counts, which grow with the corpus.
+Tasks count leaves, the leading bits under each context; the counts of the bits before
+follow from these. The context tables and the ``TOP`` most frequent words have fixed sizes
+and go to every task; all other words are looked up by a join with the counts, which grow
+with the corpus.
 
 Null text is empty: only the end token. A null id is not held out. Rows of one doc_id are
 separate documents. Extra columns are ignored; an empty table gives no rows.
@@ -22,7 +25,9 @@ separate documents. Extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +40,18 @@ from verisieve.llm.quality import crc_rest
 from verisieve.llm.textvec import LOWER, mix, pieces, words
 
 U = np.uint64
-DEPTH, CONTEXTS, SLOTS, TOP, FREQUENT = 10, 4, 1 << 18, 1 << 17, 255
+DEPTH, TOP, FREQUENT = 10, 1 << 17, 255
+#: Bits of each context's number: none, the word before, the two words before, the ending of
+#: the word before, the last very frequent word.
+WIDTHS = (0, 12, 12, 8, 8)
+CONTEXTS = len(WIDTHS)
+#: Where each context's nodes begin; every number has 2**DEPTH of them.
+STARTS = np.cumsum([0, *(1 << w + DEPTH for w in WIDTHS)])
 INPUTS = CONTEXTS + 2  # and the match model and a constant
 STEPS = 33
+#: Stretched predictions are whole numbers of 1/FINE.
+FINE = 1024
+SLAB = 1 << 16
 END = mix(np.array([0x1F2E3D4C5B6A7988], U))[0]
 
 
@@ -56,8 +70,12 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return out, tail, bounds
 
 
+def _folded(x: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(x) >> U(64 - bits)).astype(np.int64)
+
+
 def contexts(h: np.ndarray, tail: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token: the bases of its slots in the context tables (CONTEXTS x tokens), and
+    """For each token: where its contexts' nodes begin in the table (CONTEXTS x tokens), and
     the leading bits of the token that the match model expects (-1: none)."""
     n = len(h)
     first = np.zeros(n, bool)
@@ -74,11 +92,11 @@ def contexts(h: np.ndarray, tail: np.ndarray, bounds: np.ndarray, frequent: np.n
     mark = np.where(known, np.arange(n), np.where(first, np.arange(n), 0))
     last = np.maximum.accumulate(mark)
     topic = np.where(known[last], place[last] + 1, 0)
-    base = np.empty((CONTEXTS, n), np.int64)
-    base[0] = 0
-    base[1] = (mix(before) >> U(56)).astype(np.int64) << DEPTH
-    base[2] = (ending * np.uint32(2654435761) >> np.uint32(24)).astype(np.int64) << DEPTH
-    base[3] = topic.astype(np.int64) << DEPTH
+    two = np.zeros(n, U)
+    two[1:] = before[:-1]
+    two[first] = 0
+    number = (np.zeros(n, np.int64), _folded(before, 12), _folded(mix(before) + two, 12), (ending * np.uint32(2654435761) >> np.uint32(24)).astype(np.int64), topic.astype(np.int64))
+    base = np.array([start + (x << DEPTH) for start, x in zip(STARTS, number)])
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     key = before ^ mix(owner.astype(U) + U(1))
     order = np.argsort(key, kind="stable")
@@ -129,33 +147,62 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def context_counts(train: DataFrame, frequent: np.ndarray) -> np.ndarray:
-    """Counts of bit 0 and 1 in each slot: CONTEXTS x SLOTS x 2, over all training tokens."""
+def context_counts(train: DataFrame, frequent: np.ndarray, fan: int = 256) -> np.ndarray:
+    """How often each leaf (leading bits under a context's number) occurs, over all training tokens.
+
+    Tasks send packed slabs of the leaves that they met; slabs are summed over ``fan`` tasks at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CONTEXTS * SLOTS, 2), np.int64)
+        total = np.zeros(STARTS[-1], np.uint32)
         for batch in batches:
             for _, _, buf, off in pieces(batch.column(0)):
                 h, tail, bounds = tokens(buf, off)
-                if not len(h):
-                    continue
-                base, _ = contexts(h, tail, bounds, frequent)
-                lead = (h >> U(64 - DEPTH)).astype(np.int64)
-                for d in range(DEPTH):
-                    node, bit = (1 << d) | (lead >> (DEPTH - d)), lead >> (DEPTH - 1 - d) & 1
-                    for k in range(CONTEXTS):
-                        np.add.at(total.reshape(-1), ((base[k] | node) + k * SLOTS) * 2 + bit, 1)
-        at = np.flatnonzero(total.any(axis=1))
-        yield _rows(0, at, total[at, 0], total[at, 1])
-
-    (i, a, b), _ = _summed(train.select("text").mapInArrow(run, SUMS))
-    out = np.zeros((CONTEXTS * SLOTS, 2))
-    out[i, 0], out[i, 1] = a, b
-    return out.reshape(CONTEXTS, SLOTS, 2).astype(np.float32)
+                if len(h):
+                    base, _ = contexts(h, tail, bounds, frequent)
+                    np.add.at(total, (base | (h >> U(64 - DEPTH)).astype(np.int64)).ravel(), 1)
+        for k in range(0, len(total), SLAB):
+            part = total[k : k + SLAB]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([TaskContext.get().partitionId()]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["at", "task", "part"])
+
+    def add(t: pa.Table) -> pa.Table:
+        whole = np.zeros(SLAB, np.uint64)
+        for b in t.column("part"):
+            part = np.frombuffer(zlib.decompress(b.as_py()), np.uint32)
+            whole[: len(part)] += part
+        part = np.minimum(whole, np.iinfo(np.uint32).max).astype(np.uint32)
+        return pa.table({"at": t.column("at").slice(0, 1), "task": t.column("task").slice(0, 1), "part": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
+
+    kinds = "at long, task int, part binary"
+    tasks = train.rdd.getNumPartitions()
+    slabs = train.select("text").mapInArrow(run, "at long, task long, part binary").withColumn("task", F.col("task").cast("int"))
+    while True:
+        tasks = -(-tasks // fan)
+        slabs = slabs.withColumn("task", F.floor(F.col("task") / fan).cast("int")).groupBy("at", "task").applyInArrow(add, kinds)
+        if tasks <= 1:
+            break
+    out = np.zeros(-(-STARTS[-1] // SLAB) * SLAB, np.uint32)
+    for r in slabs.select("at", "part").toLocalIterator():
+        out[r.at : r.at + SLAB] = np.frombuffer(zlib.decompress(r.part), np.uint32)
+    return out[: STARTS[-1]]
 
 
 def stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.log((n1 + 0.4) / (n0 + 0.4)).astype(np.float32)
+    return np.log((n1 + 0.4) / (n0 + 0.4))
+
+
+def stretched(leaves: np.ndarray) -> np.ndarray:
+    """From counts of leaves, for each node (1, then the leading bits so far) three columns of
+    stretched predictions in 1/FINE: after all counts, and with one 0 or one 1 less."""
+    out = np.zeros((len(leaves), 3), np.int16)
+    below = leaves.reshape(-1, 1 << DEPTH).astype(np.float32)
+    nodes = out.reshape(-1, 1 << DEPTH, 3)
+    for d in reversed(range(DEPTH)):
+        n0, n1 = below[:, 0::2], below[:, 1::2]
+        for k, (a, b) in enumerate(((0, 0), (1, 0), (0, 1))):
+            nodes[:, 1 << d : 2 << d, k] = np.rint(FINE * stretch(np.maximum(n0 - a, 0), np.maximum(n1 - b, 0)))
+        below = n0 + n1
+    return out
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -172,14 +219,14 @@ def steps_of(x: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(x * 2 + STEPS // 2), 0, STEPS - 1).astype(np.int64)
 
 
-def learn_mixer(train: DataFrame, frequent: np.ndarray, counts: np.ndarray, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def learn_mixer(train: DataFrame, frequent: np.ndarray, tables: np.ndarray, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights (DEPTH x 2 x INPUTS) and the adaptive map's counts (DEPTH x 2 x STEPS x 2).
 
     Every token of every training document takes part. Each partition learns online; weights are averaged by the number of bits."""
-    sent = train.sparkSession.sparkContext.broadcast(counts)  # CONTEXTS x SLOTS x 2 floats: 8 MB
+    sent = train.sparkSession.sparkContext.broadcast(np.ascontiguousarray(tables[:, 1:]))  # 36 MB, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = sent.value
+        less = sent.value.reshape(-1)
         w = np.full((DEPTH, 2, INPUTS), 0.3, np.float32)
         w[:, :, -1] = 0
         seen, fine = np.zeros((DEPTH, 2)), np.zeros((DEPTH, 2, STEPS, 2))
@@ -190,21 +237,22 @@ def learn_mixer(train: DataFrame, frequent: np.ndarray, counts: np.ndarray, rate
                     continue
                 base, expect = contexts(h, tail, bounds, frequent)
                 lead = (h >> U(64 - DEPTH)).astype(np.int64)
+                x = np.empty((len(lead), INPUTS), np.float32)
+                x[:, -1] = 1
                 for d in range(DEPTH):
-                    node, bit = (1 << d) | (lead >> (DEPTH - d)), (lead >> (DEPTH - 1 - d) & 1).astype(np.float32)
-                    x = np.empty((len(lead), INPUTS), np.float32)
+                    node, bit = (1 << d) | (lead >> (DEPTH - d)), lead >> (DEPTH - 1 - d) & 1
                     for k in range(CONTEXTS):
-                        n = c[k, base[k] | node]
-                        x[:, k] = stretch(np.maximum(n[:, 0] - (1 - bit), 0), np.maximum(n[:, 1] - bit, 0))
+                        x[:, k] = less[(base[k] | node) * 2 + bit]
+                    x[:, :CONTEXTS] *= 1 / FINE
                     x[:, CONTEXTS] = match_input(expect, lead, d)
-                    x[:, -1] = 1
-                    for m in (0, 1):
-                        part = np.flatnonzero((x[:, CONTEXTS] != 0) == bool(m))
+                    matched = x[:, CONTEXTS] != 0
+                    for m, part in enumerate((np.flatnonzero(~matched), np.flatnonzero(matched))):
+                        given, said = x[part], bit[part]
                         for a in range(0, len(part), 2048):
-                            at = part[a : a + 2048]
-                            z = x[at] @ w[d, m]
-                            w[d, m] += rate * ((bit[at] - squash(z)) @ x[at]) / len(at) * min(8, len(at) / 64)
-                            np.add.at(fine[d, m], (steps_of(z), bit[at].astype(np.int64)), 1)
+                            some, y = given[a : a + 2048], said[a : a + 2048]
+                            z = some @ w[d, m]
+                            w[d, m] += rate * ((y - squash(z)) @ some) / len(y) * min(8, len(y) / 64)
+                            fine[d, m] += np.bincount(steps_of(z) * 2 + y, minlength=2 * STEPS).reshape(STEPS, 2)
                         seen[d, m] += len(part)
         yield _rows(0, np.arange(w.size), (w * seen[:, :, None]).ravel(), np.repeat(seen.ravel(), INPUTS))
         yield _rows(1, np.arange(fine.size // 2), fine.reshape(-1, 2)[:, 0], fine.reshape(-1, 2)[:, 1])
@@ -223,28 +271,49 @@ def refined(fine: np.ndarray) -> np.ndarray:
     return (fine[..., 1] + 20 * middle) / (fine.sum(-1) + 20)
 
 
-def score_corpus(docs: DataFrame) -> DataFrame:
-    """The scores of all rows of ``docs`` (doc_id, text); learns from those that are not held out."""
-    spark = docs.sparkSession
-    tune(spark, 1000)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(crc_rest("doc_id") == 1, F.lit(False)).alias("held_out"))
-    train = docs.where("not held_out")
+@dataclass
+class MixModel:
+    """What the tasks score with; ``counts`` (h, c) is the table of all words. The rest is of fixed size."""
+
+    counts: DataFrame
+    tokens: int
+    words: int
+    frequent: np.ndarray
+    table: np.ndarray
+    weights: np.ndarray
+    map: np.ndarray
+    top: tuple[np.ndarray, np.ndarray]
+    per_lead: np.ndarray
+
+
+def fit_mixer(train: DataFrame) -> MixModel:
+    """Learn from all rows of ``train`` (text)."""
     counts = stash(word_counts(train))
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = int(whole.n), int(whole.v)
     top = counts.orderBy(F.desc("c"), "h").limit(TOP).toArrow()
     top_h, top_c = top.column("h").to_numpy().view(U), top.column("c").to_numpy()
     frequent = np.sort(top_h[:FREQUENT])
     order = np.argsort(top_h)
-    top_h, top_c = top_h[order], top_c[order].astype(np.float64)
     leads = np.zeros((1 << DEPTH, 2))
     lead_of = F.shiftrightunsigned("h", 64 - DEPTH).cast("int")
     for r in counts.groupBy(lead_of.alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         leads[r.b] = r.c, r.v
-    per_lead = np.log10(leads[:, 0] + 0.5 * (leads[:, 1] + 1))
-    table_counts = context_counts(train, frequent)
-    weights, fine = learn_mixer(train, frequent, table_counts)
-    model = spark.sparkContext.broadcast((frequent, stretch(table_counts[:, :, 0], table_counts[:, :, 1]), weights, refined(fine).astype(np.float32), top_h, top_c, per_lead))  # about 7 MB
+    tables = stretched(context_counts(train, frequent))
+    weights, fine = learn_mixer(train, frequent, tables)
+    return MixModel(counts, int(whole.n), int(whole.v), frequent, np.ascontiguousarray(tables[:, 0]), weights, refined(fine).astype(np.float32), (top_h[order], top_c[order].astype(np.float64)), np.log10(leads[:, 0] + 0.5 * (leads[:, 1] + 1)))
+
+
+def score_corpus(docs: DataFrame) -> DataFrame:
+    """The scores of all rows of ``docs`` (doc_id, text); learns from those that are not held out."""
+    tune(docs.sparkSession, 1000)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(crc_rest("doc_id") == 1, F.lit(False)).alias("held_out"))
+    return score_documents(docs, fit_mixer(docs.where("not held_out")))
+
+
+def score_documents(docs: DataFrame, fitted: MixModel) -> DataFrame:
+    """The scores of the rows of ``docs`` (doc_id, text, held_out)."""
+    counts, n, v = fitted.counts, fitted.tokens, fitted.words
+    model = docs.sparkSession.sparkContext.broadcast((fitted.frequent, fitted.table, fitted.weights, fitted.map, *fitted.top, fitted.per_lead))  # about 21 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent_, tables, w, apm, th, tc, per = model.value
@@ -261,7 +330,7 @@ def score_corpus(docs: DataFrame) -> DataFrame:
                     m = (x != 0).astype(np.int64)
                     z = x * w[d, m, CONTEXTS] + w[d, m, -1]
                     for k in range(CONTEXTS):
-                        z += tables[k, base[k] | node] * w[d, m, k]
+                        z += tables[base[k] | node] * (w[d, m, k] * np.float32(1 / FINE))
                     p = (squash(z) + apm[d, m, steps_of(z)]) / 2
                     logs += np.log10(np.where(bit == 1, p, 1 - p))
                 place = np.minimum(np.searchsorted(th, h), max(0, len(th) - 1))
