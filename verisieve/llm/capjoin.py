@@ -167,7 +167,8 @@ def link_vectors(vectors: DataFrame, similarity: float = 0.98, block: int = 1024
     linked = stash(tasks.mapInArrow(compare, "gid long, rep long, links long, first long"))
     counts = linked.groupBy("gid").agg(F.sum("links").alias("links"))
     found = components(linked.select(F.col("rep").alias("a"), F.col("first").alias("b")))
-    known = (
+    # written, so that rows of one very common vector can be split between tasks of the join
+    known = stash(
         reps.select("gid", "label", "v", "rep", "m").join(counts, "gid", "left").join(found, F.col("rep") == F.col("node"), "left")
         .select("label", "v", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
     )
