@@ -1,13 +1,15 @@
 """Ranked statistics over labelled scores: y is 1 for the positive class.
 
-Rows with a null or NaN score, or a null label, are not scored.
+Rows with a null or NaN score, or a null label, are not scored. Every statistic comes from
+running totals that one group of any size shares between tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from verisieve.operators.running import group_totals, running
 
 
 def scored(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
@@ -16,16 +18,26 @@ def scored(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
     return df.where(value.isNotNull() & ~F.isnan(value) & F.col(y).isNotNull())
 
 
+def steps_of(df: DataFrame, by: list[str], score: str, y: str) -> DataFrame:
+    """One row for each distinct score: _s, _p positives, _n rows, _neg negatives."""
+    value = F.col(score).cast("double")
+    # adding zero makes -0.0 the number 0.0
+    steps = scored(df, score, y).groupBy(*by, (value + F.lit(0.0)).alias("_s")).agg(F.sum(F.col(y).cast("long")).alias("_p"), F.count("*").alias("_n"))
+    return steps.withColumn("_neg", F.col("_n") - F.col("_p"))
+
+
+def won_steps(df: DataFrame, by: list[str], score: str, y: str) -> DataFrame:
+    """``steps_of`` with _w: pairs that the step's positives win, half of each tie."""
+    below = running(steps_of(df, by, score, y), by, ["_s"], {"_b": "_neg"})
+    return below.withColumn("_w", F.col("_p") * (F.col("_b") - F.col("_neg") / 2.0))
+
+
 def auroc(df: DataFrame, by: list[str], score: str = "score", y: str = "y") -> DataFrame:
     """Tie-corrected AUROC for each group: n, n_pos, auroc; null where one class is missing.
 
-    Rows are first summed to one for each distinct score, so what the window sorts is
-    the number of distinct scores and one exchange on the group serves the rest.
+    Rows are first summed to one for each distinct score.
     """
-    steps = scored(df, score, y).groupBy(*by, F.col(score).cast("double").alias("_s")).agg(F.sum(F.col(y).cast("long")).alias("_p"), F.count("*").alias("_n"))
-    order = Window.partitionBy(*by).orderBy("_s") if by else Window.orderBy("_s")
-    below = F.sum(F.col("_n") - F.col("_p")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - (F.col("_n") - F.col("_p"))
-    won = steps.withColumn("_w", F.col("_p") * (below + (F.col("_n") - F.col("_p")) / 2.0))
+    won = won_steps(df, by, score, y)
     pos, neg = F.sum("_p"), F.sum(F.col("_n") - F.col("_p"))
     return won.groupBy(*by).agg(F.sum("_n").alias("n"), pos.alias("n_pos"), F.when((pos > 0) & (neg > 0), F.sum("_w") / (pos * neg)).alias("auroc"))
 
@@ -53,24 +65,21 @@ def confusion(df: DataFrame, by: list[str], p: str = "p", y: str = "y", cut: flo
 
 def auarc(df: DataFrame, by: list[str], uncertainty: str, correct: str, tie: str) -> DataFrame:
     """Area under the accuracy-rejection curve: the mean of the accuracies of the least uncertain k."""
-    w = Window.partitionBy(*by).orderBy(uncertainty, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("_a", F.avg(F.col(correct).cast("double")).over(w)).groupBy(*by).agg(F.avg("_a").alias("auarc"))
+    rows = df.select(*by, F.col(uncertainty).alias("_u"), F.col(tie).alias("_t"), F.col(correct).cast("double").alias("_c"), F.lit(1).alias("_1"))
+    at = running(rows, by, ["_u", "_t"], {"_right": "_c", "_k": "_1"})
+    return at.groupBy(*by).agg(F.avg(F.col("_right") / F.col("_k")).alias("auarc"))
 
 
 def average_precision(df: DataFrame, by: list[str], score: str, y: str) -> DataFrame:
     """Mean precision at the positives, scores descending, ties together."""
-    steps = scored(df, score, y).groupBy(*by, score).agg(F.sum(y).alias("_p"), F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return steps.withColumn("_t", F.col("_p") * F.sum("_p").over(w) / F.sum("_n").over(w)).groupBy(*by).agg((F.sum("_t") / F.nullif(F.sum("_p"), F.lit(0))).alias("average_precision"))
+    at = running(steps_of(df, by, score, y), by, ["_s"], {"_tp": "_p", "_k": "_n"}, reverse=True)
+    return at.groupBy(*by).agg((F.sum(F.col("_p") * F.col("_tp") / F.col("_k")) / F.nullif(F.sum("_p"), F.lit(0))).alias("average_precision"))
 
 
 def mann_whitney(df: DataFrame, by: list[str], score: str = "score", y: str = "y") -> DataFrame:
     """u, z (normal, with tie and continuity correction), n, n_pos of each cell; z is null where all are equal."""
-    steps = scored(df, score, y).groupBy(*by, score).agg(F.sum(y).alias("_p"), F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    neg = F.col("_n") - F.col("_p")
-    won = steps.withColumn("_u", F.col("_p") * (F.sum(neg).over(w) - neg / 2.0))
-    out = won.groupBy(*by).agg(F.sum("_u").alias("u"), F.sum("_n").alias("n"), F.sum("_p").cast("long").alias("n_pos"), F.sum(F.pow("_n", F.lit(3)) - F.col("_n")).alias("_t"))
+    won = won_steps(df, by, score, y)
+    out = won.groupBy(*by).agg(F.sum("_w").alias("u"), F.sum("_n").alias("n"), F.sum("_p").cast("long").alias("n_pos"), F.sum(F.pow("_n", F.lit(3)) - F.col("_n")).alias("_t"))
     a, n = F.col("n_pos"), F.col("n")
     b = n - a
     var = a * b / 12.0 * ((n + 1) - F.col("_t") / (n * (n - 1)))
@@ -79,7 +88,12 @@ def mann_whitney(df: DataFrame, by: list[str], score: str = "score", y: str = "y
 
 def benjamini_hochberg(df: DataFrame, by: list[str], p: str, tie: str) -> DataFrame:
     """Column q: false-discovery-adjusted p."""
-    part = Window.partitionBy(*by)
-    up = part.orderBy(p, tie)
-    ranked = df.withColumn("_q", F.col(p) * F.count("*").over(part) / F.row_number().over(up))
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min("_q").over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing)))).drop("_q")
+    ranked = group_totals(running(df.withColumn("_1", F.lit(1)), by, [p, tie], {"_k": "_1"}), by, {"_m": "_1"})
+    ranked = running(ranked.withColumn("_q", F.col(p) * F.col("_m") / F.col("_k")), by, [p, tie], mins={"q": "_q"}, reverse=True)
+    return ranked.withColumn("q", F.least(F.lit(1.0), "q")).drop("_1", "_k", "_m", "_q")
+
+
+def discoveries(df: DataFrame, by: list[str], q: str = "q", level: float = 0.05) -> DataFrame:
+    """n, below and share of the tests whose adjusted p is under ``level``."""
+    hit = (F.col(q) < level).cast("double")
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col(q) < level).alias("below"), F.avg(hit).alias("share"))

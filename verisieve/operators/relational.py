@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from verisieve.operators.running import group_totals, running
+
 
 def first_by(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
     """The first row of each group."""
@@ -23,16 +25,21 @@ def seeded(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(p) if isinstance(p, str) else p.cast("string") for p in parts]))
 
 
+def _seeded_ranks(df: DataFrame, strata: list[str], key: str, seed: str) -> DataFrame:
+    """``df`` with _rank (from 1) in seeded order within each stratum."""
+    rows = df.withColumn("_md5", seeded(F.lit(seed), F.col(key))).withColumn("_1", F.lit(1))
+    return running(rows, strata, ["_md5", key], {"_rank": "_1"})
+
+
 def stratified_split(df: DataFrame, strata: list[str], key: str, share: float, seed: str) -> DataFrame:
     """Column is_test: half-even ``share`` of each stratum, in seeded order."""
-    w = Window.partitionBy(*strata)
-    rank = F.row_number().over(w.orderBy(seeded(F.lit(seed), F.col(key)), key))
-    return df.withColumn("is_test", rank <= F.bround(F.lit(share) * F.count("*").over(w)))
+    ranked = group_totals(_seeded_ranks(df, strata, key, seed), strata, {"_size": "_1"})
+    return ranked.withColumn("is_test", F.col("_rank") <= F.bround(F.lit(share) * F.col("_size"))).drop("_md5", "_1", "_rank", "_size")
 
 
 def stratified_folds(df: DataFrame, strata: list[str], key: str, folds: int, seed: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy(seeded(F.lit(seed), F.col(key)), key))
-    return df.withColumn("fold", (rank - 1) % folds)
+    ranked = _seeded_ranks(df, strata, key, seed)
+    return ranked.withColumn("fold", ((F.col("_rank") - 1) % folds).cast("int")).drop("_md5", "_1", "_rank")
 
 
 def balanced_sample(df: DataFrame, category: str, key: str, wanted: int, n_categories: int, seed: str) -> DataFrame:
