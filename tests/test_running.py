@@ -13,7 +13,7 @@ def test_running_totals(spark, reverse):
     r = np.random.default_rng(1)
     rows = [(g, float(v), int(i), int(r.integers(9))) for i, (g, v) in enumerate(zip(r.choice([0, 0, 0, 0, 1, None], 900).tolist(), r.integers(0, 40, 900)))]
     df = spark.createDataFrame(rows, "g int, v double, i int, n int").repartition(7)
-    got = {x.i: (x.s, x.m) for x in running(df, ["g"], ["v", "i"], {"s": "n"}, {"m": "n"}, reverse, parts=5).collect()}
+    got = {x.i: (x.s, x.m) for x in running(df, ["g"], ["v", "i"], {"s": "n"}, {"m": "n"}, reverse=reverse, parts=5).collect()}
     for g in (0, 1, None):
         mine = sorted([x for x in rows if x[0] == g], key=lambda x: x[1:3], reverse=reverse)
         total, least = 0, 99

@@ -71,10 +71,45 @@ def matrix_diagonal(m: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.element_at(F.element_at(m, i + 1), i + 1))
 
 
-def laplacian_diagonal(m: Column) -> Column:
-    """Column sums over causal out-degrees, less the self weights."""
+def laplacian_diagonal(m: Column, edge: float = 0.0) -> Column:
+    """Column sums over causal out-degrees, less the self weights. A vertical ``edge`` to the layer
+    below adds its weight to the sum and one to the degree; the first layer has none."""
     n = F.size(m)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda j: total(F.transform(m, lambda r: F.element_at(r, j + 1))) / (n - j) - F.element_at(F.element_at(m, j + 1), j + 1))
+    more = 1 if edge else 0
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda j: (total(F.transform(m, lambda r: F.element_at(r, j + 1))) + edge) / (n - j + more) - F.element_at(F.element_at(m, j + 1), j + 1))
+
+
+def layer_laplacians(layers: Column, edge: float = 0.0) -> Column:
+    """``laplacian_diagonal`` of a stack of matrices, vertical edges from the second on."""
+    return F.transform(layers, lambda m, i: F.when(i == 0, laplacian_diagonal(m)).otherwise(laplacian_diagonal(m, edge)))
+
+
+def mean_top(a: Column, k: int = 5) -> Column:
+    """Mean of the k largest, of fewer where there are fewer."""
+    return mean(top_values(a, k))
+
+
+def answer_log_prob(logits: Column, targets: Column) -> Column:
+    """Sum over positions of the log probability of each target (ids from 0)."""
+    return total(F.zip_with(logits, targets, lambda row, t: log_softmax_at(row, t)))
+
+
+def lens_scores(layers: Column, targets: Column, alpha: float = 1.0) -> Column:
+    """By layer, the length-normalised log probability of the targets from that layer's logits."""
+    return F.transform(layers, lambda logits: length_normalised(answer_log_prob(logits, targets), F.size(targets), alpha))
+
+
+def widened(x: Column) -> Column:
+    """Half-precision numbers, stored as their 16 bits, as floats; other arrays as floats."""
+
+    def number(h: Column) -> Column:
+        bits = h.cast("int").bitwiseAND(0xFFFF)
+        sign = F.when(bits >= 0x8000, -1.0).otherwise(1.0)
+        power, part = F.shiftright(bits, 10).bitwiseAND(31), bits.bitwiseAND(1023) / 1024.0
+        whole = F.when(power == 0, part * 2.0**-14).when(power == 31, F.when(part == 0, float("inf")).otherwise(float("nan"))).otherwise((1 + part) * F.pow(F.lit(2.0), power - 15))
+        return (sign * whole).cast("float")
+
+    return F.transform(x, number)
 
 
 def k_grid(longest: Column, grid: tuple[int, ...] = (5, 10, 25, 50, 100)) -> Column:

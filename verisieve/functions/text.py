@@ -80,3 +80,17 @@ def common_prefix(a: Column, b: Column) -> Column:
     """Length of the longest common prefix of two arrays."""
     same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
     return F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, v: F.struct((s["n"] + (s["on"] & v).cast("int")).alias("n"), (s["on"] & v).alias("on")), lambda s: F.least(s["n"], F.least(F.size(a), F.size(b))))
+
+
+def same_answer(a: Column, b: Column) -> Column:
+    """Whether two answers are equal once normalised; false with a null."""
+    return F.coalesce(norm(a) == norm(b), F.lit(False))
+
+
+#: The short codes of the answer categories.
+CATEGORY_CODES = {"incorrect_high": "IH", "correct_high": "CH", "incorrect_low": "IL", "correct_low": "CL"}
+
+
+def short_code(category: Column, codes: dict[str, str] = CATEGORY_CODES, unknown: str = "?") -> Column:
+    table = F.create_map(*[F.lit(v) for kv in codes.items() for v in kv])
+    return F.coalesce(F.try_element_at(table, category), F.lit(unknown))

@@ -7,9 +7,11 @@ the outputs (``arrays``, ``generations``) stay in the cluster.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,8 +87,88 @@ def answer_span(prompt_ids: Column, full_ids: Column) -> Column:
 
 
 def recover(main: DataFrame, recovered: DataFrame, required: DataFrame, key: list[str], part: str, value: str) -> DataFrame:
-    """Values of all required parts, from ``main`` or else ``recovered``; keys that lack a part are dropped."""
-    a, b = main.select(*key, part, F.col(value).alias("_a")), recovered.select(*key, part, F.col(value).alias("_b"))
-    rows = required.join(a, [*key, part], "left").join(b, [*key, part], "left").withColumn(value, F.coalesce("_a", "_b")).drop("_a", "_b")
-    lacking = rows.where(F.col(value).isNull()).select(*key).distinct()
-    return rows.join(lacking, key, "left_anti")
+    """Values of all required parts, from ``main`` or else ``recovered``; keys that lack a part are
+    dropped. One row for each key and part; of repeated rows the smallest value counts."""
+    a = main.select(*key, part, F.lit(0).alias("_src"), F.col(value).alias("_v"))
+    b = recovered.select(*key, part, F.lit(1).alias("_src"), F.col(value).alias("_v"))
+    best = a.unionByName(b).where("_v IS NOT NULL").groupBy(*key, part).agg(F.min(F.struct("_src", "_v")).alias("_b"))
+    rows = required.select(*key, part).distinct().join(best, [*key, part], "left").select(*key, part, F.col("_b._v").alias(value))
+    whole = rows.groupBy(*key).agg(F.count_if(F.col(value).isNull()).alias("_lacking"), F.collect_list(F.struct(part, value)).alias("_r")).where("_lacking = 0")
+    return whole.select(*key, F.inline("_r"))
+
+
+def _emit(df: DataFrame, key: list[str], columns: list[str], name: str, factory: Factory, fields: str, rows_of: Callable[[Any], Iterator[tuple]], batch: int) -> DataFrame:
+    """(key, fields): any number of rows for each input, made of the model's output in the worker,
+    so that what is large there (matrices, activations) never leaves it."""
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in df.select(*key).schema)}, {fields}"
+    names = [*key, *[f.split()[0] for f in fields.split(", ")]]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = loaded(name, factory)
+        for part in parts:
+            for at in range(0, len(part), batch):
+                some = part.iloc[at : at + batch]
+                given = list(some[columns].itertuples(index=False, name=None))
+                ids = list(some[key].itertuples(index=False, name=None))
+                yield pd.DataFrame([(*i, *r) for i, out in zip(ids, model(given), strict=True) for r in rows_of(out)], columns=names)
+
+    return df.select(*dict.fromkeys([*key, *columns])).mapInPandas(run, schema)
+
+
+def hidden_states(df: DataFrame, key: list[str], columns: list[str], name: str, factory: Factory, layers: Sequence[int], batch: int = 1) -> DataFrame:
+    """(key, layer, vector): the forward pass. The model maps each input to {layer: vector}; an output
+    that lacks a wanted layer, or whose vectors differ in width, is an error."""
+
+    def rows_of(out: dict[int, Sequence[float]]) -> Iterator[tuple]:
+        lacking = [n for n in layers if n not in out]
+        if lacking or len({len(out[n]) for n in layers}) > 1:
+            raise ValueError(f"layers lacking {lacking} or of different widths")
+        return ((n, [float(v) for v in out[n]]) for n in layers)
+
+    return _emit(df, key, columns, name, factory, "layer int, vector array<float>", rows_of, batch)
+
+
+def attention_diagonals(df: DataFrame, key: list[str], columns: list[str], name: str, factory: Factory, batch: int = 1) -> DataFrame:
+    """(key, layer, head, attn_diag, lap_diag): the attention pass. The model maps each input to an
+    array layers x heads x S x S; only its two diagonals are kept."""
+
+    def rows_of(out: Any) -> Iterator[tuple]:
+        a = np.asarray(out, float)
+        size = a.shape[-1]
+        own = np.diagonal(a, axis1=2, axis2=3)
+        laplacian = a.sum(axis=2) / (size - np.arange(size)) - own
+        return ((layer, head, own[layer, head].tolist(), laplacian[layer, head].tolist()) for layer in range(a.shape[0]) for head in range(a.shape[1]))
+
+    return _emit(df, key, columns, name, factory, "layer int, head int, attn_diag array<double>, lap_diag array<double>", rows_of, batch)
+
+
+def value_norms(df: DataFrame, key: list[str], columns: list[str], name: str, factory: Factory, heads: int, left_out: str = "vision", batch: int = 1) -> DataFrame:
+    """(key, layer, kv_head, vnorm): norms of the captured value projections. The model maps each input
+    to {module name: array S x (heads * width)}; modules whose name holds ``left_out`` are not layers,
+    the others are in the order of the numbers in their names."""
+
+    def rows_of(out: dict[str, Any]) -> Iterator[tuple]:
+        named = sorted((n for n in out if left_out not in n), key=lambda n: ([int(x) for x in re.findall(r"\d+", n)], n))
+        for layer, module in enumerate(named):
+            v = np.asarray(out[module], float)
+            if v.shape[1] % heads:
+                raise ValueError(f"{module}: {v.shape[1]} values for {heads} heads")
+            norms = np.linalg.norm(v.reshape(len(v), heads, -1), axis=2)
+            for head in range(heads):
+                yield layer, head, norms[:, head].tolist()
+
+    return _emit(df, key, columns, name, factory, "layer int, kv_head int, vnorm array<double>", rows_of, batch)
+
+
+def answer_sidecars(df: DataFrame, key: list[str], columns: list[str], name: str, factory: Factory, alpha: float = 1.0, batch: int = 1) -> DataFrame:
+    """(key, n_answer_tokens, s_ext_l, s_int): the records of an answer. The model maps each input to
+    (log probabilities layers x tokens, {layer: probe score}); the former are summed over the tokens
+    and divided by their number to the power ``alpha``. An answer without tokens has no record."""
+
+    def rows_of(out: tuple[Any, dict[int, float]]) -> Iterator[tuple]:
+        lens, probes = np.asarray(out[0], float), out[1]
+        if lens.ndim == 2 and lens.shape[1]:
+            n = lens.shape[1]
+            yield n, {i: float(v) for i, v in enumerate(lens.sum(axis=1) / n**alpha)}, {int(k): float(v) for k, v in probes.items()}
+
+    return _emit(df, key, columns, name, factory, "n_answer_tokens int, s_ext_l map<int,double>, s_int map<int,double>", rows_of, batch)

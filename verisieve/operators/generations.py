@@ -128,6 +128,54 @@ def semantic_clusters(pairs: DataFrame, key: str, same: str) -> DataFrame:
     return both.select(key, F.inline(F.aggregate("_i", start, put)))
 
 
+#: Places of the entailment classes in a model's probabilities: fixed values.
+CONTRADICTION, NEUTRAL, ENTAILMENT = 0, 1, 2
+
+
+def entailment_score(p: Column, variant: str = "strict") -> Column:
+    """A similarity from class probabilities: ``strict`` is p(entailment); ``luq`` its share of
+    entailment and contradiction; ``weighted`` counts neutral half."""
+    if variant == "strict":
+        return p[ENTAILMENT]
+    if variant == "luq":
+        return p[ENTAILMENT] / (p[ENTAILMENT] + p[CONTRADICTION])
+    if variant == "weighted":
+        return p[ENTAILMENT] + p[NEUTRAL] * 0.5
+    raise ValueError(f"no variant {variant}")
+
+
+def probabilities(logits: Column) -> Column:
+    top = F.array_max(logits)
+    raised = F.transform(logits, lambda v: F.exp(v - top))
+    return F.transform(raised, lambda v: v / F.aggregate(raised, F.lit(0.0), lambda s, w: s + w))
+
+
+def entailment_pairs(answers: DataFrame, key: str, question: str, answer: str, model: callable) -> DataFrame:
+    """key, i, j, p: class probabilities of every ordered pair of a question's answers, each read
+    after its question. ``model`` maps two series of texts to logits, once for each distinct pair."""
+    said = answers.select(key, "i", F.concat_ws(" ", question, answer).alias("_s"))
+    pairs = answer_pairs(said, key, "_s")
+    return memo_pairs(pairs, model, "array<double>").select(key, "i", "j", probabilities(F.col("sim")).alias("p"))
+
+
+def equivalent_answers(pairs: DataFrame, key: str, strict: bool = False) -> DataFrame:
+    """key, i, j, same: by the likeliest classes of (i, j) and (j, i). ``strict``: both entail;
+    else neither contradicts and not both are neutral. Of equal classes the first is likeliest."""
+    said = F.array_position("p", F.array_max("p")) - 1
+    one = pairs.select(key, "i", "j", said.alias("_a"))
+    back = one.select(key, F.col("i").alias("j"), F.col("j").alias("i"), F.col("_a").alias("_b"))
+    a, b = F.col("_a"), F.col("_b")
+    same = (a == ENTAILMENT) & (b == ENTAILMENT) if strict else (a != CONTRADICTION) & (b != CONTRADICTION) & ~((a == NEUTRAL) & (b == NEUTRAL))
+    return one.join(back, [key, "i", "j"]).select(key, "i", "j", same.alias("same"))
+
+
+def prefixes(pairs: DataFrame, own: DataFrame, defaults: DataFrame) -> DataFrame:
+    """``pairs`` (pair, dataset) with the few-shot prefix of the pair's own run, else of its dataset; none is an error."""
+    rows = pairs.join(own.select("pair", F.col("prefix").alias("_o")), "pair", "left").join(defaults.select("dataset", F.col("prefix").alias("_d")), "dataset", "left")
+    lacking = F.raise_error(F.concat(F.lit("no prefix for "), "pair")).cast("string")
+    return rows.withColumn("prefix", F.coalesce("_o", "_d", lacking)).drop("_o", "_d")
+
+
 def cluster_entropy(clusters: DataFrame, key: str) -> DataFrame:
     """Entropy of the cluster sizes (natural logarithm)."""
     sizes = clusters.groupBy(key, "cluster").agg(F.count("*").alias("c"))

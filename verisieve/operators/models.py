@@ -5,7 +5,7 @@ sees one array for each group. Groups are a configured dimension (pair, configur
 fold, band), at most ``MOST_GROUPS``; rows of a group are never brought together, so one
 group may hold any share of the rows.
 
-Rows whose features are null, of another length than most, or not finite, or whose label
+Rows whose features are null, of another length than most of their group's, or not finite, or whose label
 is null, are not fitted; such rows get no probability either.
 """
 
@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,10 @@ from verisieve.operators import relational as rel
 MOST_GROUPS = 10_000
 #: Features up to this number are fitted by Newton steps, more by gradients alone.
 MOST_SQUARE = 256
+#: Numbers that the driver holds in one pass; where Newton steps would need more, gradients are used.
+MOST_HELD = 1 << 25
+#: Tasks whose sums are added at a time.
+FAN = 256
 
 Kernel = Callable[[np.ndarray, np.ndarray, object], np.ndarray]
 
@@ -39,26 +44,31 @@ class Groups:
 
     def __init__(self, df: DataFrame, by: list[str], features: str, y: str | None):
         spark = df.sparkSession
+        self.tasks: int | None = None
         x = F.col(features).cast("array<double>")
         label = F.col(y).cast("double") if y else F.lit(0.0)
-        rows = df.select(*by, x.alias("_x"), label.alias("_y")).where(usable(F.col("_x")) & F.col("_y").isNotNull())
-        width = rows.groupBy(F.size("_x").alias("w")).count().orderBy(F.desc("count"), "w").first()
-        self.width = width["w"] if width else 0
-        rows = rows.where(F.size("_x") == self.width)
-        if by:
-            self.keys = [tuple(r) for r in rows.select(*by).distinct().limit(MOST_GROUPS + 1).collect()]
-            if len(self.keys) > MOST_GROUPS:
-                raise ValueError(f"more than {MOST_GROUPS} groups to fit")
-            self.keys.sort(key=repr)
-            ids = spark.createDataFrame([(*k, i) for i, k in enumerate(self.keys)], T.StructType([*[T.StructField(f.name, f.dataType) for f in df.select(*by).schema], T.StructField("_g", T.IntegerType())]))
-            same = [rows[c].eqNullSafe(ids[c]) for c in by]
-            on = same[0]
-            for s in same[1:]:
-                on &= s
-            self.rows = rows.join(F.broadcast(ids), on).select("_g", "_x", "_y")
-        else:
-            self.keys = [()]
-            self.rows = rows.select(F.lit(0).alias("_g"), "_x", "_y")
+        names = [f"_k{i}" for i in range(len(by))]
+        self.base = df.select(*[F.col(b).alias(n) for b, n in zip(by, names, strict=True)], x.alias("_x"), label.alias("_y")).where(usable(F.col("_x")) & F.col("_y").isNotNull()).persist()
+        sizes = self.base.groupBy(*names, F.size("_x").alias("_w")).count().limit(4 * MOST_GROUPS + 1).collect()
+        most: dict[tuple, tuple[int, int]] = {}
+        for r in sizes:
+            key = tuple(r[n] for n in names)
+            most[key] = max(most.get(key, (0, 0)), (r["count"], -r["_w"]))
+        if len(sizes) > 4 * MOST_GROUPS or len(most) > MOST_GROUPS:
+            raise ValueError(f"more than {MOST_GROUPS} groups to fit")
+        self.keys = sorted(most, key=repr)
+        #: Features of each group: the length that most of its rows have.
+        self.widths = [-most[k][1] for k in self.keys]
+        kinds = [T.StructField(f"_i{i}", f.dataType) for i, f in enumerate(df.select(*by).schema)] if by else []
+        ids = spark.createDataFrame([(*k, i, w) for i, (k, w) in enumerate(zip(self.keys, self.widths, strict=True))], T.StructType([*kinds, T.StructField("_g", T.IntegerType()), T.StructField("_n", T.IntegerType())]))
+        on = F.size("_x") == F.col("_n")
+        for i, n in enumerate(names):
+            on &= F.col(n).eqNullSafe(F.col(f"_i{i}"))
+        self.rows = self.base.join(F.broadcast(ids), on).select("_g", "_x", "_y").persist()
+
+    def release(self) -> None:
+        self.rows.unpersist()
+        self.base.unpersist()
 
     def sums(self, kernel: Kernel, states: list) -> dict[int, np.ndarray]:
         """Sum of ``kernel(x, y, states[group])`` over the rows of each group."""
@@ -69,12 +79,25 @@ class Groups:
                 for g, part in b.groupby("_g"):
                     v = kernel(np.stack(part["_x"].to_numpy()).astype(float), part["_y"].to_numpy(float), states[g])
                     found[g] = found[g] + v if g in found else v
+            task = TaskContext.get().partitionId()
             for g, v in found.items():
-                yield pd.DataFrame({"_g": [g], "v": [v]})
+                yield pd.DataFrame({"_g": [g], "_t": [task], "v": [v]})
 
-        partial = self.rows.mapInPandas(run, "_g int, v array<double>")
-        total = partial.select("_g", F.posexplode("v").alias("p", "v")).groupBy("_g", "p").agg(F.sum("v").alias("v")).toPandas()
-        return {int(g): t.sort_values("p")["v"].to_numpy() for g, t in total.groupby("_g")}
+        def add(t: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"_g": t["_g"].iloc[:1], "_t": t["_t"].iloc[:1], "v": [np.sum(np.stack(t["v"].to_numpy()), axis=0)]})
+
+        kinds = "_g int, _t int, v array<double>"
+        if self.tasks is None:
+            self.tasks = self.rows.rdd.getNumPartitions()
+        partial, tasks = self.rows.mapInPandas(run, kinds), self.tasks
+        while tasks > FAN:  # whole arrays are added, over FAN tasks at a time
+            tasks = -(-tasks // FAN)
+            partial = partial.withColumn("_t", F.floor(F.col("_t") / FAN).cast("int")).groupBy("_g", "_t").applyInPandas(add, kinds)
+        found: dict[int, np.ndarray] = {}
+        for r in partial.select("_g", "v").collect():  # at most FAN rows for each group
+            v = np.array(r.v)
+            found[r._g] = found[r._g] + v if r._g in found else v
+        return found
 
 
 def moments(x: np.ndarray, y: np.ndarray, _: object) -> np.ndarray:
@@ -100,22 +123,21 @@ def fit_logistic(df: DataFrame, by: list[str], features: str = "x", y: str = "y"
     population deviation (1 where constant). Groups of one class are left out.
     """
     g = Groups(df, by, features, y)
-    d = g.width
-    g.rows = g.rows.persist()
     try:
-        first = g.sums(moments, [None] * len(g.keys)) if d else {}
+        first = g.sums(moments, [None] * len(g.keys)) if g.keys else {}
         state: dict[int, tuple] = {}
         for i, s in first.items():
-            n, pos = s[0], s[1]
+            n, pos, d = s[0], s[1], g.widths[i]
             if 0 < pos < n:
                 mean = s[2 : 2 + d] / n
                 sd = np.sqrt(np.maximum(s[2 + d :] / n - mean**2, 0))
                 sd = np.where(sd > 1e-12 * np.maximum(1, np.abs(mean)), sd, 1.0)
                 heavy = (n / (2 * (n - pos)), n / (2 * pos)) if balanced else (1.0, 1.0)
                 state[i] = (mean, sd, heavy) if scale else (np.zeros(d), np.ones(d), heavy)
-        weights = newton(g, state, c, steps, tolerance) if d <= MOST_SQUARE else descend(g, state, c, max(steps, 100), tolerance)
+        square = max(g.widths, default=0) <= MOST_SQUARE and sum((d + 1) ** 2 for d in g.widths) <= MOST_HELD
+        weights = newton(g, state, c, steps, tolerance) if square else descend(g, state, c, max(steps, 100), tolerance)
     finally:
-        g.rows.unpersist()
+        g.release()
     rows = [(*g.keys[i], int(first[i][0]), int(first[i][1]), state[i][0].tolist(), state[i][1].tolist(), w[:-1].tolist(), float(w[-1])) for i, w in weights.items()]
     return local(df, by, rows, "n long, n_pos long, mu array<double>, sigma array<double>, weights array<double>, bias double")
 
@@ -128,9 +150,8 @@ def local(df: DataFrame, by: list[str], rows: list[tuple], more: str) -> DataFra
 
 def newton(g: Groups, state: dict, c: float, steps: int, tolerance: float) -> dict[int, np.ndarray]:
     """Newton steps, halved where the loss rises; all groups in the same passes."""
-    d = g.width
-    free = np.append(np.ones(d), 0.0)
-    w = {i: np.zeros(d + 1) for i in state}
+    free = {i: np.append(np.ones(g.widths[i]), 0.0) for i in state}
+    w = {i: np.zeros(g.widths[i] + 1) for i in state}
     best = {i: (np.inf, None, None) for i in state}
     open_ = set(state)
     for _ in range(steps):
@@ -139,8 +160,8 @@ def newton(g: Groups, state: dict, c: float, steps: int, tolerance: float) -> di
         now = [(state[i][0], state[i][1], w[i], state[i][2]) if i in open_ else None for i in range(len(g.keys))]
         sums = g.sums(lambda x, y, s: logistic_sums(x, y, s) if s is not None else np.zeros(1), now)
         for i in list(open_):
-            s = sums[i]
-            loss = c * s[0] + 0.5 * (free * w[i]) @ w[i]
+            s, d = sums[i], g.widths[i]
+            loss = c * s[0] + 0.5 * (free[i] * w[i]) @ w[i]
             if loss > best[i][0] + 1e-12 * abs(loss):
                 step = best[i][2] / 2
                 best[i] = (best[i][0], best[i][1], step)
@@ -149,8 +170,8 @@ def newton(g: Groups, state: dict, c: float, steps: int, tolerance: float) -> di
                     w[i] = best[i][1]
                     open_.discard(i)
                 continue
-            grad = c * s[1 : d + 2] + free * w[i]
-            h = c * s[d + 2 :].reshape(d + 1, d + 1) + np.diag(free + 1e-12)
+            grad = c * s[1 : d + 2] + free[i] * w[i]
+            h = c * s[d + 2 :].reshape(d + 1, d + 1) + np.diag(free[i] + 1e-12)
             step = -np.linalg.solve(h, grad)
             best[i] = (loss, w[i].copy(), step)
             if np.abs(step).max() < tolerance:
@@ -162,9 +183,8 @@ def newton(g: Groups, state: dict, c: float, steps: int, tolerance: float) -> di
 
 def descend(g: Groups, state: dict, c: float, steps: int, tolerance: float, memory: int = 10) -> dict[int, np.ndarray]:
     """Limited-memory quasi-Newton steps for wide features; only gradients are summed."""
-    d = g.width
-    free = np.append(np.ones(d), 0.0)
-    w = {i: np.zeros(d + 1) for i in state}
+    free = {i: np.append(np.ones(g.widths[i]), 0.0) for i in state}
+    w = {i: np.zeros(g.widths[i] + 1) for i in state}
     best: dict[int, tuple] = {}
     past: dict[int, list] = {i: [] for i in state}
     open_ = set(state)
@@ -174,7 +194,7 @@ def descend(g: Groups, state: dict, c: float, steps: int, tolerance: float, memo
         now = [(state[i][0], state[i][1], w[i], state[i][2]) if i in open_ else None for i in range(len(g.keys))]
         sums = g.sums(lambda x, y, s: logistic_sums(x, y, s, False) if s is not None else np.zeros(1), now)
         for i in list(open_):
-            loss, grad = c * sums[i][0] + 0.5 * (free * w[i]) @ w[i], c * sums[i][1:] + free * w[i]
+            loss, grad = c * sums[i][0] + 0.5 * (free[i] * w[i]) @ w[i], c * sums[i][1:] + free[i] * w[i]
             if i in best:
                 was, at, slope, step = best[i]
                 if loss > was + 1e-4 * (slope @ step):
@@ -243,14 +263,13 @@ def cross_validate(df: DataFrame, by: list[str], key: str, features: str = "x",
 
 def select_config(df: DataFrame, by: list[str], key: str, configs: list[tuple[str, Column]], y: str = "y", **fit) -> DataFrame:
     """The configuration of best cross-validated AUROC, the earlier of equals: by, config, ord, auroc."""
-    long = [df.select(*by, key, y, F.lit(name).alias("config"), F.lit(i).alias("ord"), x.alias("x")) for i, (name, x) in enumerate(configs)]
-    got = []
-    for part in long:  # widths differ between configurations, so each is a fit of its own
-        got.append(cross_validate(part, [*by, "config", "ord"], key, "x", y, **fit))
-    every = got[0]
-    for part in got[1:]:
-        every = every.unionByName(part)
-    return rel.argmax(every, by, "auroc", "ord", ["config", "ord", "auroc"])
+    from verisieve.operators.detectors import combinations
+
+    names = [name for name, _ in configs]
+    long = combinations(df.select(*dict.fromkeys([*by, key, y]), *[x.alias(f"_x{i}") for i, (_, x) in enumerate(configs)]), {n: F.col(f"_x{i}") for i, n in enumerate(names)}, {n: (n,) for n in names})
+    got = cross_validate(long.select(*by, key, y, F.col("combo").alias("config"), "x"), [*by, "config"], key, "x", y, **fit)
+    ordered = got.withColumn("ord", F.array_position(F.array(*map(F.lit, names)), F.col("config")).cast("int") - 1)
+    return rel.argmax(ordered, by, "auroc", "ord", ["config", "ord", "auroc"])
 
 
 def fit_pca(df: DataFrame, by: list[str], dim: int = 100, features: str = "x", extra: int = 10, rounds: int = 4, seed: int = 42) -> DataFrame:
@@ -260,22 +279,21 @@ def fit_pca(df: DataFrame, by: list[str], dim: int = 100, features: str = "x", e
     features x (dim + extra) array for each task and group.
     """
     g = Groups(df, by, features, None)
-    d = g.width
-    g.rows = g.rows.persist()
     try:
-        first = g.sums(moments, [None] * len(g.keys)) if d else {}
-        k = {i: min(d, dim, max(1, int(s[0]) - 1)) for i, s in first.items()}
-        mean = {i: s[2 : 2 + d] / s[0] for i, s in first.items()}
+        first = g.sums(moments, [None] * len(g.keys)) if g.keys else {}
+        d = g.widths
+        k = {i: min(d[i], dim, max(1, int(s[0]) - 1)) for i, s in first.items()}
+        mean = {i: s[2 : 2 + d[i]] / s[0] for i, s in first.items()}
         draw = np.random.default_rng(seed)
-        q = {i: np.linalg.qr(draw.standard_normal((d, min(d, k[i] + extra))))[0] for i in first}
+        q = {i: np.linalg.qr(draw.standard_normal((d[i], min(d[i], k[i] + extra))))[0] for i in first}
         for _ in range(rounds):
             now = [(mean[i], q[i]) if i in first else None for i in range(len(g.keys))]
             z = g.sums(lambda x, y, s: ((x - s[0]).T @ ((x - s[0]) @ s[1])).ravel(), now)
-            q = {i: np.linalg.qr(v.reshape(d, -1))[0] for i, v in z.items()}
+            q = {i: np.linalg.qr(v.reshape(d[i], -1))[0] for i, v in z.items()}
         now = [(mean[i], q[i]) if i in first else None for i in range(len(g.keys))]
         small = g.sums(lambda x, y, s: (((x - s[0]) @ s[1]).T @ ((x - s[0]) @ s[1])).ravel(), now)
     finally:
-        g.rows.unpersist()
+        g.release()
     rows = []
     for i, v in small.items():
         m = v.reshape(q[i].shape[1], -1)

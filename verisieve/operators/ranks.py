@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisieve.operators.running import group_totals, running
+from verisieve.operators.running import running
 
 
 def scored(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
@@ -88,7 +88,7 @@ def mann_whitney(df: DataFrame, by: list[str], score: str = "score", y: str = "y
 
 def benjamini_hochberg(df: DataFrame, by: list[str], p: str, tie: str) -> DataFrame:
     """Column q: false-discovery-adjusted p."""
-    ranked = group_totals(running(df.withColumn("_1", F.lit(1)), by, [p, tie], {"_k": "_1"}), by, {"_m": "_1"})
+    ranked = running(df.withColumn("_1", F.lit(1)), by, [p, tie], {"_k": "_1"}, wholes={"_m": "_1"})
     ranked = running(ranked.withColumn("_q", F.col(p) * F.col("_m") / F.col("_k")), by, [p, tie], mins={"q": "_q"}, reverse=True)
     return ranked.withColumn("q", F.least(F.lit(1.0), "q")).drop("_1", "_k", "_m", "_q")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verisieve.operators.running import group_totals, running
+from verisieve.operators.running import running
 
 
 def first_by(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
@@ -26,20 +26,21 @@ def seeded(*parts: Column | str) -> Column:
 
 
 def _seeded_ranks(df: DataFrame, strata: list[str], key: str, seed: str) -> DataFrame:
-    """``df`` with _rank (from 1) in seeded order within each stratum."""
+    """``df`` with _rank (from 1) in seeded order within each stratum, and the stratum's _size."""
     rows = df.withColumn("_md5", seeded(F.lit(seed), F.col(key))).withColumn("_1", F.lit(1))
-    return running(rows, strata, ["_md5", key], {"_rank": "_1"})
+    cut = F.conv(F.substring("_md5", 1, 2), 16, 10).cast("int")  # md5 is even: 256 ranges
+    return running(rows, strata, ["_md5", key], {"_rank": "_1"}, wholes={"_size": "_1"}, ranges=cut).drop("_md5", "_1")
 
 
 def stratified_split(df: DataFrame, strata: list[str], key: str, share: float, seed: str) -> DataFrame:
     """Column is_test: half-even ``share`` of each stratum, in seeded order."""
-    ranked = group_totals(_seeded_ranks(df, strata, key, seed), strata, {"_size": "_1"})
-    return ranked.withColumn("is_test", F.col("_rank") <= F.bround(F.lit(share) * F.col("_size"))).drop("_md5", "_1", "_rank", "_size")
+    ranked = _seeded_ranks(df, strata, key, seed)
+    return ranked.withColumn("is_test", F.col("_rank") <= F.bround(F.lit(share) * F.col("_size"))).drop("_rank", "_size")
 
 
 def stratified_folds(df: DataFrame, strata: list[str], key: str, folds: int, seed: str) -> DataFrame:
     ranked = _seeded_ranks(df, strata, key, seed)
-    return ranked.withColumn("fold", ((F.col("_rank") - 1) % folds).cast("int")).drop("_md5", "_1", "_rank")
+    return ranked.withColumn("fold", ((F.col("_rank") - 1) % folds).cast("int")).drop("_rank", "_size")
 
 
 def balanced_sample(df: DataFrame, category: str, key: str, wanted: int, n_categories: int, seed: str) -> DataFrame:

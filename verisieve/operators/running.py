@@ -16,39 +16,41 @@ def same(left: list[str], right: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right, strict=True)], F.lit(True))
 
 
-def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, str] | None = None, mins: dict[str, str] | None = None, reverse: bool = False, parts: int = PARTS) -> DataFrame:
-    """``df`` with inclusive running sums and minima (new column: column) in the order of ``order``.
+def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, str] | None = None, mins: dict[str, str] | None = None, wholes: dict[str, str] | None = None, reverse: bool = False, ranges: Column | None = None, parts: int = PARTS) -> DataFrame:
+    """``df`` with inclusive running sums and minima (new column: column) in the order of ``order``,
+    and ``wholes``, sums over the whole group.
 
     Up to ``parts`` sampled keys of a group, the smallest hash of each hash class, cut it
     into ranges, which is the same in every evaluation. A task orders one range; what comes
-    before it is added from the ranges' totals. ``reverse`` runs from the largest key.
+    before it is added from the ranges' totals. ``reverse`` runs from the largest key. ``ranges``
+    gives a range's number, rising with the keys, where they tell it themselves.
     Keys should be distinct in a group; rows of equal keys are ordered at random.
     """
-    sums, mins = sums or {}, mins or {}
-    key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    h = F.xxhash64(*[F.col(c) for c in order], F.lit(11))
+    sums, mins, wholes = sums or {}, mins or {}, wholes or {}
     names = [f"_by{i}" for i in range(len(by))]
-    keyed = df.select(*[F.col(b).alias(n) for b, n in zip(by, names, strict=True)], key.alias("_key"), h.alias("_h"))
-    picked = keyed.groupBy(*names, F.pmod("_h", F.lit(parts)).alias("_class")).agg(F.min_by("_key", "_h").alias("_key"))
-    cuts = picked.groupBy(*names).agg(F.sort_array(F.collect_list("_key")).alias("_cuts"))
-    rows = df.join(cuts if by else F.broadcast(cuts), same(by, names)).drop(*names)
-    rows = rows.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < key))).drop("_cuts")
-    totals = rows.groupBy(*[F.col(b).alias(n) for b, n in zip(by, names, strict=True)], F.col("_range").alias("_at")).agg(
-        *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums.values())], *[F.min(c).alias(f"_m{i}") for i, c in enumerate(mins.values())]
+    groups = [F.col(b).alias(n) for b, n in zip(by, names, strict=True)]
+    if ranges is not None:
+        rows = df.withColumn("_range", ranges)
+    else:
+        key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+        h = F.xxhash64(*[F.col(c) for c in order], F.lit(11))
+        picked = df.select(*groups, key.alias("_key"), h.alias("_h")).groupBy(*names, F.pmod("_h", F.lit(parts)).alias("_class")).agg(F.min_by("_key", "_h").alias("_key"))
+        cuts = picked.groupBy(*names).agg(F.sort_array(F.collect_list("_key")).alias("_cuts"))
+        rows = df.join(cuts if by else F.broadcast(cuts), same(by, names)).drop(*names)
+        rows = rows.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < key))).drop("_cuts")
+    totals = rows.groupBy(*groups, F.col("_range").alias("_at")).agg(
+        *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums.values())],
+        *[F.min(c).alias(f"_m{i}") for i, c in enumerate(mins.values())],
+        *[F.sum(c).alias(f"_w{i}") for i, c in enumerate(wholes.values())],
     )
-    # at most parts + 1 rows of a group
+    # a group has a row for each range
     over = Window.partitionBy(*names).orderBy(F.desc("_at") if reverse else F.col("_at")).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*names, "_at", *[F.sum(f"_s{i}").over(over).alias(f"_s{i}") for i in range(len(sums))], *[F.min(f"_m{i}").over(over).alias(f"_m{i}") for i in range(len(mins))])
+    group = Window.partitionBy(*names)
+    before = totals.select(*names, "_at", *[F.sum(f"_s{i}").over(over).alias(f"_s{i}") for i in range(len(sums))], *[F.min(f"_m{i}").over(over).alias(f"_m{i}") for i in range(len(mins))], *[F.sum(f"_w{i}").over(group).alias(f"_w{i}") for i in range(len(wholes))])
     met = rows.join(before, same([*by, "_range"], [*names, "_at"]))
     turn = [F.desc(c) if reverse else F.col(c) for c in order]
     inside = Window.partitionBy(*by, "_range").orderBy(*turn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     new = {n: F.coalesce(F.col(f"_s{i}"), F.lit(0)) + F.sum(c).over(inside) for i, (n, c) in enumerate(sums.items())}
     new |= {n: F.least(F.col(f"_m{i}"), F.min(c).over(inside)) for i, (n, c) in enumerate(mins.items())}
+    new |= {n: F.col(f"_w{i}") for i, n in enumerate(wholes)}
     return met.withColumns(new).select(*df.columns, *new)
-
-
-def group_totals(df: DataFrame, by: list[str], sums: dict[str, str]) -> DataFrame:
-    """``df`` with sums over the whole group (new column: column)."""
-    names = [f"_by{i}" for i in range(len(by))]
-    whole = df.groupBy(*[F.col(b).alias(n) for b, n in zip(by, names, strict=True)]).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    return df.join(whole if by else F.broadcast(whole), same(by, names)).drop(*names)

@@ -1 +1,3 @@
 """Plans of the engine."""
+
+from verisieve.plans import catalogue  # noqa: F401  (fills the registry)

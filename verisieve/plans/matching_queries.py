@@ -3,44 +3,59 @@
 from pyspark.sql import functions as F
 
 from verisieve.functions import text as T
+from verisieve.operators import boundary, matching
 from verisieve.operators import relational as rel
 from verisieve.plans.registry import query
 from verisieve.sources.tables import table
 
 
-@query("coalescing_lookup_all_layers", """WITH a AS (SELECT l_orderkey AS id, l_linenumber AS layer, l_quantity AS v FROM lineitem WHERE l_linestatus = 'F'), b AS (SELECT l_orderkey AS id, l_linenumber AS layer, l_quantity + 100 AS v FROM lineitem WHERE l_returnflag = 'N'),
+@query("coalescing_lookup_all_layers", """WITH a AS (SELECT l_orderkey AS id, l_linenumber AS layer, min(l_quantity) AS v FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2), b AS (SELECT l_orderkey AS id, l_linenumber AS layer, min(l_quantity) + 100 AS v FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1, 2),
 need AS (SELECT o_orderkey AS id, unnest([1, 2]) AS layer FROM orders), j AS (SELECT need.id, coalesce(a.v, b.v) AS v FROM need LEFT JOIN a USING (id, layer) LEFT JOIN b USING (id, layer))
 SELECT id, avg(v) AS mean FROM j GROUP BY id HAVING count(v) = 2""")
 def coalescing_lookup_all_layers(spark, root):
-    rows = table(spark, root, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("layer"), "l_quantity", "l_linestatus", "l_returnflag")
-    a = rows.where("l_linestatus = 'F'").select("id", "layer", F.col("l_quantity").alias("va"))
-    b = rows.where("l_returnflag = 'N'").select("id", "layer", (F.col("l_quantity") + 100).alias("vb"))
+    rows = table(spark, root, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("layer"), F.col("l_quantity").alias("v"), "l_linestatus", "l_returnflag")
     need = table(spark, root, "orders").select(F.col("o_orderkey").alias("id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("layer"))
-    got = need.join(a, ["id", "layer"], "left").join(b, ["id", "layer"], "left").withColumn("v", F.coalesce("va", "vb"))
-    return got.groupBy("id").agg(F.avg("v").alias("mean"), F.count("v").alias("_n")).where("_n = 2").drop("_n")
+    got = boundary.recover(rows.where("l_linestatus = 'F'"), rows.where("l_returnflag = 'N'").withColumn("v", F.col("v") + 100), need, ["id"], "layer", "v")
+    return got.groupBy("id").agg(F.avg("v").alias("mean"))
 
 
-@query("greedy_match_cascade", """WITH c AS (SELECT o_orderkey AS id, o_orderpriority AS greedy, l_linenumber AS pos, l_extendedprice AS s, CASE WHEN l_linenumber = 1 THEN upper(o_orderpriority) WHEN l_linenumber = 2 AND o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'x' || l_linenumber END AS cand FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
-r AS (SELECT *, CASE WHEN cand = greedy THEN 0 WHEN lower(trim(cand)) = lower(trim(greedy)) THEN 1 ELSE 4 END AS rule FROM c)
-SELECT id, pos, CASE rule WHEN 0 THEN 'exact' WHEN 1 THEN 'loose' ELSE 'hardest' END AS kind FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY rule, CASE WHEN rule = 4 THEN -s ELSE 0 END, pos) = 1""")
+LINES = """line AS (SELECT l_orderkey AS id, l_linenumber AS pos, max(l_extendedprice) AS s FROM lineitem GROUP BY 1, 2),
+c AS (SELECT id, pos, s, lower(o_orderpriority) AS greedy, id % 2 = 0 AS correct, pos <> 3 AS in_pool, pos % 3 = 1 AS alias, (id + pos) % 7 > 0 AS cached,
+  CASE WHEN pos = 1 AND id % 5 < 2 THEN ' ' || o_orderpriority WHEN pos = 2 AND id % 5 = 2 THEN '"' || o_orderpriority || '"' WHEN pos = 3 AND id % 5 = 3 THEN lower(o_orderpriority) ELSE 'x' || pos END AS candidate FROM line JOIN orders ON o_orderkey = id),
+r AS (SELECT *, CASE WHEN in_pool AND lower(trim(candidate)) = greedy THEN 0 WHEN in_pool AND lower(trim(candidate, ' "')) = greedy THEN 1 WHEN cached AND candidate = greedy THEN 2 WHEN correct AND alias THEN 3 WHEN NOT correct AND NOT alias THEN 4 END AS rule FROM c),
+g AS (SELECT id, candidate, s, cached, CASE rule WHEN 1 THEN 'loose' WHEN 3 THEN 'gt_fallback' WHEN 4 THEN 'hardest_distractor_fallback' ELSE 'exact' END AS kind FROM r WHERE rule IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY rule, CASE WHEN rule > 2 THEN -s ELSE 0 END, pos) = 1)"""
+
+
+def candidates(spark, root):
+    line = table(spark, root, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pos")).agg(F.max("l_extendedprice").alias("s"))
+    said, at, k = F.col("o_orderpriority"), F.col("pos"), F.col("id") % 5
+    own = F.when((at == 1) & (k < 2), F.concat(F.lit(" "), said)).when((at == 2) & (k == 2), F.concat(F.lit('"'), said, F.lit('"'))).when((at == 3) & (k == 3), F.lower(said)).otherwise(F.concat(F.lit("x"), at.cast("string")))
+    rows = line.join(table(spark, root, "orders"), F.col("o_orderkey") == F.col("id"))
+    return rows.select("id", "pos", "s", F.lower(said).alias("greedy"), (F.col("id") % 2 == 0).alias("correct"), (at != 3).alias("in_pool"), (at % 3 == 1).alias("alias"), ((F.col("id") + at) % 7 > 0).alias("cached"), own.alias("candidate"))
+
+
+@query("greedy_match_cascade", f"WITH {LINES} SELECT id, candidate, cached, kind FROM g")
 def greedy_match_cascade(spark, root):
-    line = table(spark, root, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pos"), F.col("l_extendedprice").alias("s"))
-    c = table(spark, root, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("greedy")).join(line, "id")
-    c = c.withColumn("cand", F.when(F.col("pos") == 1, F.upper("greedy")).when((F.col("pos") == 2) & (F.col("id") % 2 == 0), F.col("greedy")).otherwise(F.concat(F.lit("x"), F.col("pos").cast("string"))))
-    rule = F.when(F.col("cand") == F.col("greedy"), 0).when(T.norm_loose(F.col("cand")) == T.norm_loose(F.col("greedy")), 1).otherwise(4)
-    order = F.struct(rule, F.when(rule == 4, -F.col("s")).otherwise(0.0), F.col("pos"))
-    kind = F.when(rule == 0, "exact").when(rule == 1, "loose").otherwise("hardest")
-    return c.groupBy("id").agg(F.min_by(F.struct("pos", kind.alias("kind")), order).alias("b")).select("id", "b.*")
-
-
-@query("paired_examples", """WITH p AS (SELECT l_orderkey AS id, l_linenumber AS pos, l_extendedprice AS s, l_returnflag = 'A' AS good FROM lineitem),
-g AS (SELECT id, pos FROM p WHERE good QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, pos) = 1), b AS (SELECT id, pos FROM p WHERE NOT good QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, pos) = 1)
-SELECT id, g.pos, 0 AS y FROM g JOIN b USING (id) UNION ALL SELECT id, b.pos, 1 FROM g JOIN b USING (id)""")
+    return matching.match_greedy(candidates(spark, root)).select("id", "candidate", "cached", "kind")
+
+
+@query("paired_examples", f"""WITH {LINES}, a AS (SELECT * FROM c WHERE alias QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, pos) = 1), h AS (SELECT * FROM c WHERE NOT alias QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, pos) = 1),
+d AS (SELECT * FROM c WHERE NOT correct AND cached AND candidate = greedy QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1),
+b AS (SELECT id, coalesce(d.candidate, h.candidate) AS candidate, CASE WHEN d.id IS NULL THEN h.s ELSE d.s END AS s, CASE WHEN d.id IS NULL THEN h.cached ELSE d.cached END AS cached FROM h FULL JOIN d USING (id)),
+ok AS (SELECT a.id, a.correct FROM a JOIN b USING (id) WHERE a.cached AND b.cached)
+SELECT 'pair' AS part, id, candidate, s, NULL AS kind, 0 AS y FROM a JOIN ok USING (id) UNION ALL SELECT 'pair', id, candidate, s, NULL, 1 FROM b JOIN ok USING (id)
+UNION ALL SELECT 'greedy', id, candidate, s, kind, CASE WHEN ok.correct THEN 0 ELSE 1 END FROM g JOIN ok USING (id) WHERE g.cached""")
 def paired_examples(spark, root):
-    p = table(spark, root, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pos"), F.col("l_extendedprice").alias("s"), (F.col("l_returnflag") == "A").alias("good"))
-    best = rel.argmax(p, ["id", "good"], "s", "pos", ["pos"])
-    both = best.groupBy("id").agg(F.max(F.when(F.col("good"), F.col("pos"))).alias("g"), F.max(F.when(~F.col("good"), F.col("pos"))).alias("b")).where("g IS NOT NULL AND b IS NOT NULL")
-    return both.select("id", F.inline(F.array(F.struct(F.col("g").alias("pos"), F.lit(0).alias("y")), F.struct(F.col("b").alias("pos"), F.lit(1).alias("y")))))
+    return matching.labelled_examples(candidates(spark, root)).select("part", "id", "candidate", "s", "kind", "y")
+
+
+@query("layer_states", """WITH l AS (SELECT l_orderkey AS id, l_linenumber AS layer, max(l_quantity) AS v FROM lineitem GROUP BY 1, 2) SELECT id, list(v ORDER BY layer) AS states FROM l WHERE layer IN (1, 3) AND id % 2 = 0 GROUP BY id HAVING count(*) = 2""")
+def layer_states(spark, root):
+    """Keys with the vectors of both layers."""
+    rows = table(spark, root, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("layer")).agg(F.max("l_quantity").alias("v"))
+    keys = table(spark, root, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"))
+    got = matching.layer_states(keys, rows.select("id", "layer", F.array("v").alias("vector")), [1, 3], ["id"])
+    return got.select("id", F.flatten("states").alias("states"))
 
 
 @query("totals_row", "SELECT coalesce(c_mktsegment, 'MEAN') AS segment, round(avg(o_totalprice), 4) AS mean, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ROLLUP (c_mktsegment)")

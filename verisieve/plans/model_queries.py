@@ -7,7 +7,7 @@ vec_id mod 2, the band is HI where the first component is positive.
 from pyspark.sql import functions as F
 
 from verisieve.functions import arrays as A
-from verisieve.operators import features, models, ranks
+from verisieve.operators import detectors, features, models, ranks
 from verisieve.operators import generations as gen
 from verisieve.operators import relational as rel
 from verisieve.plans.registry import query
@@ -66,12 +66,8 @@ def lr_feature_combos(spark, root):
     blocks = {"attention": F.slice("e", 1, 16), "laplacian": F.slice("e", 17, 16), "hidden": F.slice("e", 33, 32), "sink": A.top_values(F.slice("e", 1, 32), 5), "score": F.array(A.log_mean(F.transform("e", F.abs)))}
     combos = (("attention",), ("laplacian",), ("attention", "hidden"), ("laplacian", "hidden"), ("sink",), ("sink", "hidden"), ("score", "hidden"))
     train, test = cut(examples(spark, root))
-    out = None
-    for parts in combos:
-        x = F.concat(*[blocks[p] for p in parts])
-        one = models.fit_score(train.withColumn("x", x), test.withColumn("x", x), ["pair"]).select("pair", F.lit("+".join(parts)).alias("combo"), F.round("auroc", 6).alias("auroc"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    named = {"+".join(parts): parts for parts in combos}
+    return detectors.score_combinations(train, test, ["pair"], blocks, named).select("pair", "combo", F.round("auroc", 6).alias("auroc"))
 
 
 @query("lr_out_of_fold")

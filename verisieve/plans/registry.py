@@ -24,6 +24,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return fn
 
     return put
-
-
-from verisieve.plans import catalogue  # noqa: E402,F401  (fills the registry)

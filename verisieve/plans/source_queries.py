@@ -1,9 +1,8 @@
 """Queries that write a table in a text or layered format and read it back through the readers.
 
-They write below spark.checkpoint.dir, or a temporary folder where that is unset.
+They write below spark.checkpoint.dir; without it only a session in one process can run them.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,12 +10,11 @@ from pyspark.sql import functions as F
 from verisieve.operators import relational as rel
 from verisieve.plans.registry import query
 from verisieve.sources import readers, sinks
-from verisieve.sources.tables import table
+from verisieve.sources.tables import shared_folder, table
 
 
 def scratch(spark):
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root.rstrip('/') if root else tempfile.mkdtemp(prefix='verisieve-')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @query("csv_samples", """SELECT CAST(item_id AS VARCHAR) AS id, text AS question, 't' || item_id AS ground_truth, 'it''s ' || item_id AS greedy_prediction, item_id % 2 = 0 AS open_text_label, ['t' || item_id, 'other ' || item_id] AS candidate_pool, item_id / 4.0 AS c_metric FROM benchmark""")

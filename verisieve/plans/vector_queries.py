@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from verisieve.functions import arrays as A
 from verisieve.functions import text as T
+from verisieve.operators import frames
+from verisieve.operators import generations as gen
 from verisieve.operators import relational as rel
 from verisieve.plans.registry import query
 from verisieve.sources.tables import table
@@ -52,16 +54,18 @@ def laplacian_diagonal(spark, root):
 
 @query("layer_stats", f"WITH x AS (SELECT label, unnest({E}) AS v, unnest(range(64)) AS dim FROM embeddings) SELECT label, dim, round(avg(v), 6) AS mu, round(stddev_pop(v) + 1e-6, 6) AS sigma FROM x GROUP BY label, dim")
 def layer_stats(spark, root):
-    x = vectors(spark, root).select("label", F.posexplode("e").alias("dim", "v"))
-    return x.groupBy("label", F.col("dim").cast("long").alias("dim")).agg(F.round(F.avg("v"), 6).alias("mu"), F.round(F.stddev_pop("v") + 1e-6, 6).alias("sigma"))
+    stats = frames.dimension_stats(vectors(spark, root), ["label"], "e")
+    return stats.select("label", F.col("dim").cast("long").alias("dim"), F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"))
 
 
 @query("zscore_bucket_mean", f"""WITH x AS (SELECT vec_id, label, unnest({E}) AS v, unnest(range(64)) AS dim FROM embeddings), s AS (SELECT label, dim, avg(v) AS mu, stddev_pop(v) + 1e-6 AS sd FROM x GROUP BY ALL)
 SELECT vec_id, CAST(dim % 16 AS BIGINT) AS dim, round(avg((v - mu) / sd), 5) AS z FROM x JOIN s USING (label, dim) GROUP BY vec_id, dim % 16""")
 def zscore_bucket_mean(spark, root):
-    x = vectors(spark, root).select("vec_id", "label", F.posexplode("e").alias("dim", "v"))
-    s = x.groupBy("label", "dim").agg(F.avg("v").alias("mu"), (F.stddev_pop("v") + 1e-6).alias("sd"))
-    return x.join(s, ["label", "dim"]).groupBy("vec_id", (F.col("dim") % 16).cast("long").alias("dim")).agg(F.round(F.avg((F.col("v") - F.col("mu")) / F.col("sd")), 5).alias("z"))
+    stats = frames.stat_arrays(frames.dimension_stats(vectors(spark, root), ["label"], "e"), ["label"])
+    z = vectors(spark, root).join(stats, "label").select("vec_id", A.zscore(F.col("e"), F.col("mu"), F.col("sigma")).alias("z"))
+    pieces = [F.slice("z", i * 16 + 1, 16) for i in range(4)]
+    mean = F.transform(A.add(A.add(pieces[0], pieces[1]), A.add(pieces[2], pieces[3])), lambda v: v / 4)
+    return z.select("vec_id", F.posexplode(mean).alias("dim", "z")).select("vec_id", F.col("dim").cast("long").alias("dim"), F.round("z", 5).alias("z"))
 
 
 @query("text_normalise", r"""SELECT item_id, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS plain, replace(text, '"', '''') AS quoted FROM benchmark""")
@@ -125,16 +129,13 @@ def distractor_statistics(spark, root):
     )
 
 
-SIM = """turns AS (SELECT conv_id, turn, list_distinct(string_split(lower(text), ' ')) AS w FROM conversations), pairs AS (SELECT a.conv_id, a.turn AS i, b.turn AS j, len(list_intersect(a.w, b.w)) / CAST(len(list_distinct(list_concat(a.w, b.w))) AS DOUBLE) AS sim FROM turns a JOIN turns b USING (conv_id))"""
+SIM = """turns AS (SELECT conv_id, turn, list_distinct(string_split(lower(text), ' ')) AS w FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 10), pairs AS (SELECT a.conv_id, a.turn AS i, b.turn AS j, len(list_intersect(a.w, b.w)) / CAST(len(list_distinct(list_concat(a.w, b.w))) AS DOUBLE) AS sim FROM turns a JOIN turns b USING (conv_id))"""
 
 
 @query("uncertainty_measures", f"""WITH {SIM}, r AS (SELECT conv_id, i, avg(sim) FILTER (i <> j) AS others, ln(sum(exp(sim))) AS lse, sum(sim) AS total FROM pairs GROUP BY ALL)
 SELECT conv_id, round(1 - avg(others), 6) AS luq, round(1 - sum(total) / (count(*) * count(*)), 6) AS degree, round(-avg(lse), 6) AS snne FROM r GROUP BY conv_id""")
 def uncertainty_measures(spark, root):
     turns = table(spark, root, "conversations").select("conv_id", "turn", F.array_distinct(F.split(F.lower("text"), " ")).alias("w"))
-    both = turns.alias("a").join(turns.alias("b"), "conv_id")
-    sim = F.size(F.array_intersect("a.w", "b.w")) / F.size(F.array_union("a.w", "b.w"))
-    pairs = both.select("conv_id", F.col("a.turn").alias("i"), F.col("b.turn").alias("j"), sim.alias("sim"))
-    rows = pairs.groupBy("conv_id", "i").agg(F.avg(F.when(F.col("i") != F.col("j"), F.col("sim"))).alias("others"), F.log(F.sum(F.exp("sim"))).alias("lse"), F.sum("sim").alias("total"))
-    n = F.count("*")
-    return rows.groupBy("conv_id").agg(*six(("luq", 1 - F.avg("others")), ("degree", 1 - F.sum("total") / (n * n)), ("snne", -F.avg("lse"))))
+    pairs = gen.answer_pairs(gen.first_answers(turns, "conv_id", "turn"), "conv_id", "w")
+    sims = pairs.withColumn("sim", F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")))
+    return gen.weighted_measures(sims, "conv_id", "sim").select("conv_id", *six(*[(c, F.col(c)) for c in ("luq", "degree", "snne")]))

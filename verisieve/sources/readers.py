@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verisieve.functions import arrays as A
 from verisieve.functions import text as X
 from verisieve.operators import generations as gen
 from verisieve.operators import relational as rel
@@ -108,3 +109,13 @@ def lookup(keys: DataFrame, records: DataFrame, key: list[str], order: str, stri
     return got.drop("_hit")
 
 
+def read_candidate_map(spark: SparkSession, path: str) -> DataFrame:
+    """(id, candidate) of a JSON sidecar: lines of objects that have both; of repeated ids the last."""
+    rows = read_jsonl(spark, path, "id string, candidate string").where("id IS NOT NULL AND candidate IS NOT NULL")
+    at = rows.withColumn("_f", F.input_file_name()).withColumn("_n", F.monotonically_increasing_id()) if exists(spark, path) else rows.withColumn("_f", F.lit("")).withColumn("_n", F.lit(0))
+    return rel.first_by(at, ["id"], F.desc("_f"), F.desc("_n")).drop("_f", "_n")
+
+
+def read_bundle(spark: SparkSession, path: str, half: list[str] | None = None, least: int | None = None) -> DataFrame:
+    """``read_layers`` with the columns ``half``, of 16-bit patterns, as floats."""
+    return read_layers(spark, path, least).withColumns({c: A.widened(F.col(c)) for c in half or []})

@@ -32,9 +32,33 @@ def write_layers(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.repartition("model", "dataset", "layer").write.mode(mode).partitionBy("model", "dataset", "layer").parquet(path)
 
 
-def write_model(model: DataFrame, path: str, config: dict[str, str] | None = None, mode: str = "overwrite") -> None:
-    """A coefficient table with its configuration."""
-    model.withColumn("config", F.create_map(*[F.lit(v) for kv in (config or {"": ""}).items() for v in kv])).write.mode(mode).parquet(path)
+def write_split(ids: DataFrame, path: str) -> None:
+    """The ids of column ``id``, in order, as one JSON array; a split's ids are one file by definition."""
+    ids.groupBy().agg(F.to_json(F.array_sort(F.collect_list("id"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_bundle(df: DataFrame, path: str, key: list[str], layer: str = "layer", mode: str = "overwrite") -> None:
+    """A table of tensors (any nesting of arrays, labels beside them) by layer, sorted by key, so that
+    readers skip row groups."""
+    df.repartition(layer).sortWithinPartitions(layer, *key).write.mode(mode).partitionBy(layer).parquet(path)
+
+
+def write_model(model: DataFrame, path: str, config: dict[str, str] | None = None, metrics: DataFrame | None = None, mode: str = "overwrite") -> None:
+    """A coefficient table with its configuration, and beside it the metrics of its evaluation."""
+    model.withColumn("config", F.create_map(*[F.lit(v) for kv in (config or {"": ""}).items() for v in kv])).write.mode(mode).parquet(f"{path}/model")
+    if metrics is not None:
+        metrics.write.mode(mode).json(f"{path}/metrics")
+
+
+def read_model(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/model")
+
+
+def copy_small(df: DataFrame, path: str, wanted: int, sample: callable) -> DataFrame:
+    """A table of at most ``wanted`` rows as it is, a larger one through ``sample``; written and read back."""
+    small = df.limit(wanted + 1).count() <= wanted
+    (df if small else sample(df)).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def complete(spark: SparkSession, path: str) -> bool:
