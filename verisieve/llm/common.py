@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from verisieve.sources.tables import shared_folder
+
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
@@ -18,15 +21,6 @@ def tune(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="verisieve-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def fresh_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores before it until ``df`` has no such column."""
     held = {c.lower() for c in df.columns}
@@ -42,13 +36,29 @@ def stash(df: DataFrame) -> DataFrame:
     working on. ``df.stashed_at`` of the result is the path.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stashed_at = path
+    if _scopes:
+        _scopes[-1].append(back)
     return back
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Collects the tables that are stashed meanwhile, for ``forget`` once nothing reads them."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a stashed table that nothing reads any more."""
     path = getattr(df, "stashed_at", None)

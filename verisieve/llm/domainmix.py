@@ -20,7 +20,8 @@ show to be far more frequent under the label. The fit takes at most ``sample`` l
 features; posteriors, totals and rates cover all documents and whole texts.
 
 Null and empty texts have no tokens: they get the rate of their posteriors and do not count.
-Without labels of both classes a label's posterior is its share (a half without any).
+With labels of one class alone a label's posterior is its share; without any, documents are
+good and not toxic, as nothing is known against them.
 Repeated rows get equal rates and copies; other columns pass through, and columns of the
 result that would clash get an underscore before their names; an empty table gives an empty
 one.
@@ -149,16 +150,16 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample: int = 10_000, sure:
     mean, scale = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(len(NAMES)), np.ones(len(NAMES)))
     z = np.column_stack([np.clip((x - mean) / scale, -6, 6), np.ones(len(x))])
 
-    def fitted(m: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def fitted(m: np.ndarray, y: np.ndarray, unknown: float) -> np.ndarray:
         use = (y == 0) | (y == 1)
         if len(set(y[use])) < 2:
             w = np.zeros(m.shape[1])
-            w[-1] = 0.0 if not use.any() else np.log((y[use].sum() + 0.5) / ((1 - y[use]).sum() + 0.5))
+            w[-1] = unknown if not use.any() else np.log((y[use].sum() + 0.5) / ((1 - y[use]).sum() + 0.5))
             return w
         return newton(m[use], y[use])
 
     t = evidence(*(got.column(c).to_numpy() for c in ("times", "strength", "n")))
-    return DomainModel(mean, scale, fitted(z, quality), marked, strength, fitted(t, toxic))
+    return DomainModel(mean, scale, fitted(z, quality, 30.0), marked, strength, fitted(t, toxic, -30.0))
 
 
 def telling_words(held: DataFrame, sure: float) -> tuple[np.ndarray, np.ndarray]:
