@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from test_models import plain_fit
 
 from verisieve.functions import arrays as A
-from verisieve.operators import boundary, detectors, frames, matching, models
+from verisieve.operators import boundary, detectors, features, frames, matching, models
+from verisieve.operators import relational as rel
 from verisieve.operators import generations as gen
 from verisieve.sources import readers, sinks
 from verisieve.sources.tables import shared_folder
@@ -148,3 +149,29 @@ def test_result_tables(spark):
     assert not frames.pooled_verdict(means, "x", "y", ["t"], ["g"]).first().passed and frames.pooled_verdict(means, "x", "y", ["t"], ["g"], 0.02).first().passed
     with pytest.raises(ValueError):
         frames.grid(spark, ["a"], ["b"], ["a_c"])
+
+
+def test_branches_that_queries_do_not_reach(spark):
+    short = spark.createDataFrame([([3.0, 1.0], [10.0, 20.0])], "a array<double>, b array<double>")
+    assert short.select(A.top_gather(F.col("a"), F.col("b"), 4).alias("x")).first().x == [10.0, 20.0, 20.0, 20.0]
+    pairs = spark.createDataFrame([("m", "d", "mid")], "model string, dataset string, region string")
+    wide = spark.createDataFrame([("m", "mid", [1, 2])], "model string, region string, layers array<int>")
+    none = spark.createDataFrame([], "model string, dataset string, region string, layers array<int>")
+    assert features.bucket_layers(pairs, wide, none, none, "wide").first().layers == [1, 2]
+    with pytest.raises(Exception, match="no layers for m d mid"):
+        features.bucket_layers(pairs, wide, none, none, "narrow").collect()
+    blank = spark.createDataFrame([("a", 3, None), ("a", 4, None)], "g string, layer int, v double")
+    assert features.widest_layer(blank, ["g"], "v", 40).first().layer == 20
+    one = "struct<s_int:map<int,double>,s_ext:map<int,double>,n_tokens:int>"
+    rows = [(1, {15: 0.5}, {3: -1.0}, 4, [({15: 0.2}, {3: -2.0}, 3)]), (2, {5: 0.5}, {3: -1.0}, 4, [({15: 0.2}, {3: -2.0}, 3)]), (3, {15: 0.5}, {}, 4, [({15: 0.2}, {3: -2.0}, 3)]), (4, {15: 0.5}, {3: -1.0}, 4, []), (5, {15: 0.5}, {3: -1.0}, 0, [({15: 0.2}, {3: -2.0}, 3)])]
+    df = spark.createDataFrame(rows, f"id int, s_int map<int,double>, s_ext map<int,double>, n_tokens int, distractors array<{one}>")
+    assert [r.id for r in features.detector_features(df, 15, 5, ["id"]).collect()] == [1]
+
+
+def test_validation(spark):
+    a = spark.createDataFrame([("x", 1.0), ("y", None)], "k string, v double")
+    rel.require_valid(rel.compare_tables(a, a, ["k"], "v"))
+    b = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "k string, v double")
+    with pytest.raises(ValueError, match="differ"):
+        rel.require_valid(rel.compare_tables(a, b, ["k"], "v"))
+    assert rel.validation(rel.compare_tables(a, b, ["k"], "v")).first().asDict() == {"n": 2, "differing": 1, "passed": False}

@@ -27,7 +27,7 @@ def first_answers(df: DataFrame, key: str, order: str, most: int = ANSWERS) -> D
     from pyspark.sql.window import Window
 
     rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("i", rank - 1).where(F.col("i") < most)
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= most).withColumn("i", F.col("_rank") - 1).drop("_rank")
 
 
 def answer_pairs(df: DataFrame, key: str, value: str) -> DataFrame:

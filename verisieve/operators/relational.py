@@ -79,3 +79,16 @@ def compare_tables(a: DataFrame, b: DataFrame, key: list[str], value: str, toler
     differs = (x.isNull() != y.isNull()) | F.coalesce(F.abs(x - y) > tolerance, F.lit(False))
     status = F.when(F.col("_r").isNull(), "only_left").when(F.col("_l").isNull(), "only_right").when(differs, "differs").otherwise("same")
     return l.join(r, key, "full_outer").withColumn("status", status).drop("_l", "_r")
+
+
+def validation(compared: DataFrame) -> DataFrame:
+    """n, differing, passed of ``compare_tables``: passed where every row is the same."""
+    bad = F.count_if(F.col("status") != "same")
+    return compared.agg(F.count("*").alias("n"), bad.alias("differing"), (bad == 0).alias("passed"))
+
+
+def require_valid(compared: DataFrame) -> None:
+    """An error that names some of the differing rows, if there are any."""
+    wrong = compared.where("status <> 'same'").limit(10).collect()
+    if wrong:
+        raise ValueError(f"tables differ: {[r.asDict() for r in wrong]}")

@@ -77,3 +77,25 @@ def method_union_priority(spark, root):
     early = part.select(F.col("p_partkey").alias("id"), F.lit("early").alias("source"))
     late = part.where("p_size > 25").select(F.col("p_partkey").alias("id"), F.lit("late").alias("source"))
     return rel.union_by_priority([early, late], ["id"])
+
+
+@query("verdict_fallback", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE value > 50 END AS verdict FROM events")
+def verdict_fallback(spark, root):
+    """A verdict in any spelling, else whether the accuracy is positive."""
+    said = F.when(F.col("event_id") % 3 == 0, " True").when(F.col("event_id") % 3 == 1, "FALSE")
+    return table(spark, root, "events").select("event_id", T.verdict(said, F.col("value") - 50).alias("verdict"))
+
+
+@query("fenced_json", "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events")
+def fenced_json(spark, root):
+    """The object inside code fences and chatter."""
+    kind = F.col("event_id") % 4
+    said = F.when(kind == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(kind == 1, F.concat(F.lit("Sure: "), "props", F.lit(" done"))).when(kind == 2, F.col("props")).otherwise("none")
+    return table(spark, root, "events").select("event_id", F.from_json(T.first_object(said), "k long")["k"].alias("k"))
+
+
+@query("validation_verdict", "SELECT 3::BIGINT AS n, 1::BIGINT AS differing, false AS passed")
+def validation_verdict(spark, root):
+    flags = table(spark, root, "lineitem").groupBy(F.col("l_returnflag").alias("f")).agg(F.avg("l_discount").alias("v"))
+    changed = flags.withColumn("v", F.when(F.col("f") == "A", F.col("v") + 0.01).otherwise(F.col("v") + 1e-5))
+    return rel.validation(rel.compare_tables(flags, changed, ["f"], "v"))

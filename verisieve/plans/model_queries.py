@@ -111,7 +111,13 @@ def spectral_uncertainty(spark, root):
     return out.select("conv_id", *[F.round(c, 5).alias(c) for c in ("sum_eigv", "eccentricity")])
 
 
-@query("semantic_clusters")
+@query("semantic_clusters", """WITH RECURSIVE turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, list_distinct(string_split(lower(coalesce(text, '')), ' ')) AS w FROM conversations WHERE conv_id IS NOT NULL QUALIFY i < 10),
+s AS (SELECT a.conv_id, a.i, b.i AS j FROM turns a JOIN turns b USING (conv_id) WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.1),
+w(conv_id, i, starters, cluster) AS (SELECT conv_id, 0::BIGINT, [0::BIGINT], 0::BIGINT FROM turns WHERE i = 0
+  UNION ALL SELECT t.conv_id, t.i, CASE WHEN f.c IS NULL THEN list_append(w.starters, t.i) ELSE w.starters END, coalesce(f.c, t.i)
+  FROM w JOIN turns t ON t.conv_id = w.conv_id AND t.i = w.i + 1, LATERAL (SELECT min(s.i) AS c FROM s WHERE s.conv_id = t.conv_id AND s.j = t.i AND list_contains(w.starters, s.i)) f),
+z AS (SELECT conv_id, cluster, count(*) AS c FROM w GROUP BY ALL), e AS (SELECT conv_id, round(ln(sum(c)) - sum(c * ln(c)) / sum(c), 6) AS entropy FROM z GROUP BY conv_id)
+SELECT conv_id, CAST(i AS INTEGER) AS i, CAST(cluster AS INTEGER) AS cluster, entropy FROM w JOIN e USING (conv_id)""")
 def semantic_clusters(spark, root):
     pairs = overlap_pairs(spark, root).withColumn("same", F.col("sim") >= 0.1)
     clusters = gen.semantic_clusters(pairs, "conv_id", "same")

@@ -93,3 +93,32 @@ def first_match_lookup(spark, root):
 def report_cells(spark, root):
     rows = table(spark, root, "lineitem").groupBy(F.col("l_returnflag").alias("f")).agg(F.avg("l_discount").alias("v"))
     return rows.unionByName(spark.createDataFrame([("none", float("nan"))], "f string, v double")).select("f", sinks.cell(F.col("v")).alias("cell"))
+
+
+@query("skip_if_complete", "SELECT 'first' AS build, count(*) AS n FROM region UNION ALL SELECT 'again', count(*) FROM nation")
+def skip_if_complete(spark, root):
+    """A complete table is not built again, unless that is asked for."""
+    path = scratch(spark)
+    one, other = (table(spark, root, t).select(F.col(c).alias("k")) for t, c in (("region", "r_regionkey"), ("nation", "n_nationkey")))
+    sinks.materialise(spark, path, lambda: one)
+    n = sinks.materialise(spark, path, lambda: other).count()
+    again = sinks.materialise(spark, path, lambda: other, overwrite=True)
+    return again.agg(F.lit("again").alias("build"), F.count("*").alias("n")).unionByName(spark.createDataFrame([("first", n)], "build string, n long"))
+
+
+@query("model_artifact", "SELECT n_regionkey AS pair, [CAST(min(n_nationkey) AS DOUBLE), CAST(count(*) AS DOUBLE)] AS weights, '0.1' AS c, count(*) AS n FROM nation GROUP BY 1")
+def model_artifact(spark, root):
+    rows = table(spark, root, "nation").groupBy(F.col("n_regionkey").alias("pair")).agg(F.array(F.min("n_nationkey").cast("double"), F.count("*").cast("double")).alias("weights"), F.count("*").alias("n"))
+    path = scratch(spark)
+    sinks.write_model(rows.select("pair", "weights"), path, {"c": "0.1"}, rows.select("pair", "n"))
+    metrics = spark.read.schema("pair int, n long").json(f"{path}/metrics")
+    return sinks.read_model(spark, path).select("pair", "weights", F.col("config")["c"].alias("c")).join(metrics, "pair")
+
+
+@query("last_record_wins", "SELECT CAST(event_id // 2 AS VARCHAR) AS id, max(event_id) AS last FROM events GROUP BY 1")
+def last_record_wins(spark, root):
+    """Of repeated keys the last line stays."""
+    rows = table(spark, root, "events").select((F.floor(F.col("event_id") / 2)).cast("string").alias("id"), F.lit("c").alias("candidate"), F.col("event_id").cast("double").alias("s_ext"))
+    path = scratch(spark)
+    sinks.write_json(rows.coalesce(1).sortWithinPartitions("s_ext"), path)  # the order of the lines is what is read
+    return readers.read_records(spark, path).select("id", F.col("s_ext").cast("long").alias("last"))
