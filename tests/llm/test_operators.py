@@ -217,7 +217,21 @@ def plain_contexts(toks, i, frequent):
     return [int(s) + (n << mixing_lm.DEPTH) for s, n in zip(mixing_lm.STARTS, numbers)], toks[seen[-1]][0] if seen else None
 
 
-def test_score_against_a_plain_mixer(spark):
+def plain_passages(toks):
+    """The runs of token places that the tokens are cut into."""
+    mix = lambda x: int(mixing_lm.mix(np.array([x & (2**64 - 1)], np.uint64))[0])
+    out, run = [], []
+    for i, (h, _) in enumerate(toks):
+        run.append(i)
+        if i + 1 == len(toks) or mix(h + mix(toks[i - 1][0] if i else 0)) >> 61 == 0:
+            out.append(run)
+            run = []
+    return out
+
+
+@pytest.mark.parametrize("top", [1 << 17, 8])  # all words and passages looked up in the task, and most of them by joins
+def test_score_against_a_plain_mixer(spark, monkeypatch, top):
+    monkeypatch.setattr(mixing_lm, "TOP", top)
     texts = [prose(int(n), 50 + i) + " " + " ".join(prose(12, 5).split() * 2) for i, n in enumerate(np.random.default_rng(1).integers(5, 60, 40))] + ["", None, "Ünï cöde ünï cöde"]
     docs = spark.createDataFrame([(i, t, i % 5 == 1) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean").repartition(3)
     model = mixing_lm.fit_mixer(docs.where("not held_out"))
@@ -238,10 +252,16 @@ def test_score_against_a_plain_mixer(spark):
     buckets = collections.Counter()
     for h, k in c.items():
         buckets[h >> 64 - depth] += k + 0.5
+    text_of = lambda toks, run: tuple(toks[i][0] for i in run)
+    memory = collections.Counter(text_of(toks, run) for toks in train for run in plain_passages(toks) if len(run) >= mixing_lm.LEAST)
+    whole = sum(memory.values())
+    share = (sum(k for k in memory.values() if k > 1) + 1) / (whole + 100)
+    assert model.passages == whole and abs(model.from_memory - share) < 1e-12 and share > 0.05
+    listed = set(model.top[0].tolist())
     got = {r.doc_id: r for r in mixing_lm.score_documents(docs, model).collect()}
     assert len(got) == len(texts)
     for row, t in enumerate(texts):
-        toks, want = plain_tokens(t), 0.0
+        toks, want, spelled = plain_tokens(t), 0.0, []
         for i, (h, _) in enumerate(toks):
             places, expected = plain_contexts(toks, i, frequent)
             for d in range(depth):
@@ -253,11 +273,42 @@ def test_score_against_a_plain_mixer(spark):
                 p = (1 / (1 + math.exp(-max(-12, min(12, z)))) + model.map[d, int(match != 0), int(min(32, max(0, round(z * 2 + 16))))]) / 2
                 want += math.log10(p if bit else 1 - p)
             want += math.log10(c[h] + 0.5) - math.log10(buckets[h >> 64 - depth] + 0.5)
+            spelled.append(want)
+            want = 0.0
+        groups = collections.defaultdict(list)
+        for run in plain_passages(toks):
+            cost = sum(spelled[i] for i in run) + math.log10(1 - share)
+            if len(run) < mixing_lm.LEAST:
+                want += cost
+            else:
+                groups[text_of(toks, run)].append(cost)
+        own = 0 if row % 5 == 1 else 1
+        left = whole - own * sum(map(len, groups.values()))
+        for text, costs in groups.items():
+            others = memory[text] - own * len(costs)
+            if others > 0:
+                taken = math.log10(share * others / left)
+                want += len(costs) * (max(taken, sum(costs) / len(costs)) if listed.issuperset(text) else taken)
+            else:
+                want += sum(costs)
         assert abs(got[row].score - want) < 0.02 * (1 + len(toks) ** 0.5), (row, got[row].score, want)
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held) * 0.95  # the model knows the texts better
 
 
+def test_copies_are_told_apart(spark):
+    rng = np.random.default_rng(8)
+    said = [" ".join(f"w{k}" for k in rng.integers(0, 4000, 150)) for _ in range(120)]
+    rows = [(i, t) for i, t in enumerate(said)] + [(1000 + i, said[i]) for i in range(40)] + [(None, said[100]), (7000, None), (7001, "")]
+    got = {r.doc_id: r for r in mixing_lm.score_corpus(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    trained = lambda i: not got[i].held_out
+    twice = [i for k in range(40) for i, other in ((k, 1000 + k), (1000 + k, k)) if trained(other)] + [100, None]
+    once = [i for i in range(40, 120) if i != 100]
+    assert any(got[i].held_out for i in twice) and any(got[i].held_out for i in once)
+    assert max(got[i].bits_per_byte for i in twice) < 0.5 * min(got[i].bits_per_byte for i in once)
+    assert got[7000].score == got[7001].score < 0 and got[7000].n_tokens == 1
+
+
 def test_mixer_learns_from_every_token(docs):
     tables = np.zeros((mixing_lm.STARTS[-1], 3), np.int16)
     _, fine = mixing_lm.learn_mixer(docs, np.zeros(0, np.uint64), tables)

@@ -13,11 +13,19 @@ weights are learned online by logistic loss, with the coded bit itself left out
 counts. An adaptive map of (gate, mixed prediction) refines the result. Total bits over
 bytes is in bits_per_byte.
 
+A memory of the corpus stands beside the mixer. A document is cut into passages after every
+word pair whose hash says so (about every eighth), so equal texts are cut alike wherever they
+stand. All passages of ``LEAST`` tokens or more are counted by a hash of the whole passage.
+Before a passage one bit is coded, whether it comes from memory: if so its probability is its
+share of the remembered passages, otherwise the mixer spells it. A known passage takes the
+likelier way (spelling only where each of its words is in ``top``). A training document is
+scored by what the others left: its own passages are taken out of the memory's counts.
+
 Counts, weights and maps come from all training documents (crc32(doc_id) mod 5 is not 1).
 Tasks count leaves, the leading bits under each context; the counts of the bits before
-follow from these. The context tables and the ``TOP`` most frequent words have fixed sizes
-and go to every task; all other words are looked up by a join with the counts, which grow
-with the corpus.
+follow from these. The context tables and the ``TOP`` most frequent words and passages have
+fixed sizes and go to every task; all others are looked up by joins with the counts, which
+grow with the corpus.
 
 Null text is empty: only the end token. A null id is not held out. Rows of one doc_id are
 separate documents. Extra columns are ignored; an empty table gives no rows.
@@ -37,7 +45,7 @@ from pyspark.sql import functions as F
 
 from verisieve.llm.common import stash, table, tune
 from verisieve.llm.quality import crc_rest
-from verisieve.llm.textvec import LOWER, mix, pieces, words
+from verisieve.llm.textvec import BASE, LOWER, mix, pieces, words
 
 U = np.uint64
 DEPTH, TOP, FREQUENT = 10, 1 << 17, 255
@@ -52,6 +60,8 @@ STEPS = 33
 #: Stretched predictions are whole numbers of 1/FINE.
 FINE = 1024
 SLAB = 1 << 16
+#: Passages of fewer tokens are not remembered.
+LEAST = 4
 END = mix(np.array([0x1F2E3D4C5B6A7988], U))[0]
 
 
@@ -70,6 +80,20 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return out, tail, bounds
 
 
+def passages(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the passages that the tokens are cut into."""
+    before = np.zeros(len(h), U)
+    before[1:] = h[:-1]
+    before[bounds[:-1]] = 0
+    last = mix(h + mix(before)) >> U(61) == 0
+    last[bounds[1:] - 1] = True
+    end = np.flatnonzero(last) + 1
+    start = np.append(0, end[:-1])
+    place = np.arange(len(h)) - np.repeat(start, end - start)
+    # sums of mixed values, not a polynomial: long regular texts have none in common
+    return start, end, mix(np.add.reduceat(mix(h + place.astype(U) * U(BASE)), start) + (end - start).astype(U))
+
+
 def _folded(x: np.ndarray, bits: int) -> np.ndarray:
     return (mix(x) >> U(64 - bits)).astype(np.int64)
 
@@ -120,31 +144,35 @@ def _summed(df: DataFrame) -> list[np.ndarray]:
     return [(i[kind == k], a[kind == k], b[kind == k]) for k in (0, 1)]
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """h, c of every training token."""
+def corpus_counts(train: DataFrame) -> DataFrame:
+    """passage, h, c: every training token (passage is false) and remembered passage (true)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: tuple[list[tuple[np.ndarray, np.ndarray]], ...] = ([], [])
 
-        def put() -> pa.RecordBatch:
-            h, c = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+        def put(kind: int) -> pa.RecordBatch:
+            h, c = np.concatenate([x for x, _ in held[kind]]), np.concatenate([x for _, x in held[kind]])
             order = np.argsort(h)
             h, c = h[order], c[order]
             at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.add.reduceat(c, at))], ["h", "c"])
+            held[kind].clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind == 1)), pa.array(h[at].view(np.int64)), pa.array(np.add.reduceat(c, at))], ["passage", "h", "c"])
 
         for batch in batches:
             for _, _, buf, off in pieces(batch.column(0)):
-                h, _, _ = tokens(buf, off)
+                h, _, bounds = tokens(buf, off)
                 if len(h):
-                    held.append(np.unique(h, return_counts=True))
-                if sum(len(x) for x, _ in held) > 1_500_000:
-                    yield put()
-        if held:
-            yield put()
+                    start, end, g = passages(h, bounds)
+                    for kind, some in enumerate((h, g[end - start >= LEAST])):
+                        held[kind].append(np.unique(some, return_counts=True))
+                for kind in (0, 1):
+                    if sum(len(x) for x, _ in held[kind]) > 1_000_000:
+                        yield put(kind)
+        for kind in (0, 1):
+            if sum(len(x) for x, _ in held[kind]):
+                yield put(kind)
 
-    return train.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return train.select("text").mapInArrow(run, "passage boolean, h long, c long").groupBy("passage", "h").agg(F.sum("c").alias("c"))
 
 
 def context_counts(train: DataFrame, frequent: np.ndarray, fan: int = 256) -> np.ndarray:
@@ -273,9 +301,10 @@ def refined(fine: np.ndarray) -> np.ndarray:
 
 @dataclass
 class MixModel:
-    """What the tasks score with; ``counts`` (h, c) is the table of all words. The rest is of fixed size."""
+    """What the tasks score with; ``counts`` and ``memory`` (h, c) are the tables of all words and passages. The rest is of fixed size."""
 
     counts: DataFrame
+    memory: DataFrame
     tokens: int
     words: int
     frequent: np.ndarray
@@ -284,23 +313,36 @@ class MixModel:
     map: np.ndarray
     top: tuple[np.ndarray, np.ndarray]
     per_lead: np.ndarray
+    top_passages: tuple[np.ndarray, np.ndarray]
+    passages: int
+    from_memory: float
+
+
+def _most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    top = counts.orderBy(F.desc("c"), "h").limit(TOP).toArrow()
+    return top.column("h").to_numpy().view(U), top.column("c").to_numpy()
 
 
 def fit_mixer(train: DataFrame) -> MixModel:
     """Learn from all rows of ``train`` (text)."""
-    counts = stash(word_counts(train))
+    both = stash(corpus_counts(train))
+    counts, memory = (both.where(which).select("h", "c") for which in ("not passage", "passage"))
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(TOP).toArrow()
-    top_h, top_c = top.column("h").to_numpy().view(U), top.column("c").to_numpy()
+    met = memory.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c"))), F.lit(0)).alias("again")).first()
+    top_h, top_c = _most_frequent(counts)
+    top_g, top_gc = _most_frequent(memory)
     frequent = np.sort(top_h[:FREQUENT])
-    order = np.argsort(top_h)
+    order, order_g = np.argsort(top_h), np.argsort(top_g)
     leads = np.zeros((1 << DEPTH, 2))
     lead_of = F.shiftrightunsigned("h", 64 - DEPTH).cast("int")
     for r in counts.groupBy(lead_of.alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         leads[r.b] = r.c, r.v
     tables = stretched(context_counts(train, frequent))
     weights, fine = learn_mixer(train, frequent, tables)
-    return MixModel(counts, int(whole.n), int(whole.v), frequent, np.ascontiguousarray(tables[:, 0]), weights, refined(fine).astype(np.float32), (top_h[order], top_c[order].astype(np.float64)), np.log10(leads[:, 0] + 0.5 * (leads[:, 1] + 1)))
+    return MixModel(
+        counts, memory, int(whole.n), int(whole.v), frequent, np.ascontiguousarray(tables[:, 0]), weights, refined(fine).astype(np.float32), (top_h[order], top_c[order].astype(np.float64)),
+        np.log10(leads[:, 0] + 0.5 * (leads[:, 1] + 1)), (top_g[order_g], top_gc[order_g]), int(met.n), (met.again + 1) / (met.n + 100),
+    )
 
 
 def score_corpus(docs: DataFrame) -> DataFrame:
@@ -310,13 +352,40 @@ def score_corpus(docs: DataFrame) -> DataFrame:
     return score_documents(docs, fit_mixer(docs.where("not held_out")))
 
 
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``wanted`` are among the sorted ``keys``, and their values (0: not there)."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), values.dtype)
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    there = keys[place] == wanted
+    return there, np.where(there, values[place], 0)
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal rows begins."""
+    n = len(keys[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], 0)
+    return np.flatnonzero(new)
+
+
+#: What becomes of a passage: spelled, taken from memory, or looked up in the table.
+SPELLED, KNOWN, ASKED = 0, 1, 2
+SCORED = (
+    "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_passages long, top long, logs double, coded double, "
+    "rare array<long>, times array<long>, spelled array<boolean>, asked array<long>, asked_times array<long>, asked_coded array<double>, asked_rare array<array<long>>"
+)
+
+
 def score_documents(docs: DataFrame, fitted: MixModel) -> DataFrame:
     """The scores of the rows of ``docs`` (doc_id, text, held_out)."""
-    counts, n, v = fitted.counts, fitted.tokens, fitted.words
-    model = docs.sparkSession.sparkContext.broadcast((fitted.frequent, fitted.table, fitted.weights, fitted.map, *fitted.top, fitted.per_lead))  # about 21 MB
+    n, v, whole, share = fitted.tokens, fitted.words, fitted.passages, fitted.from_memory
+    spell, recall = float(np.log10(1 - share)), float(np.log10(share))
+    model = docs.sparkSession.sparkContext.broadcast((fitted.frequent, fitted.table, fitted.weights, fitted.map, *fitted.top, fitted.per_lead, *fitted.top_passages))  # about 23 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent_, tables, w, apm, th, tc, per = model.value
+        frequent_, tables, w, apm, th, tc, per, gh, gc = model.value
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo, hi, buf, off in pieces(batch.column(1)):
@@ -333,37 +402,74 @@ def score_documents(docs: DataFrame, fitted: MixModel) -> DataFrame:
                         z += tables[base[k] | node] * (w[d, m, k] * np.float32(1 / FINE))
                     p = (squash(z) + apm[d, m, steps_of(z)]) / 2
                     logs += np.log10(np.where(bit == 1, p, 1 - p))
-                place = np.minimum(np.searchsorted(th, h), max(0, len(th) - 1))
-                is_top = th[place] == h if len(th) else np.zeros(len(h), bool)
-                known = np.log10(np.where(is_top, tc[place] if len(th) else 0, 0) + 0.5)
-                owner = np.repeat(np.arange(hi - lo), np.diff(bounds))
-                add = lambda x: np.bincount(owner, x, hi - lo)
-                rare = np.flatnonzero(~is_top)
-                sort = rare[np.lexsort((h[rare], owner[rare]))]
-                new = np.ones(len(sort), bool)
-                new[1:] = (h[sort][1:] != h[sort][:-1]) | (owner[sort][1:] != owner[sort][:-1])
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(sort)))
-                ends = np.searchsorted(owner[sort[at]], np.arange(hi - lo + 1)).astype(np.int32)
+                is_top, count = _looked_up(th, tc, h)
+                known = np.where(is_top, np.log10(count + 0.5), 0)
+                rows = hi - lo
+                ids, held = np.arange(rows + 1), batch.column(2).slice(lo, rows).to_numpy(zero_copy_only=False).astype(bool)
+                owner = np.repeat(ids[:-1], np.diff(bounds))
+                # passages: one group for each text in each row
+                start, end, g = passages(h, bounds)
+                of, length = owner[start], end - start
+                coded = np.add.reduceat(logs - per[lead] + known, start)
+                strange = np.add.reduceat((~is_top).astype(np.int64), start)
+                kept = np.flatnonzero(length >= LEAST)
+                n_passages = np.bincount(of[kept], minlength=rows)
+                kept = kept[np.lexsort((g[kept], of[kept]))]
+                at = _runs(of[kept], g[kept])
+                one, times = kept[at], np.diff(np.append(at, len(kept)))
+                spelling = np.add.reduceat(coded[kept], at) if len(at) else np.zeros(0)
+                found, c = _looked_up(gh, gc, g[one])
+                others = c - times * ~held[of[one]]
+                state = np.where(found, np.where(others > 0, KNOWN, SPELLED), ASKED)
+                left = np.maximum(whole - n_passages * ~held, 1)[of[one]]
+                taken = recall + np.log10(np.maximum(others, 1) / left)
+                taken = times * np.where(strange[one] == 0, np.maximum(taken, spelling / np.maximum(times, 1) + spell), taken)
+                score = np.bincount(of, np.where(length < LEAST, coded + spell, 0), rows)
+                score += np.bincount(of[one], np.choose(state, (spelling + times * spell, taken, 0.0)), rows)
+                # rare words of the passages that are settled, and of those to be looked up
+                what = np.zeros(len(start), np.int64)
+                what[kept] = np.repeat(state, times)
+                of_token = np.repeat(what, length)
+                rare = np.flatnonzero(~is_top & (of_token != ASKED))
+                rare = rare[np.lexsort((h[rare], of_token[rare], owner[rare]))]
+                first = _runs(owner[rare], of_token[rare], h[rare])
+                ends = np.searchsorted(owner[rare[first]], ids).astype(np.int32)
+                put = lambda x, to: pa.ListArray.from_arrays(pa.array(to), pa.array(x))
+                ask = state == ASKED
+                some = one[ask]
+                spots = np.repeat(start[some], length[some]) + np.arange(length[some].sum()) - np.repeat(np.cumsum(length[some]) - length[some], length[some])
+                inner = np.append(0, np.cumsum(strange[some])).astype(np.int32)
+                outer = np.searchsorted(of[some], ids).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array((np.arange(hi - lo) + number) | (task << 40)), batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo),
-                        pa.array(np.diff(bounds)), pa.array(np.diff(off)), pa.array(add(is_top).astype(np.int64)), pa.array(add(known * is_top)), pa.array(add(logs - per[lead])),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(h[sort[at]].view(np.int64))), pa.ListArray.from_arrays(pa.array(ends), pa.array(times)),
+                        pa.array((np.arange(rows) + number) | (task << 40)), batch.column(0).slice(lo, rows), batch.column(2).slice(lo, rows),
+                        pa.array(np.diff(bounds)), pa.array(np.diff(off)), pa.array(n_passages), pa.array(np.bincount(owner, is_top, rows).astype(np.int64)), pa.array(np.bincount(owner, known, rows)), pa.array(score),
+                        put(h[rare[first]].view(np.int64), ends), put(np.diff(np.append(first, len(rare))), ends), put(of_token[rare[first]] == SPELLED, ends),
+                        put(g[some].view(np.int64), outer), put(times[ask], outer), put(spelling[ask], outer), pa.ListArray.from_arrays(pa.array(outer), put(h[spots[~is_top[spots]]].view(np.int64), inner)),
                     ],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_bytes", "top", "logs", "coded", "rare", "times"],
+                    [c.split()[0] for c in SCORED.split(", ")],
                 )
-                number += hi - lo
-
-    rows = stash(docs.select("doc_id", "text", "held_out").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, top long, logs double, coded double, rare array<long>, times array<long>"))
-    each = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("h"), F.col("r.times").alias("times"))
-    met = each.join(counts, "h", "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("rest"))
-    out = rows.drop("rare", "times").join(met, "row", "left")
-    logs = F.col("logs") + F.coalesce("rest", F.lit(0.0))
-    score = F.col("coded") + logs
+                number += rows
+
+    rows = stash(docs.select("doc_id", "text", "held_out").mapInArrow(run, SCORED))
+    own = lambda x: F.when(F.col("held_out"), 0).otherwise(x)
+    asked = rows.select("row", "held_out", "n_passages", F.explode(F.arrays_zip("asked", "asked_times", "asked_coded", "asked_rare")).alias("r"))
+    asked = asked.select("row", "held_out", "n_passages", F.col("r.asked").alias("h"), F.col("r.asked_times").alias("times"), F.col("r.asked_coded").alias("spelling"), F.col("r.asked_rare").alias("rare"))
+    asked = asked.join(fitted.memory, "h", "left").withColumn("others", F.coalesce("c", F.lit(0)) - own(F.col("times")))
+    taken = recall + F.log10(F.greatest("others", F.lit(1)) / F.greatest(whole - own(F.col("n_passages")), F.lit(1)))
+    taken = F.when(F.size("rare") == 0, F.greatest(taken, F.col("spelling") / F.col("times") + spell)).otherwise(taken)
+    spelled = F.col("others") <= 0
+    asked = stash(asked.select("row", "times", "rare", spelled.alias("spelled"), F.when(spelled, F.col("spelling") + F.col("times") * spell).otherwise(F.col("times") * taken).alias("coded")))
+    each = rows.select("row", F.explode(F.arrays_zip("rare", "times", "spelled")).alias("r")).select("row", F.col("r.rare").alias("h"), F.col("r.times").alias("times"), F.col("r.spelled").alias("spelled"))
+    each = each.unionByName(asked.select("row", F.explode("rare").alias("h"), "times", "spelled"))
+    rest = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))
+    met = each.join(fitted.counts, "h", "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(rest).alias("rest"), F.sum(F.when(F.col("spelled"), rest)).alias("spelt"))
+    out = rows.select("row", "doc_id", "held_out", "n_tokens", "n_bytes", "top", "logs", "coded").join(met, "row", "left").join(asked.groupBy("row").agg(F.sum("coded").alias("looked_up")), "row", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    score = F.col("coded") + zero("looked_up") + zero("spelt")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("top") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * float(np.log10(n + 0.5 * (v + 1)))).alias("base_score"), score.alias("score"), (-score / float(np.log10(2)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+        (F.col("logs") + zero("rest") - F.col("n_tokens") * float(np.log10(n + 0.5 * (v + 1)))).alias("base_score"), score.alias("score"), (-score / float(np.log10(2)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )
 
 
