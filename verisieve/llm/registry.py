@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verisieve.llm import capjoin, chat, dartminhash, decontam, domainmix, licenses, mixing_lm, partcodes, pii, quality, suffixes
+from verisieve.llm import capjoin, chat, dartminhash, decontam, domainmix, licenses, mixing_lm, packing, partcodes, pii, quality, suffixes, turnrepair
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_ranking": quality.op9_quality_ranking,
         "op10_domain_mixing": domainmix.op10_domain_mixing,
         "op11_part_codes": partcodes.op11_part_codes,
+        "op12_turn_repair": turnrepair.op12_turn_repair,
+        "op13_best_fit_packing": packing.op13_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_cap_join": capjoin.OP2_SQL, "op8_chat_formatting": chat.OP8_SQL, "op11_part_codes": partcodes.OP11_SQL}
+    return {"op2_cap_join": capjoin.OP2_SQL, "op8_chat_formatting": chat.OP8_SQL, "op11_part_codes": partcodes.OP11_SQL, "op12_turn_repair": turnrepair.OP12_SQL}
