@@ -151,10 +151,10 @@ def _filled(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(" "))
 
 
-def _sorted(rows: DataFrame) -> DataFrame:
+def _sorted(rows: DataFrame, copies_col: str | None) -> DataFrame:
     """A conversation's turns together and in order, with copies as rows of their own and repeats
     told. One exchange, by conversation: the window's keys begin with it."""
-    copies = F.col("copies") if "copies" in rows.columns else F.lit(1)
+    copies = F.lit(1) if copies_col is None else F.col(copies_col).cast("int")
     plain = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), _filled("role").alias("role"), _filled("text").alias("text"), copies.alias("copies"))
     told = plain.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).withColumn("present", F.col("copies") > 0).drop("copies", "copy")
     same = Window.partitionBy("conv_id", "present", "role", "text").orderBy("turn")
@@ -219,9 +219,10 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
 
-def repair_edits(conversations: DataFrame) -> DataFrame:
+def repair_edits(conversations: DataFrame, copies_col: str | None = None) -> DataFrame:
     """One row for each edit, in order: what was done, and the repaired role and text (those that
-    were, for a deleted turn). An inserted turn has no turn, fault and old role."""
+    were, for a deleted turn). An inserted turn has no turn, fault and old role. ``copies_col`` says
+    how often a row counts; one of 0 only says that there is such a conversation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -250,11 +251,12 @@ def repair_edits(conversations: DataFrame) -> DataFrame:
         if rows:
             yield _batch(rows, EDITS)
 
-    return _sorted(conversations).mapInArrow(run, _ddl(EDITS))
+    return _sorted(conversations, copies_col).mapInArrow(run, _ddl(EDITS))
 
 
-def repair_digest(conversations: DataFrame) -> DataFrame:
-    """One row for each conversation: faults, cost and list of its edits, hash of what is left."""
+def repair_digest(conversations: DataFrame, copies_col: str | None = None) -> DataFrame:
+    """One row for each conversation: faults, cost and list of its edits, hash of what is left.
+    ``copies_col`` is as for ``repair_edits``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -282,11 +284,11 @@ def repair_digest(conversations: DataFrame) -> DataFrame:
         if rows:
             yield _batch(rows, DIGEST)
 
-    return _sorted(conversations).mapInArrow(run, _ddl(DIGEST))
+    return _sorted(conversations, copies_col).mapInArrow(run, _ddl(DIGEST))
 
 
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair_digest(damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    return repair_digest(damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), "copies")
 
 
 def _op12_sql() -> str:
