@@ -125,5 +125,4 @@ def rank_sum_p(u: pd.Series, z: pd.Series, n: pd.Series, n_pos: pd.Series, tied:
 
 def rank_sum_test(df: DataFrame, by: list[str], score: str = "score", y: str = "y") -> DataFrame:
     """``ranks.mann_whitney`` with its two-sided p."""
-    ties = ranks.scored(df, score, y).groupBy(*by, score).count().groupBy(*by).agg((F.max("count") > 1).alias("_tied"))
-    return ranks.mann_whitney(df, by, score, y).join(ties, by).withColumn("p", rank_sum_p("u", "z", "n", "n_pos", "_tied")).drop("_tied")
+    return ranks.Layout(df, by, score, y).mann_whitney().withColumn("p", rank_sum_p("u", "z", "n", "n_pos", "tied")).drop("tied")

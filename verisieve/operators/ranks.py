@@ -1,7 +1,9 @@
 """Ranked statistics over labelled scores: y is 1 for the positive class.
 
-Rows with a null or NaN score, or a null label, are not scored. Every statistic comes from
-running totals that one group of any size shares between tasks.
+Rows with a null or NaN score, or a null label, are not scored. Rows are summed to steps, one for
+each distinct score of a group, and the steps are written once, by ranges of (group, score), with
+what lies below them (``Layout``). Every statistic is an aggregate of that table, so several of
+them cost one evaluation of the input, and one group of any size is shared between tasks.
 """
 
 from __future__ import annotations
@@ -9,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisieve.operators.running import running
+from verisieve.operators.running import running, with_totals
+from verisieve.sources.tables import written
 
 
 def scored(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
@@ -26,20 +29,40 @@ def steps_of(df: DataFrame, by: list[str], score: str, y: str) -> DataFrame:
     return steps.withColumn("_neg", F.col("_n") - F.col("_p"))
 
 
-def won_steps(df: DataFrame, by: list[str], score: str, y: str) -> DataFrame:
-    """``steps_of`` with _w: pairs that the step's positives win, half of each tie."""
-    below = running(steps_of(df, by, score, y), by, ["_s"], {"_b": "_neg"})
-    return below.withColumn("_w", F.col("_p") * (F.col("_b") - F.col("_neg") / 2.0))
+class Layout:
+    """Steps of scored rows: ``by``, _s, _p, _n, _neg, and of lower scores _b negatives and _a rows;
+    _w is the pairs that the step's positives win, half of each tie."""
 
+    def __init__(self, df: DataFrame, by: list[str], score: str = "score", y: str = "y"):
+        self.by = by
+        steps = written(steps_of(df, by, score, y))
+        at = running(steps, by, ["_s"], {"_b": "_neg", "_a": "_n"}, rows=steps.count())
+        self.steps = at.withColumns({"_b": F.col("_b") - F.col("_neg"), "_a": F.col("_a") - F.col("_n")}).withColumn("_w", F.col("_p") * (F.col("_b") + F.col("_neg") / 2.0))
 
-def auroc(df: DataFrame, by: list[str], score: str = "score", y: str = "y") -> DataFrame:
-    """Tie-corrected AUROC for each group: n, n_pos, auroc; null where one class is missing.
+    def auroc(self) -> DataFrame:
+        """Tie-corrected AUROC for each group: n, n_pos, auroc; null where one class is missing."""
+        pos, neg = F.sum("_p"), F.sum("_neg")
+        return self.steps.groupBy(*self.by).agg(F.sum("_n").alias("n"), pos.alias("n_pos"), F.when((pos > 0) & (neg > 0), F.sum("_w") / (pos * neg)).alias("auroc"))
+
+    def average_precision(self) -> DataFrame:
+        """Mean precision at the positives, scores descending, ties together."""
+        whole = with_totals(self.steps, self.by, {"_rows": "_n", "_pos": "_p"})
+        right = F.col("_pos") - (F.col("_a") - F.col("_b"))  # all but the positives below
+        return whole.groupBy(*self.by).agg((F.sum(F.col("_p") * right / (F.col("_rows") - F.col("_a"))) / F.nullif(F.sum("_p"), F.lit(0))).alias("average_precision"))
+
+    def mann_whitney(self) -> DataFrame:
+        """u, z (normal, with tie and continuity correction), n, n_pos and tied (whether scores repeat)
+        of each cell; z is null where all are equal."""
+        out = self.steps.groupBy(*self.by).agg(F.sum("_w").alias("u"), F.sum("_n").alias("n"), F.sum("_p").cast("long").alias("n_pos"), F.sum(F.pow("_n", F.lit(3)) - F.col("_n")).alias("_t"), (F.max("_n") > 1).alias("tied"))
+        a, n = F.col("n_pos"), F.col("n")
+        b = n - a
+        var = a * b / 12.0 * ((n + 1) - F.col("_t") / (n * (n - 1)))
+        return out.withColumn("z", F.when(var > 0, (F.greatest(F.abs(F.col("u") - a * b / 2.0) - 0.5, F.lit(0.0))) / F.sqrt(var))).drop("_t")
 
-    Rows are first summed to one for each distinct score.
-    """
-    won = won_steps(df, by, score, y)
-    pos, neg = F.sum("_p"), F.sum(F.col("_n") - F.col("_p"))
-    return won.groupBy(*by).agg(F.sum("_n").alias("n"), pos.alias("n_pos"), F.when((pos > 0) & (neg > 0), F.sum("_w") / (pos * neg)).alias("auroc"))
+
+def auroc(df: DataFrame, by: list[str], score: str = "score", y: str = "y") -> DataFrame:
+    """``Layout.auroc`` of one score."""
+    return Layout(df, by, score, y).auroc()
 
 
 def contrasts(df: DataFrame, dim: DataFrame, by: list[str], category: str = "category", score: str = "score") -> DataFrame:
@@ -71,26 +94,21 @@ def auarc(df: DataFrame, by: list[str], uncertainty: str, correct: str, tie: str
 
 
 def average_precision(df: DataFrame, by: list[str], score: str, y: str) -> DataFrame:
-    """Mean precision at the positives, scores descending, ties together."""
-    at = running(steps_of(df, by, score, y), by, ["_s"], {"_tp": "_p", "_k": "_n"}, reverse=True)
-    return at.groupBy(*by).agg((F.sum(F.col("_p") * F.col("_tp") / F.col("_k")) / F.nullif(F.sum("_p"), F.lit(0))).alias("average_precision"))
+    """``Layout.average_precision`` of one score."""
+    return Layout(df, by, score, y).average_precision()
 
 
 def mann_whitney(df: DataFrame, by: list[str], score: str = "score", y: str = "y") -> DataFrame:
-    """u, z (normal, with tie and continuity correction), n, n_pos of each cell; z is null where all are equal."""
-    won = won_steps(df, by, score, y)
-    out = won.groupBy(*by).agg(F.sum("_w").alias("u"), F.sum("_n").alias("n"), F.sum("_p").cast("long").alias("n_pos"), F.sum(F.pow("_n", F.lit(3)) - F.col("_n")).alias("_t"))
-    a, n = F.col("n_pos"), F.col("n")
-    b = n - a
-    var = a * b / 12.0 * ((n + 1) - F.col("_t") / (n * (n - 1)))
-    return out.withColumn("z", F.when(var > 0, (F.greatest(F.abs(F.col("u") - a * b / 2.0) - 0.5, F.lit(0.0))) / F.sqrt(var))).drop("_t")
+    """``Layout.mann_whitney`` of one score, without ``tied``."""
+    return Layout(df, by, score, y).mann_whitney().drop("tied")
 
 
 def benjamini_hochberg(df: DataFrame, by: list[str], p: str, tie: str) -> DataFrame:
     """Column q: false-discovery-adjusted p."""
     ranked = running(df.withColumn("_1", F.lit(1)), by, [p, tie], {"_k": "_1"}, wholes={"_m": "_1"})
-    ranked = running(ranked.withColumn("_q", F.col(p) * F.col("_m") / F.col("_k")), by, [p, tie], mins={"q": "_q"}, reverse=True)
-    return ranked.withColumn("q", F.least(F.lit(1.0), "q")).drop("_1", "_k", "_m", "_q")
+    scaled = ranked.withColumn("_q", F.col(p) * F.col("_m") / F.col("_k"))
+    least = running(scaled, by, [p, tie], mins={"q": "_q"}, reverse=True)
+    return least.withColumn("q", F.least(F.lit(1.0), "q")).drop("_1", "_k", "_m", "_q")
 
 
 def discoveries(df: DataFrame, by: list[str], q: str = "q", level: float = 0.05) -> DataFrame:

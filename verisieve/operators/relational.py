@@ -25,11 +25,10 @@ def seeded(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(p) if isinstance(p, str) else p.cast("string") for p in parts]))
 
 
-def _seeded_ranks(df: DataFrame, strata: list[str], key: str, seed: str) -> DataFrame:
+def _seeded_ranks(df: DataFrame, strata: list[str], key: str, seed: str, sized: bool = True) -> DataFrame:
     """``df`` with _rank (from 1) in seeded order within each stratum, and the stratum's _size."""
     rows = df.withColumn("_md5", seeded(F.lit(seed), F.col(key))).withColumn("_1", F.lit(1))
-    cut = F.conv(F.substring("_md5", 1, 2), 16, 10).cast("int")  # md5 is even: 256 ranges
-    return running(rows, strata, ["_md5", key], {"_rank": "_1"}, wholes={"_size": "_1"}, ranges=cut).drop("_md5", "_1")
+    return running(rows, strata, ["_md5", key], {"_rank": "_1"}, wholes={"_size": "_1"} if sized else None).drop("_md5", "_1")
 
 
 def stratified_split(df: DataFrame, strata: list[str], key: str, share: float, seed: str) -> DataFrame:
@@ -39,14 +38,14 @@ def stratified_split(df: DataFrame, strata: list[str], key: str, share: float, s
 
 
 def stratified_folds(df: DataFrame, strata: list[str], key: str, folds: int, seed: str) -> DataFrame:
-    ranked = _seeded_ranks(df, strata, key, seed)
-    return ranked.withColumn("fold", ((F.col("_rank") - 1) % folds).cast("int")).drop("_rank", "_size")
+    ranked = _seeded_ranks(df, strata, key, seed, sized=False)
+    return ranked.withColumn("fold", ((F.col("_rank") - 1) % folds).cast("int")).drop("_rank")
 
 
 def balanced_sample(df: DataFrame, category: str, key: str, wanted: int, n_categories: int, seed: str) -> DataFrame:
     """At most wanted // n_categories rows of each category, in seeded order."""
-    rank = F.row_number().over(Window.partitionBy(category).orderBy(seeded(F.lit(seed), F.col(key)), key))
-    return df.withColumn("_rn", rank).where(F.col(category).isNotNull() & (F.col("_rn") <= wanted // n_categories)).drop("_rn")
+    ranked = _seeded_ranks(df.where(F.col(category).isNotNull()), [category], key, seed, sized=False)
+    return ranked.where(F.col("_rank") <= wanted // n_categories).drop("_rank")
 
 
 def missing_anywhere(required: DataFrame, present: DataFrame, key: list[str], part: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,12 @@ def shared_folder(spark: SparkSession) -> str:
         _own.append(tempfile.mkdtemp(prefix="verisieve-"))
         atexit.register(shutil.rmtree, _own[0], True)
     return _own[0]
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: what follows neither evaluates
+    its plan again nor loses more than a task with an executor."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
