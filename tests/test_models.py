@@ -72,3 +72,42 @@ def test_components(rows):
 def test_nothing_to_fit(spark):
     none = spark.createDataFrame([], "g int, id long, x array<double>, y int")
     assert models.fit_logistic(none, ["g"]).count() == 0 and models.fit_pca(none, ["g"]).count() == 0
+
+
+@pytest.mark.parametrize("tasks", [1, 40, 4000])
+def test_the_driver_gets_one_array_for_each_model(spark, tasks):
+    partial = spark.range(tasks * 3).selectExpr("CAST(id % 3 AS INT) AS _m", "CAST(id DIV 3 AS INT) AS _t", "array(1D, CAST(id DIV 3 AS DOUBLE)) AS v").repartition(7)
+    got = models.added(partial, tasks).collect()
+    assert sorted((r._m, r.v) for r in got) == [(m, [tasks, tasks * (tasks - 1) / 2]) for m in range(3)]
+
+
+def test_models_that_share_rows_equal_those_fitted_alone(rows):
+    mine = rows.where("id < 900 AND g IS NOT NULL").withColumn("part", (F.col("id") % 3).cast("int"))
+    both = models.fit_logistic(mine, ["g"], fold="part", folds=3, strengths={"weak": 0.01, "full": 1.0}, columns={"two": [4, 1], "all": list(range(6))}).collect()
+    assert len(both) == 2 * 3 * 2 * 2 and all(r.converged and r.steps < 25 for r in both)
+    for r in both:
+        x, y = data(seed=r.g or 9)
+        keep = np.arange(len(x)) % 3 != r.part
+        want = plain_fit(x[keep][:, list(r.columns)], y[keep], {"weak": 0.01, "full": 1.0}[r.strength])
+        assert np.allclose([*r.weights, r.bias], want, atol=2e-3) and r.n == keep.sum()
+
+
+def test_fits_that_do_not_settle_say_so(rows):
+    got = models.fit_logistic(rows.where("id < 900"), ["g"], steps=2).collect()
+    assert got and not any(r.converged for r in got) and {r.steps for r in got} == {2}
+
+
+def test_columns_are_chosen_as_configurations_are(rows):
+    mine = rows.where("id < 900 AND g = 0")
+    grid = {"k=1": models.first_of_each(2, 3, 1), "k=2": models.first_of_each(2, 3, 2), "k=3": models.first_of_each(2, 3, 9)}
+    assert grid["k=2"] == [0, 1, 3, 4] and grid["k=3"] == list(range(6))
+    picked = models.select_columns(mine, ["g"], "id", grid).first()
+    plain = models.select_config(mine, ["g"], "id", [(n, F.array(*[F.col("x")[i] for i in c])) for n, c in grid.items()]).first()
+    assert picked.config == plain.config and picked.ord == plain.ord and abs(picked.auroc - plain.auroc) < 1e-9
+
+
+def test_wide_models_are_joined_by_shuffle(rows, monkeypatch):
+    model = models.fit_logistic(rows.where("id < 900"), ["g"])
+    sent = {(r.g, r.id): r.p for r in models.predict(rows, model, ["g"]).collect()}
+    monkeypatch.setattr(models, "MOST_SENT", 0)
+    assert {(r.g, r.id): r.p for r in models.predict(rows, model, ["g"]).collect()} == sent

@@ -50,11 +50,10 @@ def hidden_probe(train: DataFrame, test: DataFrame, states: DataFrame, buckets:
     mine = frames.restricted(states, train.select(*by, *key), [*by, *key])
     stats = frames.stat_arrays(frames.dimension_stats(mine, [*by, "layer"], "vector"), [*by, "layer"])
     x = reduce(DataFrame.unionByName, [frames.bucket_vector(states, stats, layers, [*by, *key], "log_prob").withColumn("bucket", F.lit(name)) for name, layers in buckets.items()])
-    a, b, out = train.join(x, [*by, *key]), test.join(x, [*by, *key]), []
-    for label, c in strengths.items():
-        model = models.fit_logistic(a, [*by, "bucket"], "x", y, c=c)
-        out.append(models.predict(b, model, [*by, "bucket"], "x").select(*by, *key, y, "bucket", F.lit(label).alias("strength"), "p"))
-    return reduce(DataFrame.unionByName, out)
+    a, b = train.join(x, [*by, *key]), test.join(x, [*by, *key])
+    model = models.fit_logistic(a, [*by, "bucket"], "x", y, strengths=strengths)
+    each = b.withColumn("strength", F.explode(F.array(*map(F.lit, strengths))))
+    return models.predict(each, model, [*by, "bucket", "strength"], "x").select(*by, *key, y, "bucket", "strength", "p")
 
 
 def answer_classifier(test: DataFrame, by: list[str], key: str, train: DataFrame | None = None, y: str = "y", features: tuple[str, ...] = ANSWER_FEATURES, folds: int = 5) -> DataFrame:

@@ -97,18 +97,25 @@ def _local(rows: DataFrame, keys: list[str], sums: dict[str, str], mins: dict[st
     return rows.mapInArrow(run, schema)
 
 
+def _here(df: DataFrame) -> DataFrame:
+    """A small table as literal rows, so that what reads it does not compute it again."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def with_totals(df: DataFrame, by: list[str], wholes: dict[str, str]) -> DataFrame:
     """``df`` with sums (new column: column) over the rows of equal ``by``, nulls together; a null counts as nothing.
 
-    The totals of groups with a thousandth of the rows or more, of which there are at most 1,000,
-    are broadcast, so that their rows stay where they are; the rows of all others are shuffled."""
+    The totals of up to 1,000 groups are literal rows and broadcast. Where there are more groups,
+    those of groups with a thousandth of the rows or more are broadcast, so that their rows stay
+    where they are; the rows of all others are shuffled."""
     names = [f"__by{i}" for i in range(len(by))]
     groups = [F.col(b).alias(n) for b, n in zip(by, names, strict=True)]
-    if not by:
-        return df.join(F.broadcast(df.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in wholes.items()])))
     totals = df.groupBy(*groups).agg(F.count("*").alias("__in_group"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in wholes.items()])
+    few = totals.limit(HOT + 1).collect()
+    if len(few) <= HOT:
+        return df.join(F.broadcast(df.sparkSession.createDataFrame(few, totals.schema)), same(by, names)).drop(*names, "__in_group")
     least = max(1, df.count() // HOT)
-    large, small = totals.where(F.col("__in_group") >= least), totals.where(F.col("__in_group") < least)
+    large, small = _here(totals.where(F.col("__in_group") >= least)), totals.where(F.col("__in_group") < least)
     here = df.join(F.broadcast(large), same(by, names))
     rest = df.join(F.broadcast(large), same(by, names), "left_anti").join(small, same(by, names))
     return here.unionByName(rest).drop(*names, "__in_group")
@@ -141,6 +148,7 @@ def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, str]
         totals = laid.groupBy("__part", *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(*[F.sum(c).alias(f"__s{i}") for i, c in enumerate(sums.values())], *[F.min(c).alias(f"__m{i}") for i, c in enumerate(mins.values())], F.count("*").alias("__rows"))
         before = Window.partitionBy(*names).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
         offsets = totals.select(F.col("__part").alias("__at"), *names, *[F.sum(f"__s{i}").over(before).alias(f"__s{i}") for i in range(len(sums))], *[F.min(f"__m{i}").over(before).alias(f"__m{i}") for i in range(len(mins))], F.sum("__rows").over(before).alias("__before")).where("__before > 0")
+        offsets = _here(offsets)
         met = laid.join(F.broadcast(offsets), same(["__part", *keys], ["__at", *names]), "left")
         new = {n: F.col(n) + F.coalesce(F.col(f"__s{i}"), F.lit(0)) for i, n in enumerate(sums)}
         new |= {n: F.least(n, F.col(f"__m{i}").cast("double")) for i, n in enumerate(mins)}
