@@ -61,17 +61,9 @@ def test_held_out_scores(rows):
     assert best.config == "all"
 
 
-def test_components(rows):
-    x, _ = data(seed=1)
-    r = models.fit_pca(rows.where("g = 1"), ["g"], 3, rounds=30).first()
-    values, vectors = np.linalg.eigh(np.cov(x.T, bias=True))
-    assert np.allclose(r.variance, values[::-1][:3]) and np.allclose(np.abs(np.array(r.components) @ vectors[:, ::-1][:, :3]), np.eye(3), atol=1e-4)
-    assert models.project(rows.where("g = 1"), models.fit_pca(rows.where("g = 1"), ["g"], 3), ["g"], "x", "z").first().z is not None
-
-
 def test_nothing_to_fit(spark):
     none = spark.createDataFrame([], "g int, id long, x array<double>, y int")
-    assert models.fit_logistic(none, ["g"]).count() == 0 and models.fit_pca(none, ["g"]).count() == 0
+    assert models.fit_logistic(none, ["g"]).count() == 0
 
 
 @pytest.mark.parametrize("tasks", [1, 40, 4000])

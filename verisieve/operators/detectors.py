@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verisieve.operators import frames, models, ranks
+from verisieve.operators import frames, models, ranks, vectors
 from verisieve.operators import relational as rel
 
 #: The features that the answer classifier uses, of ``features.detector_features``.
@@ -48,7 +48,7 @@ def hidden_probe(train: DataFrame, test: DataFrame, states: DataFrame, buckets:
     ``states`` has by, key, layer, vector and log_prob. Each layer is standardised by the mean and
     deviation over the training rows; a bucket set names the layers that are averaged."""
     mine = frames.restricted(states, train.select(*by, *key), [*by, *key])
-    stats = frames.stat_arrays(frames.dimension_stats(mine, [*by, "layer"], "vector"), [*by, "layer"])
+    stats = vectors.mean_and_deviation(mine, [*by, "layer"], "vector", 1e-6)
     x = reduce(DataFrame.unionByName, [frames.bucket_vector(states, stats, layers, [*by, *key], "log_prob").withColumn("bucket", F.lit(name)) for name, layers in buckets.items()])
     a, b = train.join(x, [*by, *key]), test.join(x, [*by, *key])
     model = models.fit_logistic(a, [*by, "bucket"], "x", y, strengths=strengths)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verisieve.operators import vectors
 from verisieve.operators.running import running
 
 
@@ -146,10 +147,16 @@ def least_length(df: DataFrame, by: list[str], values: str) -> DataFrame:
 
 def sanity(df: DataFrame, by: list[str], values: str) -> DataFrame:
     """finite, constant, least, most, mean and deviation of all elements of an array column; the
-    statistics are of the finite ones."""
-    one = df.select(*by, F.explode(values).alias("_v")).withColumn("_ok", F.coalesce(~F.isnan("_v") & (F.abs("_v") < F.lit(float("inf"))), F.lit(False)))
-    v = F.when(F.col("_ok"), F.col("_v").cast("double"))
-    return one.groupBy(*by).agg(F.bool_and("_ok").alias("finite"), (F.min(v) == F.max(v)).alias("constant"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("deviation"))
+    statistics are of the finite ones. Each array is summed where it is, then the sums are."""
+    v = F.transform(F.col(values), lambda x: x.cast("double"))
+    good = F.filter(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    rows = df.where(F.size(values) > 0).select(*by, good.alias("_v"), (F.size(good) == F.size(values)).alias("_ok"))
+    n, total = F.size("_v").cast("double"), F.aggregate("_v", F.lit(0.0), lambda a, x: a + x)
+    rows = rows.withColumns({"_n": n, "_m": F.when(n > 0, total / n)})
+    rows = rows.withColumn("_q", F.aggregate("_v", F.lit(0.0), lambda a, x: a + (x - F.col("_m")) * (x - F.col("_m"))))
+    least, most, mean = F.min(F.array_min("_v")), F.max(F.array_max("_v")), F.sum(F.col("_n") * F.col("_m")) / F.nullif(F.sum("_n"), F.lit(0.0))
+    squares = F.sum("_q") + F.sum(F.col("_n") * F.col("_m") * F.col("_m")) - F.sum("_n") * mean * mean
+    return rows.groupBy(*by).agg(F.bool_and("_ok").alias("finite"), (least == most).alias("constant"), least.alias("least"), most.alias("most"), mean.alias("mean"), F.sqrt(F.greatest(squares / F.nullif(F.sum("_n"), F.lit(0.0)), F.lit(0.0))).alias("deviation"))
 
 
 def first_seen(df: DataFrame, value: str, order: str) -> DataFrame:
@@ -166,21 +173,15 @@ def merged(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def dimension_stats(df: DataFrame, by: list[str], vector: str, floor: float = 1e-6) -> DataFrame:
-    """Mean and population deviation (plus ``floor``) of each component: by, dim, mu, sigma."""
-    x = df.select(*by, F.posexplode(vector).alias("dim", "v"))
-    return x.groupBy(*by, "dim").agg(F.avg("v").alias("mu"), (F.stddev_pop("v") + floor).alias("sigma"))
-
-
-def stat_arrays(stats: DataFrame, by: list[str]) -> DataFrame:
-    """``dimension_stats`` as two arrays for each group, in the order of dim."""
-    cells = F.array_sort(F.collect_list(F.struct("dim", "mu", "sigma")))
-    return stats.groupBy(*by).agg(F.transform(cells, lambda c: c["mu"]).alias("mu"), F.transform(cells, lambda c: c["sigma"]).alias("sigma"))
+    """``vectors.mean_and_deviation`` with a row for each component: by, dim, mu, sigma."""
+    stats = vectors.mean_and_deviation(df, by, vector, floor)
+    cells = F.transform("mu", lambda m, i: F.struct(i.alias("dim"), m.alias("mu"), F.get("sigma", i).alias("sigma")))
+    return stats.select(*by, F.inline(cells))
 
 
 def vector_mean(df: DataFrame, by: list[str], vector: str, out: str = "mean") -> DataFrame:
     """Component-wise mean of the vectors of a group."""
-    x = df.select(*by, F.posexplode(vector).alias("_d", "_v")).groupBy(*by, "_d").agg(F.avg("_v").alias("_v"))
-    return x.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_d", "_v"))), lambda c: c["_v"]).alias(out))
+    return vectors.vector_stats(df, by, vector).select(*by, F.col("mean").alias(out))
 
 
 def bucket_vector(states: DataFrame, stats: DataFrame, buckets: dict[str, list[int]], key: list[str], log_prob: str) -> DataFrame:

@@ -377,42 +377,3 @@ def select_columns(df: DataFrame, by: list[str], key: str, columns: dict[str, li
 def first_of_each(blocks: int, width: int, k: int) -> list[int]:
     """Indices of the first ``k`` of each of ``blocks`` stretches of ``width`` components."""
     return [b * width + i for b in range(blocks) for i in range(min(k, width))]
-
-
-def fit_pca(df: DataFrame, by: list[str], dim: int = 100, features: str = "x", extra: int = 10, rounds: int = 4, seed: int = 42) -> DataFrame:
-    """Leading components of each group by randomised subspace iteration: by, mu, components.
-
-    ``dim`` is cut to the features and to the rows less one. What travels is a
-    features x (dim + extra) array for each task and group.
-    """
-    g = Groups(df, by, features, None)
-    models = [Model(i) for i in range(len(g.keys))]
-    first = g.sums(moments, models, [()] * len(models)) if models else {}
-    d = g.widths
-    k = {i: min(d[i], dim, max(1, int(s[0]) - 1)) for i, s in first.items()}
-    mean = {i: s[2 : 2 + d[i]] / s[0] for i, s in first.items()}
-    draw = np.random.default_rng(seed)
-    q = {i: np.linalg.qr(draw.standard_normal((d[i], min(d[i], k[i] + extra))))[0] for i in first}
-    for _ in range(rounds):
-        now = [(mean[i], q[i]) if i in first else None for i in range(len(g.keys))]
-        z = g.sums(lambda x, y, s: ((x - s[0]).T @ ((x - s[0]) @ s[1])).ravel(), models, now)
-        q = {i: np.linalg.qr(v.reshape(d[i], -1))[0] for i, v in z.items()}
-    now = [(mean[i], q[i]) if i in first else None for i in range(len(g.keys))]
-    small = g.sums(lambda x, y, s: (((x - s[0]) @ s[1]).T @ ((x - s[0]) @ s[1])).ravel(), models, now)
-    rows = []
-    for i, v in small.items():
-        m = v.reshape(q[i].shape[1], -1)
-        values, vectors = np.linalg.eigh(m)
-        top = np.argsort(-values)[: k[i]]
-        axes = (q[i] @ vectors[:, top]).T
-        axes *= np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
-        rows.append((*g.keys[i], mean[i].tolist(), axes.tolist(), (values[top] / first[i][0]).tolist()))
-    return local(df, by, rows, "mu array<double>, components array<array<double>>, variance array<double>")
-
-
-def project(df: DataFrame, model: DataFrame, by: list[str], features: str = "x", out: str = "x") -> DataFrame:
-    """Coordinates along the components of ``fit_pca``."""
-    m = model.select(*by, F.struct("mu", "components").alias("_m"))
-    joined = df.join(F.broadcast(m), by) if by else df.join(F.broadcast(m), F.lit(True))
-    centred = F.zip_with(F.col(features).cast("array<double>"), F.col("_m.mu"), lambda a, b: a - b)
-    return joined.withColumn("_c", centred).withColumn(out, F.transform("_m.components", lambda axis: A.dot(axis, F.col("_c")))).drop("_m", "_c")

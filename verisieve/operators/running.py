@@ -33,7 +33,7 @@ def same(left: list[str], right: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right, strict=True)], F.lit(True))
 
 
-def _differs(a: pa.Array, b: pa.Array) -> np.ndarray:
+def differs(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Where two columns differ, element by element; nulls are equal, and so are NaNs."""
     equal = pc.fill_null(pc.equal(a, b), False)
     if pa.types.is_floating(a.type):
@@ -78,9 +78,9 @@ def _local(rows: DataFrame, keys: list[str], sums: dict[str, str], mins: dict[st
             begins[0] = last is None
             for k in keys:
                 c = b.column(k)
-                begins[1:] |= _differs(c.slice(1), c.slice(0, n - 1))
+                begins[1:] |= differs(c.slice(1), c.slice(0, n - 1))
                 if last is not None:
-                    begins[0] |= _differs(c.slice(0, 1), last[k])[0]
+                    begins[0] |= differs(c.slice(0, 1), last[k])[0]
             starts = np.flatnonzero(begins)
             out = [pa.array(np.full(n, part, np.int32))]
             for name, c in source.items():

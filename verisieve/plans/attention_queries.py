@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from verisieve.functions import arrays as A
 from verisieve.operators import boundary, frames
 from verisieve.operators import generations as gen
+from verisieve.operators.vectors import mean_and_deviation
 from verisieve.plans.registry import query
 from verisieve.plans.source_queries import scratch
 from verisieve.plans.vector_queries import E, six, vectors
@@ -60,7 +61,7 @@ b AS (SELECT vec_id, dim, CASE WHEN layer < 2 THEN 0 ELSE 1 END AS bucket, avg(z
 SELECT vec_id, list_concat(list(round(z, 5) ORDER BY bucket, dim), [round(vec_id / 7.0, 5)]) AS x FROM b GROUP BY vec_id""")
 def bucket_vectors(spark, root):
     states = vectors(spark, root).select("vec_id", (F.col("vec_id") / 7.0).alias("lp"), F.posexplode(blocks("e", 4, 16)).alias("layer", "vector"))
-    stats = frames.stat_arrays(frames.dimension_stats(states, ["layer"], "vector"), ["layer"])
+    stats = mean_and_deviation(states, ["layer"], "vector", 1e-6)
     return frames.bucket_vector(states, stats, {"mid": [0, 1], "late": [2, 3]}, ["vec_id"], "lp").select("vec_id", rounded(F.col("x"), 5).alias("x"))
 
 

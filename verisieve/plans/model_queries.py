@@ -7,7 +7,7 @@ vec_id mod 2, the band is HI where the first component is positive.
 from pyspark.sql import functions as F
 
 from verisieve.functions import arrays as A
-from verisieve.operators import detectors, features, models, ranks
+from verisieve.operators import components, detectors, features, models, ranks
 from verisieve.operators import generations as gen
 from verisieve.operators import relational as rel
 from verisieve.plans.registry import query
@@ -46,8 +46,8 @@ def lr_cv_select(spark, root):
 @query("lr_pca_score")
 def lr_pca_score(spark, root):
     train, test = cut(examples(spark, root))
-    axes = models.fit_pca(train, ["pair"], 16, "e")
-    a, b = (models.project(d.drop("x") if "x" in d.columns else d, axes, ["pair"], "e") for d in (train, test))
+    axes = components.fit_components(train, ["pair"], 16, "e")
+    a, b = (components.project(d, axes, ["pair"], "e") for d in (train, test))
     return models.fit_score(a, b, ["pair"], "x", scale=False).select("pair", "n_train", "n", "n_pos", F.round("auroc", 6).alias("auroc"))
 
 

@@ -7,6 +7,7 @@ from verisieve.functions import text as T
 from verisieve.operators import frames
 from verisieve.operators import generations as gen
 from verisieve.operators import relational as rel
+from verisieve.operators.vectors import mean_and_deviation
 from verisieve.plans.registry import query
 from verisieve.sources.tables import table
 
@@ -61,7 +62,7 @@ def layer_stats(spark, root):
 @query("zscore_bucket_mean", f"""WITH x AS (SELECT vec_id, label, unnest({E}) AS v, unnest(range(64)) AS dim FROM embeddings), s AS (SELECT label, dim, avg(v) AS mu, stddev_pop(v) + 1e-6 AS sd FROM x GROUP BY ALL)
 SELECT vec_id, CAST(dim % 16 AS BIGINT) AS dim, round(avg((v - mu) / sd), 5) AS z FROM x JOIN s USING (label, dim) GROUP BY vec_id, dim % 16""")
 def zscore_bucket_mean(spark, root):
-    stats = frames.stat_arrays(frames.dimension_stats(vectors(spark, root), ["label"], "e"), ["label"])
+    stats = mean_and_deviation(vectors(spark, root), ["label"], "e", 1e-6)
     z = vectors(spark, root).join(stats, "label").select("vec_id", A.zscore(F.col("e"), F.col("mu"), F.col("sigma")).alias("z"))
     pieces = [F.slice("z", i * 16 + 1, 16) for i in range(4)]
     mean = F.transform(A.add(A.add(pieces[0], pieces[1]), A.add(pieces[2], pieces[3])), lambda v: v / 4)
