@@ -94,6 +94,6 @@ def test_sinks(spark, tmp_path):
     assert sinks.promote(a, str(tmp_path / "p"), a, ["k"]) is None
     with pytest.raises(ValueError):
         sinks.promote(a.where("k = 1"), str(tmp_path / "p"), a, ["k"])
-    assert spark.read.parquet(str(tmp_path / "p")).count() == 2
+    assert sinks.read_current(spark, str(tmp_path / "p")).count() == 2
     assert spark.read.parquet(sinks.promote(a, str(tmp_path / "p"), a, ["k"])).count() == 2
     assert sinks.markdown(a, "T", ["k", "v"]).splitlines()[4:] == ["| 1 | 0.5000 |", "| 2 | — |"]

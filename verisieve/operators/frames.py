@@ -57,6 +57,14 @@ def grid(spark: SparkSession, models: list[str], datasets: list[str], only: list
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows) if not only or r[2] in only], "model string, dataset string, pair string, ord int")
 
 
+def names_of(df: DataFrame, column: str, most: int = 1000) -> list[str]:
+    """The distinct names in a column of a configuration table, sorted; more than ``most`` are an error."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} names in {column}")
+    return sorted(found)
+
+
 def argmax_columns(df: DataFrame, columns: list[str], name: str = "best", value: str = "value") -> DataFrame:
     """Name and value of the largest of ``columns``, the earlier of equals; null and NaN never win,
     and both are null where there is nothing else."""
@@ -65,6 +73,14 @@ def argmax_columns(df: DataFrame, columns: list[str], name: str = "best", value:
     return df.withColumn("_top", top).withColumn(name, F.col("_top.n")).withColumn(value, F.col("_top.v")).drop("_top")
 
 
+def placed_results(df: DataFrame, order: list[str], pair: str = "pair", method: str = "method") -> DataFrame:
+    """Column place: the row's number, from 1, in the order of ``in_result_order``; the sorted table is
+    numbered range by range."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(pair))
+    ranked = df.withColumns({"_at": F.when(place > 0, place).otherwise(F.lit(1 << 30)), "_1": F.lit(1)})
+    return running(ranked, [], ["_at", pair, method], {"place": "_1"}).drop("_at", "_1")
+
+
 def in_result_order(df: DataFrame, order: list[str], pair: str = "pair", method: str = "method") -> DataFrame:
     """Sorted by the place of the pair in ``order`` (others last), then by method."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col(pair))

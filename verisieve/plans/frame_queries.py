@@ -57,9 +57,13 @@ def restricted_ids(spark, root):
     return frames.restricted(table(spark, root, "documents").select(F.col("doc_id").alias("id")), table(spark, root, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")), ["id"])
 
 
-@query("pair_grid", "SELECT m || '_' || d AS pair, m AS model, d AS dataset, CAST(3 * i + j AS INTEGER) AS ord FROM (VALUES ('a', 0), ('b', 1)) x(m, i), (VALUES ('p', 0), ('q', 1), ('r', 2)) y(d, j) WHERE NOT (m = 'a' AND d = 'q')")
+@query("pair_grid", """WITH m AS (SELECT r_name AS m, row_number() OVER (ORDER BY r_name) - 1 AS i FROM region), d AS (SELECT s AS d, row_number() OVER (ORDER BY s) - 1 AS j FROM (SELECT DISTINCT c_mktsegment AS s FROM customer))
+SELECT m || '_' || d AS pair, m AS model, d AS dataset, CAST(i * (SELECT count(*) FROM d) + j AS INTEGER) AS ord FROM m, d WHERE NOT (i = 0 AND j = 1)""")
 def pair_grid(spark, root):
-    return frames.grid(spark, ["a", "b"], ["p", "q", "r"], ["a_p", "a_r", "b_p", "b_q", "b_r"]).select("pair", "model", "dataset", "ord")
+    """Regions stand in for models, market segments for datasets; one pair is left out."""
+    models, datasets = frames.names_of(table(spark, root, "region"), "r_name"), frames.names_of(table(spark, root, "customer"), "c_mktsegment")
+    only = [f"{m}_{d}" for i, m in enumerate(models) for j, d in enumerate(datasets) if (i, j) != (0, 1)]
+    return frames.grid(spark, models, datasets, only).select("pair", "model", "dataset", "ord")
 
 
 @query("key_sets", "SELECT 'both' AS part, count(*) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT vec_id FROM embeddings) UNION ALL SELECT 'either', count(*) FROM (SELECT doc_id FROM documents UNION SELECT vec_id FROM embeddings) UNION ALL SELECT 'left', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT vec_id FROM embeddings)")
@@ -90,11 +94,7 @@ def rounded_means(spark, root):
 
 @query("ordered_results", f"""WITH {EX}, {auroc_sql('long', ['pair', 'method'])}, o AS (SELECT pair, method, row_number() OVER (ORDER BY CASE pair WHEN 'fr' THEN 0 WHEN 'de' THEN 1 ELSE 99 END, pair, method) AS place FROM a) SELECT * FROM o""")
 def ordered_results(spark, root):
-    from pyspark.sql.window import Window
-
-    done = frames.in_result_order(ranks.auroc(long_scores(spark, root), ["pair", "method"]), ["fr", "de"])
-    # a result table has a row for each pair and method: numbered in one task
-    return done.select("pair", "method", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long").alias("place"))
+    return frames.placed_results(ranks.auroc(long_scores(spark, root), ["pair", "method"]), ["fr", "de"]).select("pair", "method", "place")
 
 
 @query("row_filters", """SELECT conv_id AS id, count(*) AS n FROM conversations WHERE trim(text) <> '' GROUP BY conv_id HAVING count(*) >= 3 AND min(role) <> 'system'""")

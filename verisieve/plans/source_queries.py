@@ -66,7 +66,7 @@ def layers_present(spark, root):
 def resume_append(spark, root):
     events, path = table(spark, root, "events").select("event_id", "event_type"), scratch(spark)
     sinks.resume(events.where("event_type <> 'purchase'"), path, ["event_id"], lambda todo: todo)
-    return sinks.resume(events, path, ["event_id"], lambda todo: todo).groupBy("event_type").agg(F.count("*").alias("n"))
+    return sinks.resume(events, path, ["event_id"], lambda todo: todo, batch_rows=10_000).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("staged_promote", "SELECT count(*) AS n FROM customer")
@@ -74,7 +74,7 @@ def staged_promote(spark, root):
     rows, path = table(spark, root, "customer"), scratch(spark)
     sinks.promote(rows.where("c_custkey = 1"), path, rows.where("c_custkey = 1"), ["c_custkey"])
     sinks.promote(rows, path, rows, ["c_custkey"])
-    return spark.read.parquet(path).agg(F.count("*").alias("n"))
+    return sinks.read_current(spark, path).agg(F.count("*").alias("n"))
 
 
 @query("config_upsert", "SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS v FROM customer")

@@ -22,9 +22,17 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A headed CSV whose fields may hold quotes and line breaks; all columns are text."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """A headed CSV whose fields may hold quotes; all columns are text. Fields with line breaks make a
+    file one task; without them (``line_breaks`` false) large files are split."""
+    return spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"').csv(path)
+
+
+def in_file_order(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows that are read from text files with columns that rise with their place in these: the
+    file, the start of the split, and the row's number, which rises inside a split."""
+    at = rows.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b")).withColumn("_n", F.monotonically_increasing_id())
+    return at, ["_f", "_b", "_n"]
 
 
 def parse_samples(raw: DataFrame, id: str = "id", question: str = "question", truth: str = "ground_truth", answer: str = "low_t_generation", candidates: str = "candidates", verdict: str = "LLM_verdict") -> DataFrame:
@@ -44,8 +52,8 @@ def parse_samples(raw: DataFrame, id: str = "id", question: str = "question", tr
     )
 
 
-def read_samples_csv(spark: SparkSession, path: str, **names: str) -> DataFrame:
-    return parse_samples(read_csv(spark, path), **names)
+def read_samples_csv(spark: SparkSession, path: str, line_breaks: bool = True, **names: str) -> DataFrame:
+    return parse_samples(read_csv(spark, path, line_breaks), **names)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -65,8 +73,8 @@ def read_records(spark: SparkSession, path: str, schema: str = RECORD) -> DataFr
     rows = read_jsonl(spark, path, schema)
     if not exists(spark, path):
         return rows
-    at = rows.withColumn("_f", F.input_file_name()).withColumn("_n", F.monotonically_increasing_id())
-    return rel.first_by(at, ["id", "candidate"], F.desc("_f"), F.desc("_n")).drop("_f", "_n")
+    at, order = in_file_order(rows)
+    return rel.first_by(at, ["id", "candidate"], *map(F.desc, order)).drop(*order)
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
@@ -79,9 +87,10 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
 
 def read_scores(spark: SparkSession, path: str, key: str, value: str, order: str | None = None) -> DataFrame:
     """(key, value) of a score CSV: wrapped numbers repaired, NaN left out, of repeated keys the last row."""
-    rows = require_columns(read_csv(spark, path), [key, value]).select(key, X.repaired_number(F.col(value)).alias(value), *([order] if order else []))
-    at = F.desc(order) if order else F.desc(F.monotonically_increasing_id())
-    return rel.first_by(rows.where(F.col(value).isNotNull()), [key], at).select(key, value)
+    raw = require_columns(read_csv(spark, path, line_breaks=False), [key, value])
+    at, last = in_file_order(raw) if order is None else (raw, [order])
+    rows = at.select(key, X.repaired_number(F.col(value)).alias(value), *last)
+    return rel.first_by(rows.where(F.col(value).isNotNull()), [key], *map(F.desc, last)).select(key, value)
 
 
 def read_generations(spark: SparkSession, path: str) -> DataFrame:
@@ -111,9 +120,9 @@ def lookup(keys: DataFrame, records: DataFrame, key: list[str], order: str, stri
 
 def read_candidate_map(spark: SparkSession, path: str) -> DataFrame:
     """(id, candidate) of a JSON sidecar: lines of objects that have both; of repeated ids the last."""
-    rows = read_jsonl(spark, path, "id string, candidate string").where("id IS NOT NULL AND candidate IS NOT NULL")
-    at = rows.withColumn("_f", F.input_file_name()).withColumn("_n", F.monotonically_increasing_id()) if exists(spark, path) else rows.withColumn("_f", F.lit("")).withColumn("_n", F.lit(0))
-    return rel.first_by(at, ["id"], F.desc("_f"), F.desc("_n")).drop("_f", "_n")
+    rows = read_jsonl(spark, path, "id string, candidate string")
+    at, order = in_file_order(rows) if exists(spark, path) else (rows, ["candidate"])
+    return rel.first_by(at.where("id IS NOT NULL AND candidate IS NOT NULL"), ["id"], *map(F.desc, order)).select("id", "candidate")
 
 
 def read_bundle(spark: SparkSession, path: str, half: list[str] | None = None, least: int | None = None) -> DataFrame:

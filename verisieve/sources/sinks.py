@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verisieve.operators import relational as rel
 from verisieve.sources.readers import exists
+from verisieve.sources.tables import written
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -28,8 +29,9 @@ def write_csv(df: DataFrame, path: str, columns: list[str], places: int | None =
 
 
 def write_layers(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Vectors or tensors by (model, dataset, layer): one directory each, so a reader prunes."""
-    df.repartition("model", "dataset", "layer").write.mode(mode).partitionBy("model", "dataset", "layer").parquet(path)
+    """Vectors or tensors by (model, dataset, layer): one directory each, so a reader prunes. Large
+    layers are written by several tasks, small ones together."""
+    df.hint("rebalance", "model", "dataset", "layer").write.mode(mode).partitionBy("model", "dataset", "layer").parquet(path)
 
 
 def write_split(ids: DataFrame, path: str) -> None:
@@ -38,9 +40,9 @@ def write_split(ids: DataFrame, path: str) -> None:
 
 
 def write_bundle(df: DataFrame, path: str, key: list[str], layer: str = "layer", mode: str = "overwrite") -> None:
-    """A table of tensors (any nesting of arrays, labels beside them) by layer, sorted by key, so that
-    readers skip row groups."""
-    df.repartition(layer).sortWithinPartitions(layer, *key).write.mode(mode).partitionBy(layer).parquet(path)
+    """A table of tensors (any nesting of arrays, labels beside them) by layer, sorted by key in each
+    file, so that readers skip row groups. Large layers are written by several tasks."""
+    df.hint("rebalance", layer).sortWithinPartitions(layer, *key).write.mode(mode).partitionBy(layer).parquet(path)
 
 
 def write_model(model: DataFrame, path: str, config: dict[str, str] | None = None, metrics: DataFrame | None = None, mode: str = "overwrite") -> None:
@@ -72,38 +74,86 @@ def materialise(spark: SparkSession, path: str, build: callable, overwrite: bool
     return spark.read.parquet(path)
 
 
-def resume(source: DataFrame, path: str, key: list[str], process: callable) -> DataFrame:
-    """Process the rows whose keys the table at ``path`` lacks and append the results."""
+def resume(source: DataFrame, path: str, key: list[str], process: callable, batch_rows: int = 100_000) -> DataFrame:
+    """Process the rows whose keys the table at ``path`` lacks, and append the results batch by batch.
+
+    The rows to do are written first, dealt by hash of their keys into batches of about
+    ``batch_rows``; a batch is appended before the next one is begun. A run that is killed loses one
+    batch at most: the next run does what is not in the table yet."""
     spark = source.sparkSession
     todo = rel.pending(source, spark.read.parquet(path), key) if exists(spark, path) else source
-    process(todo).write.mode("append").parquet(path)
+    todo = written(todo)
+    n = todo.count()
+    batches = max(1, -(-n // batch_rows))
+    if n or not exists(spark, path):
+        for i in range(batches):
+            mine = todo if batches == 1 else todo.where(F.pmod(F.xxhash64(*key), F.lit(batches)) == i)
+            process(mine).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 
-def _rename(spark: SparkSession, a: str, b: str) -> None:
-    old, new = spark._jvm.org.apache.hadoop.fs.Path(a), spark._jvm.org.apache.hadoop.fs.Path(b)
-    if not old.getFileSystem(spark._jsc.hadoopConfiguration()).rename(old, new):
-        raise OSError(f"cannot rename {a}")
+def _files(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the manifests, oldest first."""
+    fs, where = _files(spark, f"{path}/_manifests")
+    return sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def _target(spark: SparkSession, path: str, manifest: str) -> str | None:
+    """The folder that a manifest names; None while it is not whole (a line that ends)."""
+    fs, where = _files(spark, f"{path}/_manifests/{manifest}")
+    stream = fs.open(where)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return text[:-1] if text.endswith("\n") else None
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of the table that was last promoted to ``path``."""
+    for manifest in reversed(_versions(spark, path)):
+        target = _target(spark, path, manifest)
+        if target:
+            return f"{path}/{target}"
+    return None
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The table that was last promoted; it stays as it is while others are promoted."""
+    found = current(spark, path)
+    if found is None:
+        raise ValueError(f"no table was promoted to {path}")
+    return spark.read.parquet(found)
 
 
 def promote(df: DataFrame, path: str, expected: DataFrame, key: list[str]) -> str | None:
-    """Write beside ``path``, check that every expected key is there, then swap by rename.
+    """Write a new version below ``path``, check that every expected key is there, then name it in a
+    new manifest, which is what ``read_current`` goes by.
 
-    Returns where the former table is kept, None if there was none; an incomplete table
-    is an error and leaves ``path`` as it was.
-    """
+    Nothing is renamed or replaced: a reader sees the old table until the manifest is whole, then
+    the new one, on object stores too. Manifests are numbered; of two writers that promote at once
+    the one that comes second to a number gets an error. Returns the folder of the former table,
+    None if there was none; an incomplete table is an error and leaves the former one current."""
     spark = df.sparkSession
-    tag = uuid.uuid4().hex
-    staging, backup = f"{path}.staging-{tag}", f"{path}.backup-{tag}"
-    df.write.parquet(staging)
-    lacking = expected.select(*key).join(spark.read.parquet(staging).select(*key), key, "left_anti").count()
+    had, names = current(spark, path), _versions(spark, path)
+    version = f"version-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    lacking = expected.select(*key).join(spark.read.parquet(f"{path}/{version}").select(*key), key, "left_anti").count()
     if lacking:
-        raise ValueError(f"{lacking} expected keys are missing; the table stays in {staging}")
-    had = exists(spark, path)
-    if had:
-        _rename(spark, path, backup)
-    _rename(spark, staging, path)
-    return backup if had else None
+        raise ValueError(f"{lacking} expected keys are missing; the table stays in {path}/{version}")
+    number = int(names[-1]) + 1 if names else 0
+    fs, where = _files(spark, f"{path}/_manifests/{number:012d}")
+    out = fs.create(where, False)
+    try:
+        out.write(bytearray(f"{version}\n".encode()))
+    finally:
+        out.close()
+    return had
 
 
 def markdown(df: DataFrame, title: str, columns: list[str], places: int = 4, most: int = 1000) -> str:
