@@ -76,9 +76,9 @@ class Formatter:
     """Spans of one conversation's turns, fed turn by turn.
 
     Every prefix is rendered whole, so a conversation takes time with the square of its
-    length and is held in memory. A template that is declared ``stateless`` renders each
-    turn alike whatever stands before it, and the output of a list of turns is that of its
-    first part followed by that of the rest; then a turn is rendered by itself, and a
+    length and is held in memory. A caller that knows its template may declare it ``stateless``:
+    it renders each turn alike whatever stands before it, and the output of a list of turns is
+    that of its first part followed by that of the rest. Then a turn is rendered by itself, and a
     conversation of any length takes time in proportion to it and memory for one turn.
     """
 
@@ -134,16 +134,15 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, int | None, s
             now = conv
 
 
-def turn_spans(conversations: DataFrame, render: Render = instruct_template, loss_roles: tuple[str, ...] = ("assistant",), stateless: bool | None = None) -> DataFrame:
+def turn_spans(conversations: DataFrame, render: Render = instruct_template, loss_roles: tuple[str, ...] = ("assistant",), stateless: bool = False) -> DataFrame:
     """One row for each turn: what it adds to the rendered output, where its text stands
     in it, and whether that is under the loss mask. ``stateless`` is as for ``format_digest``."""
-    alone = render is instruct_template if stateless is None else stateless
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, state = [], None
         for first, conv, role, text in _walk(batches):
             if first:
-                state = Formatter(render, alone)
+                state = Formatter(render, stateless)
             at = state.count
             added, span = state.add(role, text)
             a, b = span or (None, None)
@@ -157,15 +156,14 @@ def turn_spans(conversations: DataFrame, render: Render = instruct_template, los
     return _sorted(conversations).mapInPandas(run, SPANS)
 
 
-def format_digest(conversations: DataFrame, render: Render = instruct_template, read_back: Callable[[str], list[tuple[str, str]]] = parse, loss_role: str = "assistant", stateless: bool | None = None) -> DataFrame:
+def format_digest(conversations: DataFrame, render: Render = instruct_template, read_back: Callable[[str], list[tuple[str, str]]] = parse, loss_role: str = "assistant", stateless: bool = False) -> DataFrame:
     """One row for each conversation, read back from the formatted output.
 
     A conversation's digests are sequential, so its rows go to one task; they are
-    streamed in order. ``stateless`` declares the template so (see ``Formatter``); by
-    default only ``instruct_template`` is. Of a stateless template one turn is held, of
-    others the conversation.
+    streamed in order; the rendered conversation so far is held (of a template that is declared
+    ``stateless``, see ``Formatter``, one turn). ``rewritten_from`` is the place of the first turn
+    whose prefix does not begin with the one before it, null where none rewrites history.
     """
-    alone = render is instruct_template if stateless is None else stateless
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, state = [], None
@@ -178,7 +176,7 @@ def format_digest(conversations: DataFrame, render: Render = instruct_template,
                 if state is not None:
                     close()
                 key, turns, loss_chars = conv, 0, 0
-                state, all_hash, loss_hash = Formatter(render, alone), hashlib.sha256(), hashlib.sha256()
+                state, all_hash, loss_hash = Formatter(render, stateless), hashlib.sha256(), hashlib.sha256()
                 chars = len(state.last)
             added, span = state.add(role, text)
             chars += len(added)
@@ -207,7 +205,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return format_digest(conversations.unionByName(extra)).drop("rewritten_from")
+    return format_digest(conversations.unionByName(extra))
 
 
 def _escaped_sql() -> str:
@@ -231,6 +229,6 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(chars) AS BIGINT) AS formatted_chars
+  CAST(sum(chars) AS BIGINT) AS formatted_chars, CAST(NULL AS BIGINT) AS rewritten_from
 FROM sized GROUP BY conv_id
 """

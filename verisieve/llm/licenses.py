@@ -2,13 +2,14 @@
 
 Candidate blocks are the surroundings of license vocabulary, wide enough to hold every
 template around its own vocabulary however its lines are wrapped; surroundings that touch
-are one block. A block is compared word by word with every template that shares enough
-words with it. The best notice is the stretch of the block with the most agreeing words
-over differing ones, if at least ``least_share`` of the template's words and of the
-stretch's agree and, of a wording of fewer than ``SHORT`` words, none is lacking that only
-this license's wordings use; what stands before and after it is searched again, so every notice of a
-block is reported, with the exact words that it lacks or adds. A notice must also
-compress better with its template as a zstandard raw dictionary than alone.
+are one block. A block is compressed alone and with each template as a zstandard raw
+dictionary, and the templates are ranked by how much smaller it gets. The first of them that the
+wording confirms is its notice: the stretch of the block with the most agreeing words over
+differing ones, if at least ``least_share`` of the template's words and of the stretch's
+agree and, of a wording of fewer than ``SHORT`` words, none is lacking that only this
+license's wordings use. A template that saves nothing is not looked at. What stands before and
+after a notice is ranked again by itself, so every notice of a block is reported, with the
+exact words that it lacks or adds.
 
 Whole texts are searched. Null and empty texts have no blocks; an empty table
 gives no rows; repeated rows give repeated results; ties go to the template that
@@ -113,38 +114,52 @@ class Scanner:
             self.known[block] = [row for _, row in sorted(out)]
         return self.known[block]
 
+    def _ranked(self, text: str) -> list[int]:
+        """Templates with which ``text`` compresses better than alone, by what they save."""
+        raw = " ".join(text.split()).encode()
+        plain = len(self.plain.compress(raw))
+        sizes = [len(c.compress(raw)) for c in self.given]
+        return sorted((i for i, size in enumerate(sizes) if size < plain), key=lambda i: sizes[i])
+
     def _best(self, block: str, places: list[tuple[int, int]], mine: list[str]) -> tuple[int, int, tuple] | None:
-        """First and end word of the best notice, and its row."""
-        have, found = Counter(mine), []
+        """First and end word of the notice of the template that saves most among those confirmed, and its row."""
+        if not mine:
+            return None
+        have = Counter(mine)
         match = SequenceMatcher(None, autojunk=False)
         match.set_seq2(mine)
-        for i, theirs in enumerate(self.words):
-            need = self.least_share * max(len(theirs), 1)
-            if sum(min(n, have[w]) for w, n in self.counts[i].items()) < need:
-                continue
-            match.set_seq1(theirs)
-            run = best_run([m for m in match.get_matching_blocks() if m.size])
-            agreed = sum(m.size for m in run)
-            if not run or agreed < need:
-                continue
-            first, last = run[0].b, run[-1].b + run[-1].size
-            lacking, added = len(theirs) - agreed, last - first - agreed
-            if agreed < self.least_share * (last - first) or not self.needed[i] <= {w for m in run for w in theirs[m.a : m.a + m.size]}:
-                continue
-            raw = " ".join(block[places[first][0] : places[last - 1][1]].split()).encode()
-            plain, size = len(self.plain.compress(raw)), len(self.given[i].compress(raw))
-            if size < plain:
-                found.append((lacking + added - agreed, size, i, first, last, run, plain, lacking, added))
-        if not found:
-            return None
-        _, size, i, first, last, run, plain, lacking, added = min(found, key=lambda f: f[:3])
-        theirs, said, a, b = self.words[i], [], 0, first
+        for i in self._ranked(block[places[0][0] : places[-1][1]]):
+            run = self._confirmed(i, have, match)
+            if run:
+                return self._row(i, run, block, places, mine)
+        return None
+
+    def _confirmed(self, i: int, have: Counter, match: SequenceMatcher) -> list:
+        """Matches of template i with the words where its wording is found, else none."""
+        theirs = self.words[i]
+        need = self.least_share * max(len(theirs), 1)
+        if sum(min(n, have[w]) for w, n in self.counts[i].items()) < need:
+            return []
+        match.set_seq1(theirs)
+        run = best_run([m for m in match.get_matching_blocks() if m.size])
+        agreed = sum(m.size for m in run)
+        if agreed < max(need, 1) or agreed < self.least_share * (run[-1].b + run[-1].size - run[0].b):
+            return []
+        return run if self.needed[i] <= {w for m in run for w in theirs[m.a : m.a + m.size]} else []
+
+    def _row(self, i: int, run: list, block: str, places: list[tuple[int, int]], mine: list[str]) -> tuple[int, int, tuple]:
+        theirs, first, last = self.words[i], run[0].b, run[-1].b + run[-1].size
+        agreed = sum(m.size for m in run)
+        lacking, added = len(theirs) - agreed, last - first - agreed
+        raw = " ".join(block[places[first][0] : places[last - 1][1]].split()).encode()
+        plain, size = len(self.plain.compress(raw)), len(self.given[i].compress(raw))
+        said, a, b = [], 0, first
         for m in run:
             said.append((theirs[a : m.a], mine[b : m.b]))
             a, b = m.a + m.size, m.b + m.size
         said.append((theirs[a:], []))
         difference = "; ".join(f"-[{' '.join(x)}] +[{' '.join(y)}]" for x, y in said if x or y)
-        return first, last, (self.templates[i][0], i, plain, size, (plain - size) / plain, lacking, added, difference, lacking + added == 0)
+        return first, last, (self.templates[i][0], i, plain, size, (plain - size) / max(plain, 1), lacking, added, difference, lacking + added == 0)
 
 
 def best_run(matches: list) -> list:
