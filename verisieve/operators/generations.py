@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verisieve.operators import ranks
+from verisieve.sources.tables import written
+
 ANSWERS = 10
 
 
@@ -150,12 +153,13 @@ def probabilities(logits: Column) -> Column:
     return F.transform(raised, lambda v: v / F.aggregate(raised, F.lit(0.0), lambda s, w: s + w))
 
 
-def entailment_pairs(answers: DataFrame, key: str, question: str, answer: str, model: callable) -> DataFrame:
+def entailment_pairs(answers: DataFrame, key: str, question: str, answer: str, model: callable, memo: str | None = None) -> DataFrame:
     """key, i, j, p: class probabilities of every ordered pair of a question's answers, each read
-    after its question. ``model`` maps two series of texts to logits, once for each distinct pair."""
+    after its question. ``model`` maps two series of texts to logits, once for each distinct pair;
+    ``memo`` is as for ``memo_pairs``."""
     said = answers.select(key, "i", F.concat_ws(" ", question, answer).alias("_s"))
     pairs = answer_pairs(said, key, "_s")
-    return memo_pairs(pairs, model, "array<double>").select(key, "i", "j", probabilities(F.col("sim")).alias("p"))
+    return memo_pairs(pairs, model, "array<double>", memo).select(key, "i", "j", probabilities(F.col("sim")).alias("p"))
 
 
 def equivalent_answers(pairs: DataFrame, key: str, strict: bool = False) -> DataFrame:
@@ -183,11 +187,60 @@ def cluster_entropy(clusters: DataFrame, key: str) -> DataFrame:
     return sizes.groupBy(key).agg((F.log(total) - F.sum(F.col("c") * F.log("c")) / total).alias("entropy"))
 
 
-def memo_pairs(pairs: DataFrame, model: callable, schema: str = "double") -> DataFrame:
-    """Column sim: ``model(a, b)`` once for each distinct pair of texts."""
-    call = F.pandas_udf(model, schema)
-    seen = pairs.select("a", "b").distinct().withColumn("sim", call("a", "b"))
-    on = F.col("p.a").eqNullSafe(F.col("m.a")) & F.col("p.b").eqNullSafe(F.col("m.b"))
-    return pairs.alias("p").join(seen.alias("m"), on).select("p.*", "m.sim")
+def memo_pairs(pairs: DataFrame, model: callable, schema: str = "double", memo: str | None = None) -> DataFrame:
+    """Column sim: ``model(a, b)`` once for each distinct pair of texts.
 
+    ``memo`` is the path of a table of what this model has said, by the SHA-256 of the two texts: pairs
+    that it holds are joined, the others go to the model batch by batch and are appended. So a pair
+    is read once in all runs, and a run that is killed loses a batch."""
+    from verisieve.sources import sinks
 
+    call = F.pandas_udf(model, schema)
+    name = F.sha2(F.concat(F.length("a").cast("string"), F.lit(":"), "a", "b"), 256)
+    named = pairs.withColumn("_pair", F.coalesce(name, F.to_json(F.struct("a", "b"))))
+    seen = named.select("_pair", "a", "b").distinct()
+    said = lambda df: df.select("_pair", call("a", "b").alias("sim"))
+    known = said(seen) if memo is None else sinks.resume(seen, memo, ["_pair"], said)
+    return named.join(known, "_pair").select(*pairs.columns, "sim")
+
+
+#: The measures of a question, as they are named in tables.
+MEASURES = ("num_set", "lexical_sim", "sum_eigv", "degree", "eccentricity", "luq", "snne")
+
+
+def uncertainty_records(answers: DataFrame, key: str, question: str, answer: str, model: callable, memo: str | None = None) -> DataFrame:
+    """key and the seven ``MEASURES`` of every question with two answers or more.
+
+    Answers are read after their question. num_set counts the clusters of answers that are equivalent
+    both ways (not strictly); lexical_sim is minus the mean ROUGE-L; the graph measures and snne take
+    p(entailment), luq the share of entailment without neutral. The model is asked once."""
+    said = answers.withColumn("_said", F.concat_ws(" ", question, answer))
+    p = written(entailment_pairs(answers, key, question, answer, model, memo))
+    strict, loose = (p.select(key, "i", "j", entailment_score(F.col("p"), v).alias("sim")) for v in ("strict", "luq"))
+    sets = semantic_clusters(equivalent_answers(p, key), key, "same").groupBy(key).agg(F.countDistinct("cluster").cast("double").alias("num_set"))
+    parts = [
+        sets,
+        lexical_similarity(said, key, "_said").withColumnRenamed("lexical_similarity", "lexical_sim"),
+        spectral_measures(strict, key, "sim"),
+        weighted_measures(strict, key, "sim").select(key, "degree", "snne"),
+        weighted_measures(loose, key, "sim").select(key, "luq"),
+    ]
+    out = answers.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    for part in parts:
+        out = out.join(part, key)
+    return out.select(key, *MEASURES)
+
+
+def measure_table(records: DataFrame, by: list[str], key: str, correct: str, measures: tuple[str, ...] = MEASURES) -> DataFrame:
+    """by, method, auroc, auarc, aucpr, n: how well each measure tells wrong answers from right ones.
+
+    auroc is that of a wrong answer; auarc the area under the accuracy-rejection curve, ties by
+    ``key``; aucpr the average precision of right answers, surest first."""
+    values = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).cast("double").alias("_u")) for m in measures])
+    long = records.select(*by, key, F.col(correct).cast("int").alias("_right"), F.inline(values))
+    long = written(long.where(F.col("_right").isNotNull()).withColumns({"_wrong": 1 - F.col("_right"), "_sure": -F.col("_u")}))
+    keys = [*by, "method"]
+    told = ranks.auroc(long, keys, "_u", "_wrong").select(*keys, "auroc", "n")
+    curve = ranks.auarc(long.where(F.col("_u").isNotNull() & ~F.isnan("_u")), keys, "_u", "_right", key)
+    precise = ranks.average_precision(long, keys, "_sure", "_right").withColumnRenamed("average_precision", "aucpr")
+    return told.join(curve, keys).join(precise, keys).select(*keys, "auroc", "auarc", "aucpr", "n")

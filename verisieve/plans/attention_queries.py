@@ -151,6 +151,47 @@ def entailment_clusters(spark, root):
     return gen.semantic_clusters(same, "conv_id", "same")
 
 
+MEASURED = f"""{LOGITS}, s AS (SELECT a.conv_id, a.i, a.j FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.i = b.j AND a.j = b.i WHERE a.k <> 0 AND b.k <> 0 AND NOT (a.k = 1 AND b.k = 1)),
+w(conv_id, i, starters) AS (SELECT conv_id, 0::BIGINT, [0::BIGINT] FROM turns WHERE i = 0
+  UNION ALL SELECT t.conv_id, t.i, CASE WHEN f.c IS NULL THEN list_append(w.starters, t.i) ELSE w.starters END
+  FROM w JOIN turns t ON t.conv_id = w.conv_id AND t.i = w.i + 1, LATERAL (SELECT min(s.i) AS c FROM s WHERE s.conv_id = t.conv_id AND s.j = t.i AND list_contains(w.starters, s.i)) f),
+sets AS (SELECT conv_id, CAST(max(len(starters)) AS DOUBLE) AS num_set FROM w GROUP BY 1 HAVING count(*) > 1),
+r AS (SELECT conv_id, i, sum(e / (c + u + e)) AS t, ln(sum(exp(e / (c + u + e)))) AS l, avg(e / (e + c)) FILTER (i <> j) AS o FROM p GROUP BY 1, 2),
+m AS (SELECT conv_id, any_value(num_set) AS num_set, 1 - sum(t) / (count(*) * count(*)) AS degree, 1 - avg(o) AS luq, -avg(l) AS snne FROM r JOIN sets USING (conv_id) GROUP BY 1)"""
+TOLD = ("num_set", "degree", "luq", "snne")
+
+
+def records(spark, root):
+    turns = table(spark, root, "conversations").where("conv_id IS NOT NULL").select("conv_id", "turn", F.col("conv_id").cast("string").alias("q"), F.coalesce("text", F.lit("")).alias("a"))
+    return gen.uncertainty_records(gen.first_answers(turns, "conv_id", "turn"), "conv_id", "q", "a", lengths_model)
+
+
+@query("uncertainty_scores", f"WITH RECURSIVE {MEASURED} SELECT conv_id, num_set, round(degree, 6) AS degree, round(luq, 6) AS luq, round(snne, 6) AS snne FROM m")
+def uncertainty_scores(spark, root):
+    """The measures of a question that SQL can express."""
+    return records(spark, root).select("conv_id", "num_set", *six(*[(c, F.col(c)) for c in TOLD[1:]]))
+
+
+@query("uncertainty_record")
+def uncertainty_record(spark, root):
+    """All seven measures of a question."""
+    return records(spark, root).select("conv_id", *[F.round(c, 5).alias(c) for c in gen.MEASURES])
+
+
+@query("measure_table", f"""WITH RECURSIVE {MEASURED}, x AS (SELECT conv_id, CAST(conv_id % 2 AS INTEGER) AS pair, CASE WHEN conv_id % 3 > 0 THEN 1 ELSE 0 END AS good, num_set, round(degree, 6) AS degree, round(luq, 6) AS luq, round(snne, 6) AS snne FROM m),
+n AS (UNPIVOT x ON num_set, degree, luq, snne INTO NAME method VALUE u),
+k AS (SELECT *, rank() OVER (PARTITION BY pair, method ORDER BY u) + (count(*) OVER (PARTITION BY pair, method, u) - 1) / 2.0 AS rk, avg(good) OVER (PARTITION BY pair, method ORDER BY u, conv_id ROWS UNBOUNDED PRECEDING) AS acc FROM n),
+t0 AS (SELECT pair, method, u, sum(good) AS g, count(*) AS c FROM n GROUP BY pair, method, u), t AS (SELECT *, sum(g) OVER v / sum(c) OVER v AS prec FROM t0 WINDOW v AS (PARTITION BY pair, method ORDER BY u)),
+y AS (SELECT pair, method, sum(g * prec) / sum(g) AS aucpr FROM t GROUP BY ALL)
+SELECT pair, method, round((sum(rk) FILTER (good = 0) - count(*) FILTER (good = 0) * (count(*) FILTER (good = 0) + 1) / 2.0) / (count(*) FILTER (good = 0) * count(*) FILTER (good = 1)), 6) AS auroc, round(avg(acc), 6) AS auarc, round(any_value(aucpr), 6) AS aucpr, count(*) AS n
+FROM k JOIN y USING (pair, method) GROUP BY pair, method""")
+def measure_table(spark, root):
+    """The table of a run: pairs by parity, answers right where the id is no multiple of 3."""
+    told = uncertainty_scores(spark, root).withColumns({"pair": (F.col("conv_id") % 2).cast("int"), "good": F.col("conv_id") % 3 > 0})
+    out = gen.measure_table(told, ["pair"], "conv_id", "good", TOLD)
+    return out.select("pair", "method", *six(*[(c, F.col(c)) for c in ("auroc", "auarc", "aucpr")]), "n")
+
+
 @query("few_shot_prefixes", "SELECT n_name AS pair, CASE WHEN n_nationkey % 2 = 0 THEN 'own ' || n_nationkey ELSE 'all ' || n_regionkey END AS prefix FROM nation")
 def few_shot_prefixes(spark, root):
     nations = table(spark, root, "nation")

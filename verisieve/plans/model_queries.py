@@ -123,13 +123,3 @@ def semantic_clusters(spark, root):
     clusters = gen.semantic_clusters(pairs, "conv_id", "same")
     entropy = gen.cluster_entropy(clusters, "conv_id").select("conv_id", F.round("entropy", 6).alias("entropy"))
     return clusters.join(entropy, "conv_id")
-
-
-@query("uncertainty_record")
-def uncertainty_record(spark, root):
-    """All measures of a question in one row."""
-    pairs = overlap_pairs(spark, root)
-    out = gen.weighted_measures(pairs, "conv_id", "sim")
-    for more in (gen.spectral_measures(pairs, "conv_id", "sim"), gen.lexical_similarity(answers(spark, root), "conv_id", "text"), gen.cluster_entropy(gen.semantic_clusters(pairs.withColumn("same", F.col("sim") >= 0.1), "conv_id", "same"), "conv_id")):
-        out = out.join(more, "conv_id", "left")
-    return out.select("conv_id", *[F.round(c, 5).alias(c) for c in out.columns if c != "conv_id"])
