@@ -4,10 +4,13 @@ Candidate blocks are the surroundings of license vocabulary, wide enough to hold
 template around its own vocabulary however its lines are wrapped; surroundings that touch
 are one block. A block is compressed alone and with each template as a zstandard raw
 dictionary, and the templates are ranked by how much smaller it gets. The first of them that the
-wording confirms is its notice: the stretch of the block with the most agreeing words over
+wording confirms tells where a notice stands. There, with a few words around, the templates are
+ranked again, as what surrounds a notice compresses a little better or worse by chance; the first of
+those that save anything and that the wording confirms is the notice (of those within ``CLOSE``
+bytes of it the one with the fewest differing words): the stretch of the block with the most agreeing words over
 differing ones, if at least ``least_share`` of the template's words and of the stretch's
 agree and, of a wording of fewer than ``SHORT`` words, none is lacking that only this
-license's wordings use. A template that saves nothing is not looked at. What stands before and
+license's wordings use. What stands before and
 after a notice is ranked again by itself, so every notice of a block is reported, with the
 exact words that it lacks or adds.
 
@@ -73,6 +76,11 @@ STEMS = (b"licen", b"copyright", b"warrant", b"spdx", b"redistribut", b"hereby g
 
 #: Wordings of fewer words must hold what sets their license apart.
 SHORT = 12
+#: Words on each side of a notice that are ranked with it.
+AROUND = 4
+#: Bytes that one short word (a version's number) is worth to the compressor; of templates that save
+#: so nearly the same the wording decides.
+CLOSE = 4
 
 SCHEMA = "doc_id long, block long, block_start long, block_end long, license string, template long, plain_bytes long, conditional_bytes long, saving double, words_lacking long, words_added long, difference string, exact boolean"
 _word = re.compile(r"[\w.+-]*\w")
@@ -83,9 +91,10 @@ def vocabulary(text: str) -> list[str]:
 
 
 class Scanner:
-    """Compressors for each template; one per Python worker task."""
+    """Compressors for each template; one per Python worker task. From level 16 on zstandard parses
+    optimally; below, sizes of short texts jump by ten bytes and more."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...], least_share: float, level: int = 12):
+    def __init__(self, templates: tuple[tuple[str, str], ...], least_share: float, level: int = 16):
         self.templates, self.least_share = templates, least_share
         params = zstandard.ZstdCompressionParameters.from_level(level, window_log=17, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
         self.plain = zstandard.ZstdCompressor(compression_params=params)
@@ -114,24 +123,36 @@ class Scanner:
             self.known[block] = [row for _, row in sorted(out)]
         return self.known[block]
 
-    def _ranked(self, text: str) -> list[int]:
-        """Templates with which ``text`` compresses better than alone, by what they save."""
+    def _ranked(self, text: str) -> list[tuple[int, int]]:
+        """(bytes saved, template), the template that saves most first."""
         raw = " ".join(text.split()).encode()
         plain = len(self.plain.compress(raw))
-        sizes = [len(c.compress(raw)) for c in self.given]
-        return sorted((i for i, size in enumerate(sizes) if size < plain), key=lambda i: sizes[i])
+        saved = [(plain - len(c.compress(raw)), i) for i, c in enumerate(self.given)]
+        return sorted(saved, key=lambda x: (-x[0], x[1]))
 
     def _best(self, block: str, places: list[tuple[int, int]], mine: list[str]) -> tuple[int, int, tuple] | None:
         """First and end word of the notice of the template that saves most among those confirmed, and its row."""
         if not mine:
             return None
-        have = Counter(mine)
-        match = SequenceMatcher(None, autojunk=False)
+        have, match = Counter(mine), SequenceMatcher(None, autojunk=False)
         match.set_seq2(mine)
-        for i in self._ranked(block[places[0][0] : places[-1][1]]):
+        for _, i in self._ranked(block[places[0][0] : places[-1][1]]):
             run = self._confirmed(i, have, match)
-            if run:
-                return self._row(i, run, block, places, mine)
+            if not run:
+                continue
+            lo, hi = max(0, run[0].b - AROUND), min(len(mine), run[-1].b + run[-1].size + AROUND)
+            near, inner = mine[lo:hi], SequenceMatcher(None, autojunk=False)
+            inner.set_seq2(near)
+            winners: list[tuple[int, int, tuple]] = []
+            for saved, j in self._ranked(block[places[lo][0] : places[hi - 1][1]]):
+                if saved <= 0 or (winners and saved < winners[0][0] - CLOSE):
+                    break
+                run = self._confirmed(j, Counter(near), inner)
+                if run:
+                    winners.append((saved, j, self._row(j, run, block, places[lo:hi], near)))
+            if winners:
+                first, last, row = min(winners, key=lambda w: (sum(w[2][2][5:7]), -w[0], w[1]))[2]
+                return lo + first, lo + last, row
         return None
 
     def _confirmed(self, i: int, have: Counter, match: SequenceMatcher) -> list:
