@@ -1,19 +1,22 @@
-"""Exact cosine self-join of vectors.
-
-The vectors of a label and length are dealt to the cells of pivots, which are a sample of
-them: each is at home in the cell of the pivot ``p`` with the largest inner product, and
-visits every cell where a partner may be at home. Two unit vectors of at least the wanted
-similarity are at most ``r = sqrt(2 - 2 similarity)`` apart, so a partner at home at ``q``
-means ``y.p - y.q <= r |p - q|`` for the visitor ``y`` that is at home at ``p``. The bound
-holds for any pivots: no pair is lost, whatever the data, the pivots and their number.
-Home vectors are compared with their cell's visitors exactly in double precision.
-
-Equal vectors of a label are compared once, with their number. A vector's links are all
-found in its home cell, so each pair counts once for each of the two. Cells are dealt into
-blocks of bounded size, and each task gives one row for each vector: its number of links
-there and a link to the first vector that it is joined with, never the pairs. For vectors
-without any structure most cells are visited, and the comparisons grow with the square of
-a label's vectors.
+"""Cosine self-join of vectors by spherical-cap filters.
+
+The vectors of a label and length are a class. Its filters are the directions of a structured random
+product code: the space is turned at random and cut in two halves, each half has ``B`` random unit
+words, and a direction is a pair of words, so B * B directions cost 2 * B inner products. A vector
+is list-decoded to the ``FILTERS`` directions with the largest inner products, the caps that it lies
+deepest in, exactly: they are among the pairs of the best words of both halves. Vectors that share
+a filter are compared in double precision; a pair counts in the smallest filter that it shares.
+
+B grows with the class, so that a vector meets about ``ONE`` others however many there are. A class of
+up to ``ONE`` vectors has one direction, which all exceed: there nothing can be lost. In larger ones
+a pair of the wanted similarity is lost if none of the 24 best directions of one is among those of
+the other; how seldom that is the README says (a test holds it at 16 and 256 dimensions).
+
+Ids are dealt to filters; what is compared is known before a vector is fetched. Equal vectors of a
+label are compared once, with their number. Filters of many vectors are dealt into blocks of bounded
+size, and each task gives one row for each vector: its number of links there and a link to the first
+vector that it is joined with, never the pairs. The codes follow from the seed, nothing is sampled,
+collected or broadcast.
 
 A vector that is null, empty, zero, or holds null or non-finite components, and one of
 null label, links with nothing. Vectors of different lengths do not link. Rows of equal
@@ -23,6 +26,7 @@ vec_id are separate vectors that share an id. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from math import ceil, sqrt
 
 import numpy as np
@@ -30,9 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verisieve.llm.blocks import groups
+from verisieve.llm.blocks import deal, groups, least_labels, spread
 from verisieve.llm.common import stash, table, tune
 from verisieve.llm.components import components
+from verisieve.operators.running import with_totals
+
+#: Directions that a vector is dealt to.
+FILTERS = 24
+#: Vectors of a class that one direction holds, and that a vector meets in larger classes, about.
+ONE = 4096
+#: Components that are turned together.
+TURNED = 1024
 
 
 def _units(column: pa.Array) -> np.ndarray:
@@ -40,131 +52,115 @@ def _units(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-class Cells:
-    """Cells of the pivots (unit rows) of one label and length; without pivots there is one cell."""
-
-    def __init__(self, pivots: np.ndarray, similarity: float):
-        self.pivots = pivots
-        apart = np.sqrt(np.maximum(0, 2 - 2 * np.clip(pivots @ pivots.T, -1, 1)))
-        self.reach = sqrt(max(0.0, 2 - 2 * similarity)) * apart + 1e-6
-
-    def visits(self, unit: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Each row's home cell, and the cells it visits, its home among them."""
-        if not len(self.pivots):
-            return np.zeros(len(unit), np.int64), [np.zeros(1, np.int64)] * len(unit)
-        to = unit @ self.pivots.T
-        home = to.argmax(axis=1)
-        able = to[np.arange(len(unit)), home][:, None] - to <= self.reach[home]
-        return home, [np.flatnonzero(x) for x in able]
-
-
-def join_homes(home: np.ndarray, hit: np.ndarray) -> np.ndarray:
-    """``home`` (the smallest row that each row is joined with) after the rows that share a column of ``hit``."""
-    rows = np.flatnonzero(hit.any(axis=1))
-    hit = hit[rows]
-    while True:
-        column = np.where(hit, home[rows][:, None], len(home)).min(axis=0)
-        least = np.where(hit, column[None, :], len(home)).min(axis=1)
-        parent = np.arange(len(home))
-        np.minimum.at(parent, home[rows], least)
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
-        new = parent[home]
-        if (new == home).all():
-            return home
-        home = new
+@lru_cache(maxsize=8)
+def _turn(width: int, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A random order of the components, and random rotations of stretches of them."""
+    r = np.random.default_rng([seed, width])
+    return r.permutation(width), [np.linalg.qr(r.standard_normal((n, n)))[0] for n in (min(TURNED, width - at) for at in range(0, width, TURNED))]
+
+
+class ProductCode:
+    """Directions that are pairs of words, one for each half of the turned space."""
+
+    def __init__(self, width: int, words: int, seed: int = 42):
+        self.width, self.words, self.seed = width, words, seed
+        r = np.random.default_rng([seed, width, words])
+        self.half = width // 2
+        self.books = [self._unit(r.standard_normal((words, n))) for n in (self.half, width - self.half)]
+
+    @staticmethod
+    def _unit(c: np.ndarray) -> np.ndarray:
+        return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+
+    def decode(self, unit: np.ndarray, most: int = FILTERS) -> np.ndarray:
+        """Each row's directions of the largest inner products, as ascending numbers."""
+        order, turns = _turn(self.width, self.seed)
+        y = unit[:, order]
+        y = np.concatenate([y[:, at * TURNED : at * TURNED + len(t)] @ t for at, t in enumerate(turns)], axis=1)
+        best, words = [], []
+        top = min(most, self.words)
+        for part, book in zip((y[:, : self.half], y[:, self.half :]), self.books, strict=True):
+            s = part @ book.T
+            w = np.argpartition(-s, top - 1, axis=1)[:, :top]
+            best.append(np.take_along_axis(s, w, 1))
+            words.append(w)
+        sums = (best[0][:, :, None] + best[1][:, None, :]).reshape(len(unit), -1)
+        pairs = (words[0][:, :, None] * self.words + words[1][:, None, :]).reshape(len(unit), -1)
+        most = min(most, sums.shape[1])
+        at = np.argpartition(-sums, most - 1, axis=1)[:, :most]
+        return np.sort(np.take_along_axis(pairs, at, 1), axis=1)
+
+
+def words_for(vectors: int) -> int:
+    """Words of a half for a class of so many vectors."""
+    return 1 if vectors <= ONE else ceil(FILTERS * sqrt(vectors / ONE))
+
+
+def first_shared(lists: np.ndarray, here: int, hit: np.ndarray) -> np.ndarray:
+    """Pairs of ``hit`` that share no direction before ``here``; ``lists`` are the rows' directions."""
+    values, at, times = np.unique(lists, return_inverse=True, return_counts=True)
+    at = at.reshape(lists.shape)
+    keep = (lists < here) & (times[at] > 1)
+    if not keep.any():
+        return hit
+    used, column = np.unique(at[keep], return_inverse=True)
+    held = np.zeros((len(lists), len(used)), np.float32)
+    held[np.nonzero(keep)[0], column] = 1
+    return hit & ~(held @ held.T > 0)
 
 
 def link_vectors(vectors: DataFrame, similarity: float = 0.98, block: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label)."""
-    spark = vectors.sparkSession
-    tune(spark)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
+    tune(vectors.sparkSession)
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"), F.col("label").cast("string").alias("label"))
     sound = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("sound", sound)
-    # copies: one row for each label and vector
-    same = F.xxhash64("label", "v")
-    reps = stash(
-        rows.where("sound").groupBy(same.alias("gid"), "label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
-        .withColumn("width", F.size("v"))
-    )
-    most = reps.groupBy("label", "width").count().agg(F.max("count")).first()[0] or 1
-    # a pivot for every 4 blocks of vectors, and about 1,024 for a label at most
-    every = max(4 * block, ceil(most / 1024))
-    pivots: dict[tuple[str, int], list] = {}
-    for r in reps.where(F.pmod(F.xxhash64("gid"), F.lit(every)) == 0).select("label", "width", "v").collect():
-        pivots.setdefault((r.label, r.width), []).append(r.v)
-    sent = spark.sparkContext.broadcast({k: np.array(v) / np.linalg.norm(v, axis=1, keepdims=True) for k, v in pivots.items()})
+    # copies: one row for each label and vector, numbered where it is written
+    same = rows.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
+    reps = stash(same.withColumn("width", F.size("v")).withColumn("gid", F.monotonically_increasing_id()))
+    sized = with_totals(reps.withColumn("_1", F.lit(1)), ["label", "width"], {"n": "_1"})
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[tuple[str, int], Cells] = {}
+        codes: dict[tuple[int, int], ProductCode] = {}
         for batch in batches:
-            keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            keys = [(w, words_for(n)) for w, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             for key in sorted(set(keys)):
                 part = batch.filter(pa.array([k == key for k in keys]))
-                if key not in made:
-                    made[key] = Cells(sent.value.get(key, np.zeros((0, key[1]))), similarity)
+                if key not in codes:
+                    codes[key] = ProductCode(*key)
                 for a in range(0, part.num_rows, 256):
                     some = part.slice(a, 256)
-                    home, visits = made[key].visits(_units(some.column(3)))
-                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array(home), pa.array(visits, pa.list_(pa.int64()))], ["gid", "home", "visits"])
+                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array(list(codes[key].decode(_units(some.column(3)))), pa.list_(pa.int64()))], ["gid", "filters"])
 
-    placed = reps.select("gid", "label", "width", "v").mapInArrow(place, "gid long, home long, visits array<long>")
-    members = stash(reps.join(placed, "gid").select(F.xxhash64("label").alias("label"), "width", "gid", "rep", "m", "home", "visits", F.col("v")))
-    # tasks: a block of a cell's homes (kind 0) with a block of its visitors (kind 1)
+    placed = sized.select("gid", "width", "n", "v").mapInArrow(place, "gid long, filters array<long>")
+    members = stash(reps.join(placed, "gid"))
     cell = ["label", "width", "cell"]
-    homes = members.withColumn("cell", F.col("home"))
-    visitors = members.withColumn("cell", F.explode("visits"))
-    blocks = (
-        homes.groupBy(*cell).agg(F.ceil(F.count("*") / (4 * block)).cast("int").alias("h"))
-        .join(visitors.groupBy(*cell).agg(F.ceil(F.count("*") / (16 * block)).cast("int").alias("w")), cell)
-    )
-    dealt = lambda n: F.pmod(F.xxhash64("gid", F.lit(7)), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    sides = [
-        homes.join(blocks, cell).withColumn("block_i", dealt("h")).withColumn("block_j", each("w")).withColumn("kind", F.lit(0)),
-        visitors.join(blocks, cell).withColumn("block_j", dealt("w")).withColumn("block_i", each("h")).withColumn("kind", F.lit(1)),
-    ]
-    task = [*cell, "block_i", "block_j"]
-    tasks = sides[0].select(*task, "kind", "gid", "rep", "m", "v").unionByName(sides[1].select(*task, "kind", "gid", "rep", "m", "v"))
-    tasks = tasks.repartition(*task).sortWithinPartitions(*task, "kind", "gid")
+    tasks = deal(members.select("label", "width", "gid", F.explode("filters").alias("cell")), cell, "gid", block)
+    tasks = tasks.join(members.select("gid", "rep", "m", "v", "filters"), "gid").select(*cell, "block_i", "block_j", "side", "gid", "rep", "m", "v", "filters")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in groups(batches, 5):
-            gids, links, reps_, firsts = [], [], [], []
-            gid, rep, m, kind = (t.column(n).to_numpy() for n in ("gid", "rep", "m", "kind"))
+            out: list[list[np.ndarray]] = []
+            here, i, j, side, gid, rep, m = (t.column(n).to_numpy() for n in ("cell", "block_i", "block_j", "side", "gid", "rep", "m"))
             for a, b in zip(at[:-1], at[1:], strict=True):
-                c = a + int(np.searchsorted(kind[a:b], 1))  # homes to here, then visitors
-                if c == a or c == b:
+                x = _units(t.column("v").slice(a, b - a).combine_chunks())
+                hit = x @ x.T >= similarity
+                np.fill_diagonal(hit, False)
+                if i[a] != j[a]:
+                    hit &= side[a:b, None] != side[None, a:b]
+                some = np.flatnonzero(hit.any(axis=1))
+                if not len(some):
                     continue
-                x = _units(t.column("v").slice(a, c - a).combine_chunks())
-                home, found = np.arange(c - a), np.zeros(c - a, np.int64)
-                for lo in range(c, b, 256):
-                    hi = min(b, lo + 256)
-                    hit = x @ _units(t.column("v").slice(lo, hi - lo).combine_chunks()).T >= similarity
-                    # both sides are sorted by gid
-                    own = np.searchsorted(gid[a:c], gid[lo:hi])
-                    same = np.flatnonzero(gid[a + np.minimum(own, c - a - 1)] == gid[lo:hi])
-                    hit[own[same], same] = False
-                    met = np.flatnonzero(hit.any(axis=0))
-                    if not len(met):
-                        continue
-                    hit = hit[:, met]
-                    found += (hit @ m[lo + met].astype(np.float64)).astype(np.int64)
-                    home = join_homes(home, hit)
-                    gids.append(gid[lo + met])
-                    reps_.append(rep[lo + met])
-                    links.append(np.zeros(len(met), np.int64))
-                    firsts.append(rep[a + hit.argmax(axis=0)])
-                some = np.flatnonzero(found)
-                gids.append(gid[a + some])
-                reps_.append(rep[a + some])
-                links.append(found[some])
-                firsts.append(rep[a + home[some]])
-            if gids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (gids, reps_, links, firsts)], ["gid", "rep", "links", "first"])
-
-    linked = stash(tasks.mapInArrow(compare, "gid long, rep long, links long, first long"))
+                hit = hit[np.ix_(some, some)]
+                lists = t.column("filters").slice(a, b - a).combine_chunks()
+                lists = lists.flatten().to_numpy().reshape(b - a, -1)[some]
+                found = first_shared(lists, here[a], hit) @ m[a + some].astype(np.float64)
+                out.append([gid[a + some], rep[a + some], found.astype(np.int64), rep[a + some][least_labels(hit)]])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["gid", "rep", "links", "first"])
+
+    linked = stash(spread(tasks, cell).mapInArrow(compare, "gid long, rep long, links long, first long"))
     counts = linked.groupBy("gid").agg(F.sum("links").alias("links"))
     found = components(linked.select(F.col("rep").alias("a"), F.col("first").alias("b")))
     # written, so that rows of one very common vector can be split between tasks of the join
