@@ -32,7 +32,7 @@ def plain(v):
 
 
 #: Fits, eigenvalues and sequential assignment have no SQL; test_models.py and test_generations.py hold them against plain code.
-BEYOND_SQL = {"measure_combos", "sink_ablation", "hidden_probe", "answer_classifier", "lr_train_score_auroc", "lr_scores_dump", "lr_cv_select", "lr_pca_score", "lr_specialist_bands", "lr_feature_combos", "lr_out_of_fold", "lr_hidden_subset", "rank_sum_p_values", "rouge_lexical_similarity", "spectral_uncertainty", "uncertainty_record"}
+BEYOND_SQL = {"band_specialist_job", "measure_combos", "sink_ablation", "hidden_probe", "answer_classifier", "lr_train_score_auroc", "lr_scores_dump", "lr_cv_select", "lr_pca_score", "lr_specialist_bands", "lr_feature_combos", "lr_out_of_fold", "lr_hidden_subset", "rank_sum_p_values", "rouge_lexical_similarity", "spectral_uncertainty", "uncertainty_record"}
 
 
 def test_every_query_has_a_twin():

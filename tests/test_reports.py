@@ -56,3 +56,35 @@ def test_command_line(spark, tmp_path, capsys):
     finally:
         del registry.QUERIES["_one"]
     assert spark.read.parquet(f"{tmp_path}/q").count() == 3
+
+
+def test_specialists_and_their_guards(spark, tmp_path):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(1)
+    rows = [(pair, i, "IH CH IL CL".split()[i % 4], [float(v) for v in r.standard_normal(3) + (i % 4 == 0) * 1.5]) for pair in ("p", "q") for i in range(240)]
+    rows += [("few", i, "IH CH".split()[i % 2], [0.0, 1.0, float(i)]) for i in range(10)] + [("p", 999, "?", [1.0, 1.0, 1.0]), ("p", 1000, "IH", None)]
+    df = reports.banded(spark.createDataFrame(rows, "pair string, id long, category string, x array<double>"))
+    assert df.where("band = 'HI' AND y = 1").select("category").distinct().collect() == [("IH",)]
+    train, test = df.where("id % 3 > 0"), df.where("id % 3 = 0")
+    got = {(x.pair, x.method, x.band): x for x in reports.specialist_rows(train, test, {"all": F.col("x"), "one (best=k=1)": F.slice("x", 1, 1)}, least=10).collect()}
+    assert len(got) == 2 * (2 * 2 + 1)
+    few = got["few", "all", "HI"]
+    assert few.auroc_specialist is None and few.n_tr_pos + few.n_tr_neg + few.n_te_pos + few.n_te_neg == 10
+    assert got["p", "all", "HI"].auroc_specialist > 0.8 and got["p", "all", "HI"].n_te_pos == 20
+    table = spark.createDataFrame([("p", "all", 0.5, 0.25), ("p", "one", 0.75, None)], "pair string, method string, IHvCH double, ILvCL double")
+    told = {(x.pair, x.method, x.band): x for x in reports.with_generalist(spark.createDataFrame(list(got.values())), table).collect()}
+    assert told["p", "one (best=k=1)", "HI"].auroc_generalist == 0.75 and told["p", "one (best=k=1)", "LO"].delta is None
+    assert abs(told["p", "all", "LO"].delta - (told["p", "all", "LO"].auroc_specialist - 0.25)) < 1e-12
+    report = reports.specialist_job(spark.createDataFrame(list(got.values())), table, str(tmp_path))
+    assert any(line.startswith("| HI | all | 0.") for line in report.splitlines())
+
+
+def test_repeated_ids_do_not_multiply(spark):
+    from verisieve.operators import frames
+
+    a = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, t string")
+    b = spark.createDataFrame([(1, 5, None), (1, 4, 9), (2, None, 1), (2, 7, 2)], "id long, v int, w int")
+    c = spark.createDataFrame([(1,), (1,), (2,), (4,)], "id long")
+    assert sorted(map(tuple, frames.common_rows([a, b, c], ["id"]).collect()), key=str) == [(1, "a", 4, 9), (2, "b", None, 1)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verisieve.operators import frames, models, ranks, vectors
 from verisieve.operators import relational as rel
+from verisieve.sources.tables import written
 
 #: The features that the answer classifier uses, of ``features.detector_features``.
 ANSWER_FEATURES = ("f1", "f2", "f3", "f4", "f6", "f8", "g1", "g2", "g4", "g8")
@@ -60,10 +61,10 @@ def answer_classifier(test: DataFrame, by: list[str], key: str, train: DataFrame
     """by, key, y, p: fitted on the training rows where there are any for the group, else by
     scores out of ``folds`` folds of the test rows. A group of one class has no scores."""
     vector = F.array(*[F.col(f).cast("double") for f in features])
-    rows = test.select(*by, key, y, vector.alias("x"))
+    rows = written(test.select(*by, key, y, vector.alias("x")))
     if train is None:
         return models.out_of_fold(rows, by, key, "x", y, folds).select(*by, key, y, "p")
-    given = train.select(*by, key, y, vector.alias("x"))
+    given = written(train.select(*by, key, y, vector.alias("x")))
     have = given.select(*by).distinct()
     told = models.predict(rows.join(have, by, "left_semi"), models.fit_logistic(given, by, "x", y), by, "x").select(*by, key, y, "p")
     return told.unionByName(models.out_of_fold(rows.join(have, by, "left_anti"), by, key, "x", y, folds).select(*by, key, y, "p"))

@@ -13,8 +13,16 @@ from verisieve.operators.running import running
 
 
 def common_rows(frames: list[DataFrame], key: list[str]) -> DataFrame:
-    """Inner join of all frames on ``key``: the ids that every one of them has."""
-    return reduce(lambda a, b: a.join(b, key), frames)
+    """Rows of the first frame whose ids every frame has, with the columns of all. Of rows of one id
+    in a later frame the smallest counts, so that ids do not multiply."""
+
+    def once(df: DataFrame) -> DataFrame:
+        rest = [c for c in df.columns if c not in key]
+        if not rest:
+            return df.distinct()
+        return df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_least")).select(*key, "_least.*")
+
+    return reduce(lambda a, b: a.join(once(b), key), frames)
 
 
 def key_union(frames: list[DataFrame], key: list[str]) -> DataFrame:

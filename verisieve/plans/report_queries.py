@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from verisieve.operators import reports
+from verisieve.operators import models, reports
+from verisieve.plans.model_queries import cut, examples
 from verisieve.plans.rank_queries import EX, PAIRWISE, auroc_sql, dim_sql, long_scores
 from verisieve.plans.registry import query
 from verisieve.plans.source_queries import scratch
@@ -49,3 +50,31 @@ def category_means_report(spark, root):
     reports.category_job(spark, SOURCES, root, out, ["fr", "de"])
     lines = spark.read.text(f"{out}/report").where(F.col("value").rlike("^\\| (length|spaces|residue) \\|"))
     return lines.select(F.col("value").alias("line"))
+
+
+@query("band_raw_table", f"""WITH {TABLE}, b AS (SELECT pair, method, CASE WHEN category IN ('IH', 'CH') THEN 'HI' ELSE 'LO' END AS band, CASE WHEN category IN ('IH', 'IL') THEN 1 ELSE 0 END AS y, score FROM told),
+k AS (SELECT *, rank() OVER (PARTITION BY pair, method, band ORDER BY score) + (count(*) OVER (PARTITION BY pair, method, band, score) - 1) / 2.0 AS rk FROM b),
+m AS (SELECT pair, method, band, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS q, sum(rk) FILTER (y = 1) AS w FROM k GROUP BY 1, 2, 3),
+g AS (SELECT pair, method, 'HI' AS band, IHvCH AS general FROM t UNION ALL SELECT pair, method, 'LO', ILvCL FROM t),
+res AS (SELECT m.*, CASE WHEN least(p, q) >= 5 THEN (w - p * (p + 1) / 2.0) / (p * q) END AS special, general FROM m LEFT JOIN g USING (pair, method, band))
+SELECT pair, method, band, 0::BIGINT AS n_tr_pos, 0::BIGINT AS n_tr_neg, p AS n_te_pos, q AS n_te_neg, round(special, 6) AS auroc_specialist, round(general, 6) AS auroc_generalist, round(special - general, 6) + 0.0 AS delta FROM res""")
+def band_raw_table(spark, root):
+    """Scores that nothing is fitted for, by band; those of the mended source apart from the rest."""
+    scores = SOURCES.gather(spark, root)
+    rows = reports.with_generalist(reports.raw_band_rows(scores, 5), reports.category_table(scores))
+    return rows.withColumns({c: F.round(c, 6) + 0.0 for c in ("auroc_specialist", "auroc_generalist", "delta")})
+
+
+@query("band_specialist_job")
+def band_specialist_job(spark, root):
+    """Models of one band against the table of all, read back from the CSV that the job writes."""
+    rows = examples(spark, root).withColumn("category", F.concat(F.when(F.col("y") == 1, "I").otherwise("C"), F.when(F.col("band") == "HI", "H").otherwise("L")))
+    rows = rows.withColumn("pair", F.col("pair").cast("string"))
+    train, test = cut(rows)
+    general = models.predict(test, models.fit_logistic(train, ["pair"], "e"), ["pair"], "e")
+    scores = [general.select("pair", F.lit(m).alias("method"), "category", F.col("p").alias("score")) for m in ("all", "head")]
+    table = reports.category_table(scores[0].unionByName(scores[1]))
+    special = reports.specialist_rows(train, test, {"all (best=64)": F.col("e"), "head": F.slice("e", 1, 16)})
+    out = scratch(spark)
+    reports.specialist_job(special, table, out)
+    return read_csv(spark, f"{out}/specialists", line_breaks=False)
