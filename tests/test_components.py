@@ -40,6 +40,7 @@ def test_components_in_one_block_or_many(spark, monkeypatch, block, stripe):
     monkeypatch.setattr(components, "TILE", 500)
     monkeypatch.setattr(components, "FAN", 2)
     monkeypatch.setattr(components, "BUCKETS", 4)
+    monkeypatch.setattr(components, "BUCKET", 100)
     x = {1: low_rank(150, 30, 1), None: low_rank(90, 17, 2)}
     rows = [(g, i, v.tolist()) for g, m in x.items() for i, v in enumerate(m)] + [(1, 900, None), (1, 901, [1.0]), (1, 902, [float("nan")] * 30), (5, 903, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "g int, id long, x array<double>").repartition(3)
@@ -55,6 +56,7 @@ def test_components_in_one_block_or_many(spark, monkeypatch, block, stripe):
 def test_wide_features_stay_in_blocks(spark, monkeypatch):
     d, k = 20_000, 5
     monkeypatch.setattr(components, "STRIPE", 60_000)  # of 300,000 numbers of a basis
+    monkeypatch.setattr(components, "BUCKET", 1 << 18)
     x = low_rank(60, d, 3)
     df = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)], "g int, id long, x array<double>").repartition(4)
     df.count()

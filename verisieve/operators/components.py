@@ -36,7 +36,9 @@ STRIPE = 1 << 22
 #: Numbers of a tile's rows (all blocks) that a task holds while it cuts them.
 TILE = 1 << 21
 FAN = 64
-BUCKETS = 64
+#: Numbers of a bucket of tiles, and buckets at most.
+BUCKET = 1 << 24
+BUCKETS = 65_536
 
 
 def _list(v: np.ndarray) -> pa.Array:
@@ -94,8 +96,8 @@ class Blocked:
         self.blocks = {i: -(-max(w, 1) // block) for i, w in enumerate(g.widths)}
         self.keys = {k: n for n, k in enumerate((i, b) for i, m in self.blocks.items() for b in range(m))}
         self.of = {n: k for k, n in self.keys.items()}
-        self.tiles = write_bucketed(_tiles(g, block), f"{shared_folder(spark)}/{uuid.uuid4().hex}", ["g", "chunk"], BUCKETS)
-        self.tasks = BUCKETS + 1  # sums of tasks are always added in the cluster
+        self.tasks = min(BUCKETS, max(1, g.numbers // BUCKET))
+        self.tiles = write_bucketed(_tiles(g, block), f"{shared_folder(spark)}/{uuid.uuid4().hex}", ["g", "chunk"], self.tasks)
 
     def width(self, group: int, block: int) -> int:
         return min(self.block, self.widths[group] - block * self.block)
@@ -207,12 +209,13 @@ class Blocked:
             made.append(written(models.added(met.mapInArrow(run, models.SUMS), self.tasks).select("_m", "v")))
         return reduce(DataFrame.unionByName, made)
 
-    def orthonormal(self, z: DataFrame, l: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
-        """An orthonormal basis of the columns of z, and how many it has; twice, against rounding."""
-        for _ in range(2):
+    def orthonormal(self, z: DataFrame, l: dict[int, int], times: int = 1) -> tuple[DataFrame, dict[int, int]]:
+        """An orthonormal basis of the columns of z, and how many it has; a second time takes away
+        what rounding leaves."""
+        for _ in range(times):
             turn = self._turns(z, l)
             l = {i: t.shape[1] for i, t in turn.items()}
-            z = written(self._turned(z, turn))
+            z = self._turned(z, turn)
         return z, l
 
     def _turns(self, z: DataFrame, l: dict[int, int]) -> dict[int, np.ndarray]:
@@ -293,10 +296,10 @@ def fit_components(df: DataFrame, by: list[str], dim: int = 100, features: str =
     k = {i: min(g.widths[i], dim, max(1, n[i] - 1)) for i in n}
     l = {i: min(g.widths[i], k[i] + extra) for i in n}
     q, l = a.orthonormal(written(a.random(l, seed, spark)), l)
-    for _ in range(rounds):
+    for left in reversed(range(rounds)):
         y = a.forward(q, l)
         centre = {i: s / n[i] for i, s in a.summed(y, l, None).items()}
-        q, l = a.orthonormal(a.back(y, l, centre), l)
+        q, l = a.orthonormal(a.back(y, l, centre), l, 1 if left else 2)
     y = a.forward(q, l)
     centre = {i: s / n[i] for i, s in a.summed(y, l, None).items()}
     turn, variance = {}, {}

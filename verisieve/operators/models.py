@@ -105,6 +105,8 @@ class Groups:
         self.keys = sorted(most, key=repr)
         #: Features of each group: the length that most of its rows have.
         self.widths = [-most[k][1] for k in self.keys]
+        #: Numbers in all rows' features.
+        self.numbers = sum(most[k][0] * -most[k][1] for k in self.keys)
         kinds = [T.StructField(f"_i{i}", f.dataType) for i, f in enumerate(df.select(*by).schema)] if by else []
         ids = spark.createDataFrame([(*k, i, w) for i, (k, w) in enumerate(zip(self.keys, self.widths, strict=True))], T.StructType([*kinds, T.StructField("_g", T.IntegerType()), T.StructField("_n", T.IntegerType())]))
         on = F.size("_x") == F.col("_n")
