@@ -3,9 +3,12 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from verisieve.functions import arrays as A
 from verisieve.operators import frames, vectors
+from verisieve.plans import registry
 
 
 def test_statistics_equal_plain_ones(spark):
@@ -44,3 +47,25 @@ def test_sanity_of_odd_values(spark):
     assert (got[1].finite, got[1].least, got[1].most, got[1].mean, got[1].deviation) == (False, 1.0, 3.0, 2.0, 1.0)
     assert got[2].finite and got[2].constant and got[2].deviation == 0
     assert not got[3].finite and got[3].mean is None
+
+
+def test_what_is_rounded_to_zero_keeps_its_sign(spark):
+    values = [-1e-7, 1e-7, -0.0, 0.0, -0.0000005, 1.2345675, -2.5e-6, float("nan"), float("-inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.select(A.rounded(F.col("v"), 6)).collect()]
+    assert [repr(x) for x in got] == ["-0.0", "0.0", "-0.0", "0.0", "-1e-06", "1.234568", "-3e-06", "nan", "-inf", "None"]
+
+
+def test_array_queries_keep_the_sign_of_zero_as_their_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    r = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in r.choice([-1e-7, 1e-7, -0.25, 0.5], 64)], i % 3) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    for name in ("attention_diagonal", "attention_pass", "spectral_features", "late_vector_mean", "topk_values"):
+        got = registry.QUERIES[name](spark, str(tmp_path))
+        found = con.execute(registry.ORACLES[name]).fetchall()
+        names = [d[0] for d in con.description]
+        told = sorted(repr([r[c] for c in names]) for r in got.collect())
+        assert told == sorted(repr(list(x)) for x in found) and (name == "topk_values" or "-0.0" in str(told))

@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def rounded(x: Column, places: int) -> Column:
+    """``x`` rounded half up, away from zero; what becomes zero keeps its sign, as in SQL (``F.round`` drops it)."""
+    r = F.round(x, places)
+    return F.when(r == 0, x.cast("double") * 0.0).otherwise(r)
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
 

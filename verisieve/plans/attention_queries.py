@@ -24,7 +24,7 @@ def blocks(col, n, width):
 
 
 def rounded(a, places=6):
-    return F.transform(a, lambda v: F.round(v, places))
+    return F.transform(a, lambda v: A.rounded(v, places))
 
 
 @query("attention_diagonal", f"SELECT vec_id, list_transform(range(8), lambda i: round({E}[i * 9 + 1], 6)) AS diag FROM embeddings")

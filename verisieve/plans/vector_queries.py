@@ -19,12 +19,12 @@ def vectors(spark, root):
 
 
 def six(*cols):
-    return [F.round(c, 6).alias(n) for n, c in cols]
+    return [A.rounded(c, 6).alias(n) for n, c in cols]
 
 
 @query("topk_values", f"SELECT vec_id, list_transform(list_sort({E}, 'DESC')[1:10], lambda x: round(x, 6)) AS top FROM embeddings")
 def topk_values(spark, root):
-    return vectors(spark, root).select("vec_id", F.transform(A.top_values(F.col("e"), 10), lambda x: F.round(x, 6)).alias("top"))
+    return vectors(spark, root).select("vec_id", F.transform(A.top_values(F.col("e"), 10), lambda x: A.rounded(x, 6)).alias("top"))
 
 
 @query("topk_gather_product", f"""WITH p AS (SELECT vec_id, unnest({E}[1:32]) AS d, unnest({E}[33:64]) AS v, unnest(range(32)) AS i FROM embeddings),
