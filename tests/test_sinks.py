@@ -5,6 +5,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from verisieve.plans import registry
 from verisieve.sources import readers, sinks
 
 
@@ -80,3 +81,14 @@ def test_a_large_layer_is_written_by_several_tasks(spark, tmp_path):
     for path in ("l/model=m/dataset=d/layer=2", "b/layer=2"):
         assert len(list((tmp_path / path).glob("*.parquet"))) > 2
     assert readers.read_layers(spark, str(tmp_path / "l"), 2).count() == 3990
+
+
+def test_ties_of_a_lookup_go_by_place_in_the_files(spark, tmp_path):
+    line = lambda frm, to, v: spark.range(frm, to, numPartitions=1).select((F.col("id") % 40).alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (F.col("id") + v).cast("double").alias("l_quantity"))
+    for name, some in (("a", line(0, 40, 0)), ("b", line(0, 20_000, 1000))):  # the larger file is read first
+        (part,) = [p for p in (some.write.parquet(str(tmp_path / name)), (tmp_path / name).glob("part*.parquet"))[1]]
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        part.rename(tmp_path / "lineitem.parquet" / f"{name}.parquet")
+    spark.range(41).select(F.col("id").alias("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.k: r.v for r in registry.QUERIES["first_match_lookup"](spark, str(tmp_path)).collect()}
+    assert got == {k: float(k) for k in range(40)} | {40: None}

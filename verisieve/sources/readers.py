@@ -35,6 +35,12 @@ def in_file_order(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     return at, ["_f", "_b", "_n"]
 
 
+def in_row_order(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows that are read from Parquet files with columns that tell their place: the file, the row's
+    number in it. However files are split and whichever task reads them, these stay the same."""
+    return rows.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_n")), ["_f", "_n"]
+
+
 def parse_samples(raw: DataFrame, id: str = "id", question: str = "question", truth: str = "ground_truth", answer: str = "low_t_generation", candidates: str = "candidates", verdict: str = "LLM_verdict") -> DataFrame:
     """Rows of text fields as samples; candidates that repeat the truth or each other (normalised) leave the pool."""
     require_columns(raw, [id, question, truth, answer, candidates, verdict])
@@ -109,9 +115,10 @@ def layers_present(spark: SparkSession, path: str, least: int = 22) -> DataFrame
     return read_layers(spark, path, least).select("layer").distinct()
 
 
-def lookup(keys: DataFrame, records: DataFrame, key: list[str], order: str, strict: bool = False) -> DataFrame:
-    """First record of each key by ``order``; an absent key is an error if ``strict``."""
-    first = rel.first_by(records, key, F.asc(order)).withColumn("_hit", F.lit(True))
+def lookup(keys: DataFrame, records: DataFrame, key: list[str], order: str | list[str], strict: bool = False) -> DataFrame:
+    """First record of each key by ``order``, which should leave no ties open (``in_row_order``); an
+    absent key is an error if ``strict``."""
+    first = rel.first_by(records, key, *map(F.asc, [order] if isinstance(order, str) else order)).withColumn("_hit", F.lit(True))
     got = keys.join(first, key, "left")
     if strict:
         got = got.where(F.coalesce("_hit", F.raise_error(F.concat_ws(" ", F.lit("no record for"), *[F.col(k).cast("string") for k in key])).cast("boolean")))
