@@ -1,12 +1,15 @@
 """Writers that are interrupted, read meanwhile, or split."""
 
+import json
 import threading
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from verisieve.plans import registry
 from verisieve.sources import readers, sinks
+from verisieve.sources.tables import shared_folder
 
 
 def test_a_killed_run_loses_one_batch(spark, tmp_path):
@@ -92,3 +95,21 @@ def test_ties_of_a_lookup_go_by_place_in_the_files(spark, tmp_path):
     spark.range(41).select(F.col("id").alias("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
     got = {r.k: r.v for r in registry.QUERIES["first_match_lookup"](spark, str(tmp_path)).collect()}
     assert got == {k: float(k) for k in range(40)} | {40: None}
+
+
+def test_lines_in_order_are_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(20_000).select((F.col("id") % 5000).cast("string").alias("id"), F.lit("c").alias("candidate"), F.col("id").cast("double").alias("s_ext")).repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_json(rows, str(tmp_path / "r"), order=["s_ext"])
+        root = tmp_path / "t"
+        spark.range(4000).select(F.col("id").alias("event_id")).repartition(3).write.parquet(str(root / "events.parquet"))
+        got = {r.id: r.last for r in registry.QUERIES["last_record_wins"](spark, str(root)).collect()}
+        folder = max((p for p in Path(shared_folder(spark)).iterdir() if list(p.glob("*.json"))), key=lambda p: p.stat().st_mtime)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "r").glob("*.json"))
+    told = [json.loads(line)["s_ext"] for f in files for line in f.read_text().splitlines()]
+    assert len(files) > 1 and told == [float(i) for i in range(20_000)]
+    assert {int(r.id): r.s_ext for r in readers.read_records(spark, str(tmp_path / "r")).collect()} == {k: 15_000.0 + k for k in range(5000)}
+    assert got == {str(k): 2 * k + 1 for k in range(2000)} and len(list(folder.glob("*.json"))) > 1  # no task writes all

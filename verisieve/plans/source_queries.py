@@ -122,5 +122,5 @@ def last_record_wins(spark, root):
     """Of repeated keys the last line stays."""
     rows = table(spark, root, "events").select((F.floor(F.col("event_id") / 2)).cast("string").alias("id"), F.lit("c").alias("candidate"), F.col("event_id").cast("double").alias("s_ext"))
     path = scratch(spark)
-    sinks.write_json(rows.coalesce(1).sortWithinPartitions("s_ext"), path)  # the order of the lines is what is read
+    sinks.write_json(rows, path, order=["s_ext"])  # the order of the lines is what is read
     return readers.read_records(spark, path).select("id", F.col("s_ext").cast("long").alias("last"))

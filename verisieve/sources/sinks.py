@@ -12,8 +12,10 @@ from verisieve.sources.readers import exists
 from verisieve.sources.tables import written
 
 
-def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).json(path)
+def write_json(df: DataFrame, path: str, mode: str = "overwrite", order: list[str] | None = None) -> None:
+    """JSON lines; with ``order`` they rise from line to line and from file to file, in the order of
+    the files' names, and each task sorts its own range."""
+    (df if order is None else df.repartitionByRange(*order).sortWithinPartitions(*order)).write.mode(mode).json(path)
 
 
 def cell(x: Column, places: int = 4, empty: str = "—") -> Column:
