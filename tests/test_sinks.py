@@ -113,3 +113,19 @@ def test_lines_in_order_are_written_by_several_tasks(spark, tmp_path):
     assert len(files) > 1 and told == [float(i) for i in range(20_000)]
     assert {int(r.id): r.s_ext for r in readers.read_records(spark, str(tmp_path / "r")).collect()} == {k: 15_000.0 + k for k in range(5000)}
     assert got == {str(k): 2 * k + 1 for k in range(2000)} and len(list(folder.glob("*.json"))) > 1  # no task writes all
+
+
+def test_a_batch_reads_its_own_rows_only(spark, tmp_path):
+    source, seen = spark.range(2000, numPartitions=3).withColumns({"_batch": F.lit("own"), "v": F.col("id") * 2}), []
+
+    def process(todo):
+        where = todo.inputFiles()
+        seen.append((set(where), spark.read.schema(todo.schema).parquet(*where).count(), todo.count()))
+        return todo
+
+    out = sinks.resume(source, str(tmp_path / "t"), ["id"], process, batch_rows=100)
+    assert len(seen) == 20 and all(read == mine for _, read, mine in seen)
+    assert len(set().union(*[files for files, *_ in seen])) == sum(len(files) for files, *_ in seen)
+    assert sorted(map(tuple, out.select("id", "_batch", "v").collect())) == [(i, "own", 2 * i) for i in range(2000)]
+    few = sinks.resume(spark.range(3), str(tmp_path / "few"), ["id"], lambda todo: todo, batch_rows=1)  # some batches have no key
+    assert sorted(r.id for r in few.collect()) == [0, 1, 2]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verisieve.operators import relational as rel
 from verisieve.sources.readers import exists
-from verisieve.sources.tables import written
+from verisieve.sources.tables import shared_folder, written
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite", order: list[str] | None = None) -> None:
@@ -79,21 +79,39 @@ def materialise(spark: SparkSession, path: str, build: callable, overwrite: bool
 def resume(source: DataFrame, path: str, key: list[str], process: callable, batch_rows: int = 100_000) -> DataFrame:
     """Process the rows whose keys the table at ``path`` lacks, and append the results batch by batch.
 
-    The rows to do are written first, dealt by hash of their keys into batches of about
-    ``batch_rows``; a batch is appended before the next one is begun. A run that is killed loses one
-    batch at most: the next run does what is not in the table yet."""
+    The rows to do are written first, then dealt by hash of their keys into batches of about
+    ``batch_rows``, a folder each, so that a batch reads its own rows and no others; it is appended
+    before the next one is begun. A run that is killed loses one batch at most: the next run does
+    what is not in the table yet."""
     spark = source.sparkSession
     todo = rel.pending(source, spark.read.parquet(path), key) if exists(spark, path) else source
     todo = written(todo)
     n = todo.count()
     batches = max(1, -(-n // batch_rows))
     if n or not exists(spark, path):
+        dealt = None if batches == 1 else _dealt(todo, key, batches)
         for i in range(batches):
-            mine = todo if batches == 1 else todo.where(F.pmod(F.xxhash64(*key), F.lit(batches)) == i)
+            if dealt is None:
+                mine = todo
+            elif exists(spark, f"{dealt}={i}"):
+                mine = spark.read.schema(todo.schema).parquet(f"{dealt}={i}")
+            else:  # no key fell to it
+                continue
             process(mine).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 
+def _dealt(rows: DataFrame, key: list[str], batches: int) -> str:
+    """Writes the rows by batch of their keys; batch i is in the folder ``{the result}={i}``."""
+    name = "_batch"
+    while name in rows.columns:
+        name = f"_{name}"
+    path = f"{shared_folder(rows.sparkSession)}/{uuid.uuid4().hex}"
+    at = rows.withColumn(name, F.pmod(F.xxhash64(*key), F.lit(batches)).cast("int"))
+    at.repartition(name).write.partitionBy(name).parquet(path)
+    return f"{path}/{name}"
+
+
 def _files(spark: SparkSession, path: str) -> tuple:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
