@@ -175,3 +175,15 @@ def test_validation(spark):
     with pytest.raises(ValueError, match="differ"):
         rel.require_valid(rel.compare_tables(a, b, ["k"], "v"))
     assert rel.validation(rel.compare_tables(a, b, ["k"], "v")).first().asDict() == {"n": 2, "differing": 1, "passed": False}
+
+
+def test_rows_of_a_group_do_not_meet_to_find_its_models(spark):
+    rows = spark.range(400).select("id", (F.col("id") % 2).cast("int").alias("g"), (F.col("id") % 3 == 0).cast("int").alias("y"), F.rand(1).alias("f1"), F.rand(2).alias("f2"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = detectors.answer_classifier(rows.where("id >= 80 OR g = 1"), ["g"], "id", rows.where("id < 80 AND g = 0"), features=("f1", "f2"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sided = [line for line in plan.splitlines() if "Join" in line and ("LeftSemi" in line or "LeftAnti" in line)]
+    assert sided and all("BroadcastHashJoin" in line for line in sided)

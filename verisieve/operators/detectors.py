@@ -65,6 +65,6 @@ def answer_classifier(test: DataFrame, by: list[str], key: str, train: DataFrame
     if train is None:
         return models.out_of_fold(rows, by, key, "x", y, folds).select(*by, key, y, "p")
     given = written(train.select(*by, key, y, vector.alias("x")))
-    have = given.select(*by).distinct()
+    have = F.broadcast(given.select(*by).distinct())  # groups, so that the rows of one do not meet in a task
     told = models.predict(rows.join(have, by, "left_semi"), models.fit_logistic(given, by, "x", y), by, "x").select(*by, key, y, "p")
     return told.unionByName(models.out_of_fold(rows.join(have, by, "left_anti"), by, key, "x", y, folds).select(*by, key, y, "p"))
